@@ -10,7 +10,10 @@ from lexisift.llm.common import documents, ship_package
 
 #: query -> (module, function of the documents)
 _BY_DOCUMENTS = {
+    "op3_pii": ("pii", "personal"),
+    "op4_rendezvous_sharding": ("sharding", "sharded"),
     "op6_quality_rules": ("quality_rules", "quality"),
+    "op10_secret_scan": ("secret_scan", "secrets"),
 }
 
 
