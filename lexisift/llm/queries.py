@@ -12,7 +12,10 @@ from lexisift.llm.common import documents, ship_package
 _BY_DOCUMENTS = {
     "op3_pii": ("pii", "personal"),
     "op4_rendezvous_sharding": ("sharding", "sharded"),
+    "op5_best_fit_packing": ("packing", "packed"),
     "op6_quality_rules": ("quality_rules", "quality"),
+    "op7_byte_bpe": ("byte_bpe", "encoded"),
+    "op9_fingerprints": ("fingerprint", "fingerprints"),
     "op10_secret_scan": ("secret_scan", "secrets"),
 }
 
