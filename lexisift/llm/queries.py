@@ -10,6 +10,7 @@ from lexisift.llm.common import documents, ship_package
 
 #: query -> (module, function of the documents)
 _BY_DOCUMENTS = {
+    "op1_ngram_jaccard_join": ("ngram_join", "links"),
     "op2_suffix_dedup": ("suffix_dedup", "deduplicated"),
     "op3_pii": ("pii", "personal"),
     "op4_rendezvous_sharding": ("sharding", "sharded"),
