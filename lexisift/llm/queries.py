@@ -36,8 +36,14 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexisift.llm.quality_classifier import query
+
+    return query(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: _query(*at) for name, at in _BY_DOCUMENTS.items()}
+    return {name: _query(*at) for name, at in _BY_DOCUMENTS.items()} | {"op8_quality_classifier": _classifier, "pipeline": _pipeline}
 
 
 def oracle_sql() -> dict:
