@@ -140,8 +140,16 @@ def anchor_rows(buckets: int, width: int, gram: int):
     return run
 
 
-def repeated_anchors(batches):
-    """From all blobs of a partition: per document, the anchors whose hash occurs twice or more."""
+def repeated_anchors(buckets: int):
+    """From all blobs of a partition: the anchors whose hash occurs twice or more, dealt out by document."""
+
+    def run(batches):
+        yield from _repeated(batches, buckets)
+
+    return run
+
+
+def _repeated(batches, buckets: int):
     got = [_unpack(x, np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16) for batch in batches for x in batch.column("blob").to_pylist()]
     if not got:
         return
@@ -156,27 +164,51 @@ def repeated_anchors(batches):
         hit = np.flatnonzero(twice[at] == own)
         rest.append((doc[back[hit]], key[back[hit]], place[hit], low[hit], high[hit]))
     doc, key, place, low, high = (np.concatenate(x) for x in zip(*rest, strict=True))
-    order = np.lexsort((place, key, doc))
-    doc, key, place, low, high = (x[order] for x in (doc, key, place, low, high))
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-    stop = np.append(new[1:], len(doc))
-    triple = np.column_stack([place, low.astype(np.uint32), high.astype(np.uint32)]).astype(np.uint32)
-    for a in range(0, len(new), 5000):
-        part = slice(a, a + 5000)
-        blobs = [triple[i:j].tobytes() for i, j in zip(new[part], stop[part], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[new[part]]), pa.array(key[new[part]]), pa.array(blobs, pa.binary())], ["_id", "_key", "blob"])
+    yield _dealt(doc, key, np.column_stack([place, low, high]), buckets)
+
+
+def _dealt(doc: np.ndarray, key: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of numbers about documents, as one (bucket, blob) for each bucket of documents."""
+    names, blobs = [], []
+    at = (mix(doc.view(np.uint64) ^ mix(key.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+    rows = np.ascontiguousarray(rows, np.uint32)
+    for b, i in _by_bucket(at, buckets):
+        names.append(b)
+        blobs.append(_pack(doc[i], key[i], rows[i]))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _by_document(columns_: int):
+    """From all blobs of a bucket of documents: one row (_id, _key, blob) for each document, its rows in order."""
+
+    def run(batches):
+        got = [_unpack(x, np.int64, np.int64, np.uint32) for batch in batches for x in batch.column("blob").to_pylist()]
+        if not got:
+            return
+        doc, key, rows = (np.concatenate(x) for x in zip(*got, strict=True))
+        rows = rows.reshape(-1, columns_)
+        order = np.lexsort((rows[:, 0], key, doc))
+        doc, key, rows = doc[order], key[order], rows[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+        stop = np.append(new[1:], len(doc))
+        for a in range(0, len(new), 5000):
+            part = slice(a, a + 5000)
+            blobs = [rows[i:j].tobytes() for i, j in zip(new[part], stop[part], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new[part]]), pa.array(key[new[part]]), pa.array(blobs, pa.binary())], ["_id", "_key", "blob"])
+
+    return run
 
 
 def context_rows(buckets: int, width: int, gram: int):
-    """Contexts of the repeated anchors as (bucket, blob), and runs already known to be repeats as (_id, _key, blob)."""
+    """Contexts of the repeated anchors as (kind 0, bucket, blob), and runs already known to be repeats as kind 1."""
     def run(batches):
         held, size = [], 0
         for batch in batches:
             every, bounds = utf8(batch.column("text"))
-            ids, keys, lists = _ids(batch), batch.column("text_key").to_numpy(), batch.column("_lists").to_pylist()
+            ids, keys, lists = _ids(batch), batch.column("text_key").to_numpy(), batch.column("blob").to_pylist()
             for a, b in slices(bounds):
                 raw, offsets = every[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                own = [np.frombuffer(b"".join(x), np.uint32).reshape(-1, 3).astype(np.int64) for x in lists[a:b]]
+                own = [np.frombuffer(x, np.uint32).reshape(-1, 3).astype(np.int64) for x in lists[a:b]]
                 row = np.repeat(np.arange(b - a), [len(x) for x in own])
                 place, low, high = np.concatenate(own).T
                 at = place + offsets[row]
@@ -208,7 +240,8 @@ def context_rows(buckets: int, width: int, gram: int):
             copy[np.flatnonzero(copy)[wrong]] = False
         done = order[copy]
         if len(done):
-            yield _runs(doc[done], key[done], place[done].astype(np.int64) - low[done], place[done].astype(np.int64) - high[done] + width)
+            known = _dealt(doc[done], key[done], np.column_stack([place[done].astype(np.int64) - low[done], place[done].astype(np.int64) - high[done] + width]), buckets)
+            yield _kinds(1, *known.columns)
         go = np.sort(order[~copy])
         names, blobs = [], []
         for b, i in _by_bucket(_bucket_of(anchor[go], buckets), buckets):
@@ -216,21 +249,13 @@ def context_rows(buckets: int, width: int, gram: int):
             pair, back = np.unique(np.stack([doc[i], key[i]]), axis=1, return_inverse=True)
             names.append(b)
             blobs.append(_pack(pair[0], pair[1], anchor[i], back.ravel().astype(np.uint32), place[i], low[i], high[i], data[spread(starts[i], lengths[i])]))
-        none = pa.nulls(len(names), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "_id", "_key", "blob"])
+        yield _kinds(0, pa.array(names, pa.int32()), pa.array(blobs, pa.binary()))
 
     return run
 
 
-def _runs(doc, key, start, end):
-    """Rows (_id, _key, blob) of stretches [start, end)."""
-    order = np.lexsort((start, key, doc))
-    doc, key, start, end = (x[order] for x in (doc, key, start, end))
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-    stop = np.append(new[1:], len(doc))
-    pairs = np.column_stack([start, end]).astype(np.uint32)
-    blobs = [pairs[i:j].tobytes() for i, j in zip(new, stop, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int32()), pa.array(doc[new]), pa.array(key[new]), pa.array(blobs, pa.binary())], ["bucket", "_id", "_key", "blob"])
+def _kinds(kind: int, bucket: pa.Array, blob: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), bucket, blob], ["kind", "bucket", "blob"])
 
 
 def columns(text: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -286,7 +311,7 @@ def columns(text: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarra
     return repeat
 
 
-def repeats(width: int, gram: int, lot: int = 200_000):
+def repeats(buckets: int, width: int, gram: int, lot: int = 200_000):
     left = width - gram
 
     def run(batches):
@@ -307,7 +332,7 @@ def repeats(width: int, gram: int, lot: int = 200_000):
         if not len(order):
             return
         edge = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
-        at = 0
+        at, found = 0, []
         while at < len(order):  # lots of whole groups of an anchor
             k = np.searchsorted(edge, at + lot, "right") - 1
             to = len(order) if at + lot >= len(order) else int(edge[k]) if edge[k] > at else int(edge[k + 1]) if k + 1 < len(edge) else len(order)
@@ -330,36 +355,35 @@ def repeats(width: int, gram: int, lot: int = 200_000):
             who, far = np.nonzero(step == 1)
             _, near = np.nonzero(step == -1)
             if len(who):
-                yield _runs(doc[i][who], key[i][who], place_i[who] - (near - 1), place_i[who] - far + width)
+                found.append((doc[i][who], key[i][who], np.column_stack([place_i[who] - (near - 1), place_i[who] - far + width]).astype(np.uint32)))
+        if found:
+            yield _dealt(*[np.concatenate(x) for x in zip(*found, strict=True)], buckets)
 
     return run
 
 
-_RUNS = "bucket int, _id long, _key long, blob binary"
-
-
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(_id, _key, blob): the stretches [start, end) of bytes to remove, as pairs of numbers; they may overlap."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda df: df.repartitionById(buckets, F.col("bucket")).select("blob")
+    blob, document = "bucket int, blob binary", "_id long, _key long, blob binary"
     long_ = base.where(F.octet_length("text") >= width)
-    anchors = long_.mapInArrow(anchor_rows(buckets, width, gram), "bucket int, blob binary")
-    lists = anchors.repartitionById(buckets, F.col("bucket")).select("blob").mapInArrow(repeated_anchors, "_id long, _key long, blob binary")
-    lists = staged(lists, "repeated-anchors").groupBy("_id", "_key").agg(F.collect_list("blob").alias("_lists"))
+    anchors = dealt(long_.mapInArrow(anchor_rows(buckets, width, gram), blob))
+    lists = dealt(anchors.mapInArrow(repeated_anchors(buckets), blob)).mapInArrow(_by_document(3), document)
     id_ = F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID)))
-    # equal rows hold the same contexts: one of them will do
     beside = long_.join(lists, (id_ == F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    found = staged(beside.select("doc_id", "text", "text_key", "_lists").mapInArrow(context_rows(buckets, width, gram), _RUNS), "contexts")
-    rest = found.where(F.col("bucket").isNotNull()).repartitionById(buckets, F.col("bucket")).select("blob").mapInArrow(repeats(width, gram), _RUNS)
-    return found.where(F.col("bucket").isNull()).unionByName(rest).select("_id", "_key", "blob")
+    found = staged(beside.select("doc_id", "text", "text_key", "blob").mapInArrow(context_rows(buckets, width, gram), f"kind int, {blob}"), "contexts")
+    rest = dealt(found.where("kind = 0")).mapInArrow(repeats(buckets, width, gram), blob)
+    return dealt(found.where("kind = 1").select("bucket", "blob").unionByName(rest)).mapInArrow(_by_document(2), document)
 
 
-def kept_bytes(text: np.ndarray, blobs) -> tuple[np.ndarray, int, int]:
+def kept_bytes(text: np.ndarray, blob: bytes | None) -> tuple[np.ndarray, int, int]:
     """The bytes left, how many went, and in how many stretches."""
-    if not blobs:
+    if not blob:
         return text, 0, 0
-    pairs = np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(blob, np.uint32).reshape(-1, 2).astype(np.int64)
     delta = np.zeros(len(text) + 1, np.int32)
     np.add.at(delta, pairs[:, 0], 1)
     np.add.at(delta, pairs[:, 1], -1)
@@ -369,7 +393,7 @@ def kept_bytes(text: np.ndarray, blobs) -> tuple[np.ndarray, int, int]:
 
 
 def _with_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    found = runs(docs, width, gram).groupBy("_id", "_key").agg(F.collect_list("blob").alias("_runs"))
+    found = runs(docs, width, gram).withColumnRenamed("blob", "_runs")
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
     return docs.join(found, (id_ == F.col("_id")) & (text_key == F.col("_key")), "left").drop("_id", "_key")
