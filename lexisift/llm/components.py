@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import staged
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (node, least node of its component) with the same components as the edges; for the edges of one task."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for x, y in zip(back[: len(a)].tolist(), back[len(a) :].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    root = np.array([find(i) for i in range(len(nodes))], np.int64)
+    child = root != np.arange(len(nodes))
+    return nodes[child], nodes[root[child]]
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each neighbour v of u beside the least of u and all its neighbours. Minima are combined before the
     shuffle, and the join back is one that Spark splits where a node has many edges."""
@@ -15,17 +36,18 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(low, edges.u == low.w).select("u", "v", "m")
 
 
+def _rows(df: DataFrame, *pairs) -> DataFrame:
+    """Several (u, v) of each row, without reading the rows twice."""
+    return df.select(F.explode(F.array(*[F.struct(F.expr(u).alias("u"), F.expr(v).alias("v")) for u, v in pairs])).alias("e")).select("e.*").where("u <> v")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node. Edges need no direction."""
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    now, before = staged(now, "edges"), None
+    now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges"), None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        near = _least(down)
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        now = staged(small.where("u <> v").distinct(), "edges")
+        large = _rows(_least(_rows(now, ("u", "v"), ("v", "u"))).where("v > u"), ("v", "m"))
+        small = _rows(_least(large), ("v", "m"), ("u", "m"))
+        now = staged(small.distinct(), "edges")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break

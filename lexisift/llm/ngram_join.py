@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import slices, staged, utf8
-from lexisift.llm.components import components
+from lexisift.llm.components import components, forest
 from lexisift.llm.suffix_dedup import _by_bucket, _pack, _unpack
 from lexisift.llm.vectext import LOWER, mix, prefix, span_hash, words
 
@@ -207,7 +207,8 @@ def _prefixes(buckets: int, percent: int):
 
 
 def _meetings(percent: int):
-    """Chains of classes that share a prefix shingle, in order of size, broken where no sizes across allow a link."""
+    """Classes that share a prefix shingle, joined in order of size, but not where no sizes across allow a link. A task
+    sends on a forest with the components of its chains, not the chains."""
 
     def run(batches):
         got = [_unpack(x, np.int64, np.int64, np.int64) for batch in batches for x in batch.column("blob").to_pylist()]
@@ -219,7 +220,7 @@ def _meetings(percent: int):
         link = (token[1:] == token[:-1]) & (d1[1:] != d1[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
         a, b = d1[:-1][link], d1[1:][link]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*pairs)], ["a", "b"])
 
     return run
 
@@ -232,7 +233,7 @@ def candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     held = deal(docs.select("text").mapInArrow(_shingle_rows(buckets, size), blob))
     shared = deal(held.mapInArrow(_shared(buckets), blob))
     prefixes = deal(shared.mapInArrow(_prefixes(buckets, percent), blob))
-    meetings = prefixes.mapInArrow(_meetings(percent), "a long, b long").distinct()
+    meetings = prefixes.mapInArrow(_meetings(percent), "a long, b long")
     return components(meetings, "a", "b").withColumnRenamed("node", "d1")
 
 
