@@ -42,7 +42,7 @@ def _rows_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 def _index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two places and signs of each index vector."""
     place = np.stack([(hashes >> np.uint64(k)) % np.uint64(DIMS) for k in (20, 32)], 1).astype(np.int64)
-    sign = np.stack([(hashes >> np.uint64(k)) & np.uint64(1) for k in (50, 51)], 1).astype(np.float32) * 2 - 1
+    sign = np.stack([(hashes >> np.uint64(k)) & np.uint64(1) for k in (50, 51)], 1).astype(np.int64) * 2 - 1
     return place, sign
 
 
@@ -52,7 +52,7 @@ def _row(hashes: np.ndarray) -> np.ndarray:
 
 def _contexts(batches):
     """Partial sums of context vectors: one blob for each part of the table."""
-    table = np.zeros(ROWS * DIMS, np.float32)
+    table = np.zeros(ROWS * DIMS, np.int64)
     for batch in batches:
         every, bounds = utf8(batch.column("text"))
         for a, b in slices(bounds):
@@ -71,16 +71,26 @@ def _contexts(batches):
                         np.add.at(table, row[target] + place[source, k], sign[source, k])
                         if gap == 1:
                             np.add.at(table, shape_row[target] + near[source, k], near_sign[source, k])
-    cut = table.reshape(PARTS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["part", "blob"])
+    cut = table.reshape(PARTS, -1).astype(np.int32)  # sums of signs are whole numbers, and small ones pack well
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(x) for x in cut], pa.binary())], ["part", "blob"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    size = ROWS // PARTS * DIMS * 4
+    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            own = np.frombuffer(blob, np.float32)
-            total[part] = own.astype(np.float64) if part not in total else total[part] + own
+            own = _unpacked(blob)
+            total[part] = own.astype(np.int64) if part not in total else total[part] + own
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["part", "blob"])
 
 
@@ -109,7 +119,7 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarra
     place, sign = _index(word)
     sums = np.zeros((n, DIMS), np.float32)
     for k in range(2):
-        np.add.at(sums.ravel(), doc * DIMS + place[:, k], sign[:, k])
+        np.add.at(sums.ravel(), doc * DIMS + place[:, k], sign[:, k].astype(np.float32))
     out[own, -4] = (sums[own] ** 2).sum(1) / (2 * count**2)
     for at, gap in ((-3, 1), (-2, 2)):
         if len(word) > gap:
@@ -159,7 +169,7 @@ class Network:
 
 
 def vectors(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, vector) of each document, the vector as float32 bytes."""
+    """(doc_id, vector) of each document, the vector as float16 bytes: half the size, and far finer than the classes."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -167,7 +177,7 @@ def vectors(docs: DataFrame, table: np.ndarray) -> DataFrame:
             raw, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 x = pooled(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], ["doc_id", "vector"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, vector binary")
@@ -185,13 +195,13 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: fl
     rows = held.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("vector", "quality").limit(sample).collect()
     network = None
     if rows:
-        x = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float32).reshape(len(rows), -1)
+        x = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float16).astype(np.float64).reshape(len(rows), -1)
         network = Network(x, np.array([float(r["quality"]) for r in rows]))
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(batch.num_rows, _POOLED)
+            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float16).astype(np.float64).reshape(batch.num_rows, _POOLED)
             score = shared.value.scores(x) if shared.value else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
