@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds, compiled into one projection of built-in column functions.
 
-A row of ``RULES`` is (name, ratio, lowest, highest). ``compile_rules`` turns the table into one Boolean column; a
-document is kept if the base law holds and each ratio lies within its bounds. No shuffle, no user function.
+A row of ``RULES`` is (name, ratio, lowest, highest). ``compile_rules`` turns the table into columns of one projection;
+a document is kept if the base law holds and each ratio lies within its bounds. No shuffle, no user function.
 
 Defined cases: a null text counts as empty; an empty text, or one without words, has no words and fails the base law.
 Repeated rows and ties are judged row by row. An empty table gives an empty result. Other columns of the input pass
@@ -78,11 +78,15 @@ def covered(windows: Column, width: int = 3) -> Column:
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(step)
 
 
-def compile_rules(rules=RULES) -> Column:
-    out = F.lit(True)
-    for _, ratio, low, high in rules:
-        out = out & F.coalesce(F.expr(ratio).between(low, high), F.lit(False))
-    return out
+def compile_rules(rules=RULES) -> list[Column]:
+    """One column per rule: its name where the ratio is out of bounds, or has nothing to divide by; else null."""
+
+    def failed(name, ratio, low, high):
+        above, below = ratio.split(" / ")
+        within = F.expr(f"{above} / nullif({below}, 0)").between(low, high)
+        return F.when(~F.coalesce(within, F.lit(False)), F.lit(name))
+
+    return [failed(*rule) for rule in rules]
 
 
 def judged(docs: DataFrame, text: str = "text", rules=RULES, fewest: int = 50) -> DataFrame:
@@ -107,7 +111,7 @@ def judged(docs: DataFrame, text: str = "text", rules=RULES, fewest: int = 50) -
     )
     df = df.withColumn("n_repeat_words", covered(F.col("_q_windows")))
     df = df.withColumn("base_failed", (F.col("n_words") < fewest) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    df = df.withColumn("failed_rules", F.filter(F.array(*[F.when(~F.coalesce(F.expr(r).between(a, b), F.lit(False)), F.lit(name)) for name, r, a, b in rules]), lambda x: x.isNotNull()))
+    df = df.withColumn("failed_rules", F.filter(F.array(*compile_rules(rules)), lambda x: x.isNotNull()))
     df = df.withColumns({k: F.col(k).cast("long") for k in ("word_chars", "n_symbols", "n_exclamations")})
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_q_words", "_q_lines", "_q_windows")
 
