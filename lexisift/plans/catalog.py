@@ -50,10 +50,12 @@ def scalar(name: str, columns: dict, sql: dict, ctes: str = q.D, source: str = "
     CATALOG[name] = (run, f"WITH {ctes} SELECT doc_id, " + ", ".join(f"{x} AS {c}" for c, x in sql.items()) + f" FROM {source}")
 
 
-def from_features(name: str, columns: dict, sql: dict, ranges: bool = False):
+def from_features(name: str, columns, sql: dict, ranges: bool = False):
+    """columns: makes the column expressions, which takes a session."""
+
     def run(spark, d):
         df = (ft.range_features if ranges else ft.model_features)(docs(spark, d))
-        return df.select("doc_id", *[f.alias(c) for c, f in columns.items()])
+        return df.select("doc_id", *[f.alias(c) for c, f in columns().items()])
 
     CATALOG[name] = (run, f"WITH {q.RANGES if ranges else q.FEATURES} SELECT doc_id, " + ", ".join(f"{x} AS {c}" for c, x in sql.items()) + f" FROM {'rfeat' if ranges else 'feat'}")
 
@@ -122,32 +124,32 @@ def _(spark, d):
 
 # --- features
 def one(name, feature, ranges=False, out=None):
-    from_features(name, {out or feature: r(F.col(feature))}, {out or feature: f"round({feature}, 6)"}, ranges)
+    from_features(name, lambda: {out or feature: r(F.col(feature))}, {out or feature: f"round({feature}, 6)"}, ranges)
 
 
 
 
 def _late():
-    """Entries whose columns need a session to be built are made when the catalog is first asked for."""
+    """Entries that build on definitions further down."""
     for name, feature in (("lexical_diversity", "lexical_diversity"), ("avg_word_length", "avg_word_length"), ("word_entropy", "word_entropy"), ("repetition_ratio", "repetition_ratio"), ("capital_ratio", "capital_ratio"), ("punctuation_density", "punctuation_density")):
         one(name, feature)
-    from_features("review_length", {"review_length": F.col("review_length")}, {"review_length": "review_length"})
-    from_features("sentiment", {c: r(F.col(c)) for c in lx.FEATURES[3:5]}, {c: f"round({c}, 6)" for c in lx.FEATURES[3:5]})
-    from_features("punct_counts", {c: F.col(c) for c in lx.FEATURES[7:9]}, {c: c for c in lx.FEATURES[7:9]})
+    from_features("review_length", lambda: {"review_length": F.col("review_length")}, {"review_length": "review_length"})
+    from_features("sentiment", lambda: {c: r(F.col(c)) for c in lx.FEATURES[3:5]}, {c: f"round({c}, 6)" for c in lx.FEATURES[3:5]})
+    from_features("punct_counts", lambda: {c: F.col(c) for c in lx.FEATURES[7:9]}, {c: c for c in lx.FEATURES[7:9]})
     ints = ("review_length", "exclamation_count", "question_count")
-    cols = lambda names: {c: F.col(c) if c in ints else r(F.col(c)) for c in names}
+    cols = lambda names: lambda: {c: F.col(c) if c in ints else r(F.col(c)) for c in names}
     sqls = lambda names: {c: c if c in ints else f"round({c}, 6)" for c in names}
     from_features("model_features", cols(lx.FEATURES), sqls(lx.FEATURES))
     from_features("range_features", cols(lx.RANGE_FEATURES), sqls(lx.RANGE_FEATURES), True)
     one("reading_ease", "language_complexity", True)
     one("capital_usage", "capital_usage", True)
     one("range_punct_density", "punctuation_density", True)
-    vector = F.array_join(F.transform(F.array(*[F.col(c).cast("double") for c in lx.FEATURES]), lambda x: F.format_string("%.4f", F.round(x, 4))), ",")
-    from_features("feature_vector", {"vector": vector}, {"vector": "array_to_string(list_transform([" + ", ".join(f"{c}::DOUBLE" for c in lx.FEATURES) + "], lambda x: printf('%.4f', round(x, 4))), ',')"})
+    vector = lambda: F.array_join(F.transform(F.array(*[F.col(c).cast("double") for c in lx.FEATURES]), lambda x: F.format_string("%.4f", F.round(x, 4))), ",")
+    from_features("feature_vector", lambda: {"vector": vector()}, {"vector": "array_to_string(list_transform([" + ", ".join(f"{c}::DOUBLE" for c in lx.FEATURES) + "], lambda x: printf('%.4f', round(x, 4) + 0)), ',')"})
     shown = lambda c: F.when((F.col(c) < 1) & (F.col(c) != 0), F.format_string("%.4f", F.round(F.col(c), 4))).otherwise(F.format_string("%.2f", F.round(F.col(c), 2)))
-    from_features("format_feature", {"shown": shown("lexical_diversity")}, {"shown": "CASE WHEN lexical_diversity < 1 AND lexical_diversity <> 0 THEN printf('%.4f', round(lexical_diversity, 4)) ELSE printf('%.2f', round(lexical_diversity, 2)) END"})
+    from_features("format_feature", lambda: {"shown": shown("lexical_diversity")}, {"shown": "CASE WHEN lexical_diversity < 1 AND lexical_diversity <> 0 THEN printf('%.4f', round(lexical_diversity, 4)) ELSE printf('%.2f', round(lexical_diversity, 2)) END"})
     warn = "(review_length < 5)::INT + (word_entropy < 2.0)::INT + (exclamation_count >= 3)::INT + (capital_ratio > 0.5)::INT + (question_count >= 3)::INT + (repetition_ratio > 0.3)::INT"
-    from_features("warning_count", {"warning_count": ft.warnings().cast("long")}, {"warning_count": f"({warn})::BIGINT"})
+    from_features("warning_count", lambda: {"warning_count": ft.warnings().cast("long")}, {"warning_count": f"({warn})::BIGINT"})
     global WARN
     WARN = warn
     _predicates()
