@@ -9,7 +9,8 @@ RAW = "review string, label string"
 
 
 def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolons, Latin-2, quoted texts over several lines."""
+    """Semicolons, Latin-2, quoted texts over several lines. Spark reads Latin-2 only where all Java charsets are allowed."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.csv(path, schema=RAW, sep=";", header=True, encoding="ISO-8859-2", multiLine=True, escape='"')
 
 
