@@ -124,7 +124,7 @@ def _(spark, d):
 
 # --- features
 def one(name, feature, ranges=False, out=None):
-    from_features(name, lambda: {out or feature: r(F.col(feature))}, {out or feature: f"round({feature}, 6)"}, ranges)
+    from_features(name, lambda: {out or feature: r(F.col(feature))}, {out or feature: f"round({feature}, 6) + 0"}, ranges)
 
 
 
@@ -138,7 +138,7 @@ def _late():
     from_features("punct_counts", lambda: {c: F.col(c) for c in lx.FEATURES[7:9]}, {c: c for c in lx.FEATURES[7:9]})
     ints = ("review_length", "exclamation_count", "question_count")
     cols = lambda names: lambda: {c: F.col(c) if c in ints else r(F.col(c)) for c in names}
-    sqls = lambda names: {c: c if c in ints else f"round({c}, 6)" for c in names}
+    sqls = lambda names: {c: c if c in ints else f"round({c}, 6) + 0" for c in names}
     from_features("model_features", cols(lx.FEATURES), sqls(lx.FEATURES))
     from_features("range_features", cols(lx.RANGE_FEATURES), sqls(lx.RANGE_FEATURES), True)
     one("reading_ease", "language_complexity", True)
@@ -415,7 +415,7 @@ def contributions(spark, d) -> DataFrame:
     return f.join(F.broadcast(profile(spark)), "feature").select("doc_id", "feature", "value", r(far).alias("deviation"), v.between(low, high).alias("in_range"))
 
 
-_CONTRIB = f"""WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, {PROFILE_SQL}, vl AS (SELECT doc_id, feature, round(value, 6) AS value FROM fl),
+_CONTRIB = f"""WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, {PROFILE_SQL}, vl AS (SELECT doc_id, feature, round(value, 6) + 0 AS value FROM fl),
 ct AS (SELECT doc_id, vl.feature, value, round(CASE WHEN value < low THEN (low - value) / CASE WHEN low = 0 THEN 1 ELSE abs(low) END * 100 WHEN value > high THEN (value - high) / CASE WHEN high = 0 THEN 1 ELSE abs(high) END * 100
   ELSE abs(value - optimal) / (high - low) * 50 END, 6) AS deviation, value BETWEEN low AND high AS in_range FROM vl JOIN pf ON vl.feature = pf.feature)"""
 # feature, test, severity, whether it is a reason or a warning
