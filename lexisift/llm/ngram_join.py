@@ -397,7 +397,8 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
             took = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(took) for c in ("component", "members", "pivot", "rep")], pa.array(blobs, pa.binary())], ["component", "members", "pivot", "rep", "blob"])
 
-    own = base.join(member.hint("merge"), base.doc_id == member.rep)  # the same plan at every size.select("component", "members", "pivot", "rep", "n", "d1", "d2", "text")
+    own = base.join(member.hint("merge"), base.doc_id == member.rep)  # the same plan at every size
+    own = own.select("component", "members", "pivot", "rep", "n", "d1", "d2", "text")
     own = own.mapInArrow(hashed, "component long, members long, pivot long, rep long, blob binary")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     part = F.pmod(F.xxhash64("rep"), blocks).cast("int")
