@@ -10,7 +10,8 @@ crc32(doc_id as text) mod 4 is not 2 are learned from; label, lang, source and d
 
 Defined cases: a null text counts as empty; texts without words have zero vectors and are scored like any other; a
 null doc_id is not held out; without labels every score is 0.5; repeated labels of one document count once, the smaller
-one; an empty table gives an empty result. Other columns are not read.
+one; where one doc_id has many rows, fewer than ``SAMPLE`` rows may be learned from; an empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -191,8 +192,12 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: fl
     held = staged(vectors(docs, word_vectors(docs)), "vectors")
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~is_held_out(F.col("doc_id")))
-    # bounded by the parameter: the rows with the smallest hashes of their ids
-    rows = held.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("vector", "quality").limit(sample).collect()
+    # bounded by the parameter: the rows with the smallest hashes of their ids. A top-k alone would have every task send
+    # the driver its own k, and all vectors shuffled, so rows past the hash that k rows surely lie below go first.
+    total = held.select("doc_id").join(known.select("doc_id"), "doc_id").count()
+    order, reach = F.xxhash64("doc_id"), (sample + 8 * sample**0.5 + 64) / max(total, 1)
+    near = held.where(order < F.lit(int(reach * 2**64) - 2**63)) if reach < 1 else held
+    rows = near.join(known, "doc_id").orderBy(order, "doc_id").select("vector", "quality").limit(sample).collect()
     network = None
     if rows:
         x = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float16).astype(np.float64).reshape(len(rows), -1)

@@ -231,3 +231,13 @@ def test_classifier_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_classifier.classified(frame(spark, [(1, "a b"), (None, None)]), labels).collect()
     assert [r["score"] for r in got] == [0.5, 0.5]
+
+
+def test_classifier_sample(spark, monkeypatch):
+    d, seen, real = "/root/testdata/sf0.01", [], quality_classifier.Network
+    monkeypatch.setattr(quality_classifier, "Network", lambda x, y: (seen.append((x, y)), real(x, y))[1])
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    for sample in (20_000, 40):
+        assert quality_classifier.classified(docs, labels, sample).count() == docs.count()
+    (x, y), (few, own) = seen
+    assert len(x) > 200 and len(few) == 40 and (x[:40] == few).all() and (y[:40] == own).all()
