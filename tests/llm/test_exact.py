@@ -234,8 +234,8 @@ def test_classifier_without_labels(spark):
 
 
 def test_classifier_sample(spark, monkeypatch):
-    d, seen, real = "/root/testdata/sf0.01", [], quality_classifier.Network
-    monkeypatch.setattr(quality_classifier, "Network", lambda x, y: (seen.append((x, y)), real(x, y))[1])
+    d, seen, fit = "/root/testdata/sf0.01", [], quality_classifier.Network.__init__
+    monkeypatch.setattr(quality_classifier.Network, "__init__", lambda self, x, y: (seen.append((x, y)), fit(self, x, y))[1])
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     for sample in (20_000, 40):
         assert quality_classifier.classified(docs, labels, sample).count() == docs.count()
