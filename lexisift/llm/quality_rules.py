@@ -109,7 +109,9 @@ def judged(docs: DataFrame, text: str = "text", rules=RULES, fewest: int = 50) -
             "n_alphabetic": F.size(F.filter("_q_words", lambda w: w.rlike(r"\p{L}"))).cast("long"),
         }
     )
-    df = df.withColumn("n_repeat_words", covered(F.col("_q_windows")))
+    # A filter on the result must stay above this projection: pushed below, it would hold a copy of the windows for each use,
+    # in the lambdas once an element. The optimizer keeps it above a row number.
+    df = df.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, covered(F.col("_q_windows"))))
     df = df.withColumn("base_failed", (F.col("n_words") < fewest) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     df = df.withColumn("failed_rules", F.filter(F.array(*compile_rules(rules)), lambda x: x.isNotNull()))
     df = df.withColumns({k: F.col(k).cast("long") for k in ("word_chars", "n_symbols", "n_exclamations")})
@@ -121,8 +123,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The test of a row number keeps the optimizer from copying the whole projection into the filter, once a use."""
-    return judged(docs).withColumn("_q_row", F.monotonically_increasing_id()).where("kept AND _q_row >= 0").select(*docs.columns)
+    return judged(docs).where("kept").select(*docs.columns)
 
 
 def _sql() -> str:

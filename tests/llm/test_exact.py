@@ -209,6 +209,14 @@ def test_quality_rules(docs):
             assert got[d]["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
 
 
+def test_quality_rules_filtered(docs):
+    """A filter on the result must not repeat the rules' work for each row."""
+    all_rows = quality_rules.quality(docs).collect()
+    for law, want in (("kept", lambda r: r.kept), ("n_repeat_words > 3", lambda r: r.n_repeat_words > 3), ("base_failed", lambda r: r.base_failed)):
+        assert {r.doc_id for r in quality_rules.quality(docs).where(law).collect()} == {r.doc_id for r in all_rows if want(r)}
+    assert {r.doc_id for r in quality_rules.kept_documents(docs).collect()} == {r.doc_id for r in all_rows if r.kept}
+
+
 def test_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     p = quality_classifier.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
