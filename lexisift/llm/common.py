@@ -32,10 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor then costs only its own tasks."""
+    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor then costs only its own tasks.
+
+    Row groups of 32 MB bound what each writing task holds in memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
