@@ -723,15 +723,19 @@ def term_counts(spark, d) -> DataFrame:
     return words.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(tf: DataFrame, n: int, most: int = 2000) -> DataFrame:
+#: Terms of the model's vocabulary, and terms in the SQL of the two queries that list them.
+VOCABULARY, LISTED = 20_000, 2000
+
+
+def vocabulary(tf: DataFrame, n: int, most: int = VOCABULARY) -> DataFrame:
     """At most ``most`` terms of two documents or more, by total count, with their smoothed idf."""
     top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where("df >= 2").orderBy(F.desc("total"), "term").limit(most)
     return top.withColumn("idf", F.ln((F.lit(1.0) + n) / (F.lit(1) + F.col("df"))) + 1)
 
 
-def weights(spark, d) -> DataFrame:
+def weights(spark, d, most: int = VOCABULARY) -> DataFrame:
     tf = term_counts(spark, d)
-    v = vocabulary(tf, docs(spark, d).count())
+    v = vocabulary(tf, docs(spark, d).count(), most)
     raw = tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("weight"))
@@ -739,12 +743,12 @@ def weights(spark, d) -> DataFrame:
 
 @query("tfidf_top_terms", f"WITH {_TFIDF} SELECT term, df, total, round(idf, 6) AS idf FROM vi")
 def _(spark, d):
-    return vocabulary(term_counts(spark, d), docs(spark, d).count()).select("term", "df", "total", r(F.col("idf")).alias("idf"))
+    return vocabulary(term_counts(spark, d), docs(spark, d).count(), LISTED).select("term", "df", "total", r(F.col("idf")).alias("idf"))
 
 
 @query("tfidf_weights", f"WITH {_TFIDF}, x AS (SELECT doc_id, tf.term, tf * idf AS x FROM tf JOIN vi ON tf.term = vi.term) SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x")
 def _(spark, d):
-    return weights(spark, d).select("doc_id", "term", r(F.col("weight")).alias("weight"))
+    return weights(spark, d, LISTED).select("doc_id", "term", r(F.col("weight")).alias("weight"))
 
 
 @query("standard_scale", f"WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM fl GROUP BY feature) SELECT doc_id, fl.feature, round(CASE WHEN sd = 0 THEN 0 ELSE (value - m) / sd END, 5) AS scaled FROM fl JOIN s ON fl.feature = s.feature")

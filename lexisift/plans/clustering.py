@@ -11,7 +11,7 @@ from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
-from lexisift.plans.catalog import cm, emb, query, r, rule_verdicts, scaled, weights
+from lexisift.plans.catalog import VOCABULARY, cm, emb, query, r, rule_verdicts, scaled, weights
 
 _PAIRS = f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= 0.1)"""
 
@@ -68,9 +68,8 @@ def _(spark, d):
 def combined(spark, d) -> DataFrame:
     """(doc_id, features): tf-idf weights of the vocabulary's terms, then the scaled features, as one sparse vector."""
     w = weights(spark, d)
-    terms = w.select("term").distinct().withColumn("at", F.row_number().over(so.W.orderBy("term")) - 1)  # at most 2000
-    n = 2000
-    place = F.create_map(*[x for i, c in enumerate(lx.FEATURES) for x in (F.lit(c), F.lit(n + i))])
+    terms = w.select("term").distinct().withColumn("at", F.row_number().over(so.W.orderBy("term")) - 1)  # at most VOCABULARY
+    place = F.create_map(*[x for i, c in enumerate(lx.FEATURES) for x in (F.lit(c), F.lit(VOCABULARY + i))])
     entries = w.join(F.broadcast(terms), "term").select("doc_id", "at", F.col("weight").alias("v")).unionByName(scaled(spark, d).select("doc_id", F.element_at(place, F.col("feature")).alias("at"), F.col("scaled").alias("v")))
     return entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("entries"))
 
@@ -87,7 +86,7 @@ def _(spark, d):
 
 def embedded(spark, d, k: int = 20) -> DataFrame:
     """(vec_id, z): truncated SVD without centring, at length 1. V has as many rows as the vocabulary has terms."""
-    size = 2000 + len(lx.FEATURES)
+    size = VOCABULARY + len(lx.FEATURES)
     rows = combined(spark, d)
     matrix = RowMatrix(rows.rdd.map(lambda x: OldVectors.sparse(size, [(e["at"], e["v"]) for e in x["entries"]])), 0, size)
     v = matrix.computeSVD(k, computeU=False).V.toArray()
