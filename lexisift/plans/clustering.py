@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+from pyspark.mllib.common import _java2py
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -84,12 +86,41 @@ def _(spark, d):
     return combined(spark, d).select("doc_id", F.to_json("entries").alias("vector"))
 
 
-def embedded(spark, d, k: int = 20) -> DataFrame:
-    """(vec_id, z): truncated SVD without centring, at length 1. V has as many rows as the vocabulary has terms."""
+#: Singular vectors kept, where the matrix has as many.
+LATENT = 200
+
+
+def _columns(spark, matrix, height: int, width: int):
+    """A dense matrix of the JVM as numpy, fetched by columns: fetched at once, its copies fill the driver."""
+    import numpy as np
+
+    sc, values = spark.sparkContext, matrix.toArray()
+    out = np.empty((height, width))
+    for i in range(width):
+        out[:, i] = _java2py(sc, sc._jvm.java.util.Arrays.copyOfRange(values, i * height, (i + 1) * height))
+    return out
+
+
+def latent(spark, d, k: int = LATENT):
+    """(rows, v, s, n): the combined vectors as staged arrays, the right singular vectors and values without centring, the number
+    of rows. V has as many rows as the vocabulary has terms; k falls to the rank."""
     size = VOCABULARY + len(lx.FEATURES)
-    rows = combined(spark, d)
-    matrix = RowMatrix(rows.rdd.map(lambda x: OldVectors.sparse(size, [(e["at"], e["v"]) for e in x["entries"]])), 0, size)
-    v = matrix.computeSVD(k, computeU=False).V.toArray()
+    rows = cl.staged(combined(spark, d).select("doc_id", F.col("entries.at").alias("at"), F.col("entries.v").alias("v")))
+    n = rows.count()
+    matrix = RowMatrix(rows.rdd.map(lambda x: OldVectors.sparse(size, x["at"], x["v"])), n, size)
+    held = matrix._java_matrix_wrapper._java_model.rows()  # each step of the iteration reads all rows
+    held.persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
+    try:
+        found = matrix.computeSVD(min(k, n), computeU=False, rCond=1e-6)  # squares below 1e-12 of the largest are rounding
+        values = found.s.toArray()
+        return rows, _columns(spark, found._java_model.V(), size, len(values)), values, n
+    finally:
+        held.unpersist(False)
+
+
+def embedded(spark, d, k: int = LATENT) -> DataFrame:
+    """(vec_id, z): truncated SVD without centring, at length 1."""
+    rows, v, _, _ = latent(spark, d, k)
     table = spark.sparkContext.broadcast(v)
 
     def project(batches):
@@ -98,10 +129,8 @@ def embedded(spark, d, k: int = 20) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for entries in pdf["entries"]:
-                x = np.zeros(table.value.shape[1])
-                for e in entries:
-                    x += table.value[e["at"]] * e["v"]
+            for at, value in zip(pdf["at"], pdf["v"]):
+                x = np.asarray(value) @ table.value[np.asarray(at)]
                 out.append(x / (np.linalg.norm(x) or 1.0))
             yield pd.DataFrame({"vec_id": pdf["doc_id"], "z": out})
 
@@ -113,6 +142,16 @@ def _(spark, d):
     return embedded(spark, d)
 
 
+@query("svd_explained_variance")
+def _(spark, d):
+    """The share of the variance that the latent vectors keep: E[t^2] is s^2 / n, E[t] the projected mean."""
+    rows, v, s, n = latent(spark, d)
+    sums = rows.select(F.explode(F.arrays_zip("at", "v")).alias("e")).groupBy("e.at").agg(F.sum("e.v").alias("x"), F.sum(F.col("e.v") * F.col("e.v")).alias("xx")).collect()  # a row per column
+    mean = sum(v[e["at"]] * (e["x"] / n) for e in sums)
+    total = sum(e["xx"] / n - (e["x"] / n) ** 2 for e in sums)
+    return spark.createDataFrame([(len(s), float((s**2 / n - mean**2).sum() / total))], "k int, explained_variance_ratio double")
+
+
 @query("predict_review")
 def _(spark, d):
     """Vector, nearest k-means centroid, distance, threshold, forced rules and confidence of each document."""

@@ -1,6 +1,7 @@
 """The queries that fit models, against their definitions."""
 
 from lexisift.plans import catalog as ct
+from lexisift.plans import clustering as pc
 
 DATA = "/root/testdata/sf0.001"
 ct.catalog()
@@ -13,3 +14,26 @@ def test_vocabulary_is_whole(spark):
     assert shared > 2000 and used == min(shared, 20_000)
     n = [r["n_entries"] for r in ct.catalog()["combined_features"][0](spark, DATA).collect()]
     assert sum(n) > ct.weights(spark, DATA, 2000).count() + 11 * len(n)
+
+
+def test_latent_vectors_are_those_of_the_whole_matrix(spark):
+    import numpy as np
+
+    rows, v, s, n = pc.latent(spark, DATA)
+    x = np.zeros((n, v.shape[0]))
+    ids = {}
+    for i, r in enumerate(rows.collect()):
+        ids[r["doc_id"]] = i
+        x[i, r["at"]] = r["v"]
+    gram = np.linalg.eigvalsh(x @ x.T)[::-1]
+    rank = int((gram > 1e-12 * gram[0]).sum())
+    assert len(s) == v.shape[1] == min(200, rank) and rank > 20
+    assert np.allclose(s**2, gram[: len(s)], rtol=1e-6, atol=1e-6 * gram[0])
+    t = x @ v
+    t /= np.linalg.norm(t, axis=1, keepdims=True)
+    z = np.zeros_like(t)
+    for r in pc.embedded(spark, DATA).collect():
+        z[ids[r["vec_id"]]] = r["z"]
+    assert np.allclose(z @ z.T, t @ t.T, atol=1e-6)
+    got = ct.catalog()["svd_explained_variance"][0](spark, DATA).first()
+    assert got["k"] == len(s) and abs(got["explained_variance_ratio"] - (x @ v).var(0).sum() / x.var(0).sum()) < 1e-6
