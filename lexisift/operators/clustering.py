@@ -59,7 +59,7 @@ def density_labels(z: DataFrame, eps: float = EPS, least: int = MIN_POINTS) -> D
     return every.join(numbers, "low", "left").select("vec_id", F.coalesce(F.col("k") - 1, F.lit(-1)).cast("int").alias("cluster"))
 
 
-def fitted(z: DataFrame, k: int, tries: int = 3, rounds: int = 20):
+def fitted(z: DataFrame, k: int, tries: int = 10, rounds: int = 300):
     """The best of several k-means fits by cost."""
     x = z.select("vec_id", array_to_vector("z").alias("features")).cache()
     models = [KMeans(k=k, seed=42 + i, maxIter=rounds).fit(x) for i in range(tries)]
@@ -72,7 +72,10 @@ def clustered(z: DataFrame, k: int = 8) -> DataFrame:
 
 
 def silhouette(z: DataFrame, k: int) -> float:
-    model, x = fitted(z, k, 1)
+    """-1 where the vectors make one cluster only."""
+    model, x = fitted(z, k, 1, 100)
+    if sum(n > 0 for n in model.summary.clusterSizes) < 2:
+        return -1.0
     return ClusteringEvaluator(distanceMeasure="cosine").evaluate(model.transform(x))
 
 
@@ -82,7 +85,7 @@ def select_k(z: DataFrame, most: int = 12) -> list[tuple[int, float]]:
     return [(k, float(silhouette(z, k))) for k in range(2, min(most, n - 1) + 1)]
 
 
-def swarm_centroids(z: DataFrame, k: int = 3, swarm: int = 10, rounds: int = 8, sample: int = 2000, seed: int = 42):
+def swarm_centroids(z: DataFrame, k: int, swarm: int = 20, rounds: int = 15, sample: int = 2000, seed: int = 42):
     """Centroids that a particle swarm moves to the least sum of distances on a bounded sample; numpy on the driver."""
     import numpy as np
 
@@ -107,3 +110,59 @@ def swarm_centroids(z: DataFrame, k: int = 3, swarm: int = 10, rounds: int = 8,
         better = now < own_cost
         own[better], own_cost[better] = at[better], now[better]
     return own[own_cost.argmin()], float(own_cost.min())
+
+
+def started(z: DataFrame, c, rounds: int = 200) -> DataFrame:
+    """(vec_id, cluster): k-means from the given centroids, one start."""
+    from pyspark.mllib.clustering import KMeans as Started
+    from pyspark.mllib.clustering import KMeansModel
+    from pyspark.mllib.linalg import Vectors
+
+    c = [[float(v) for v in row] for row in c]
+    x = z.select("z").rdd.map(lambda row: Vectors.dense(row["z"]))
+    centers = [[float(v) for v in row] for row in Started.train(x, len(c), maxIterations=rounds, initialModel=KMeansModel(c)).clusterCenters]
+    rows = z.sparkSession.createDataFrame(list(enumerate(centers)), "cluster int, c array<double>")
+    table = rows.agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("table"))
+    apart = lambda t: F.aggregate(F.zip_with("z", t["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    best = F.array_min(F.transform("table", lambda t: F.struct(apart(t).alias("d"), t["cluster"].alias("cluster"))))
+    return z.join(F.broadcast(table)).select("vec_id", best["cluster"].alias("cluster"))
+
+
+def noise(z: DataFrame, labels: DataFrame) -> DataFrame:
+    return z.join(labels.where("cluster < 0").select("vec_id"), "vec_id", "left_semi")
+
+
+def best_k(scores: list[tuple[int, float]]) -> int:
+    """The least number of clusters with the largest silhouette."""
+    return max(scores, key=lambda x: (x[1], -x[0]))[0]
+
+
+def noise_swarm(z: DataFrame):
+    """Centroids that the swarm finds for the noise, at length 1 and with the chosen number of clusters, and their cost."""
+    import numpy as np
+
+    c, cost = swarm_centroids(z, best_k(select_k(z)))
+    return c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-10), cost
+
+
+def main_labels(z: DataFrame) -> DataFrame:
+    """(vec_id, cluster) of the main model: density clusters, then k-means of the noise from the swarm's centroids, numbered
+    after them. Under three points of noise are one cluster."""
+    labels = staged(density_labels(z))
+    rest = staged(noise(z, labels))
+    n = rest.count()
+    if not n:
+        return labels
+    first = labels.agg(F.max("cluster")).first()[0] + 1
+    own = started(rest, noise_swarm(rest)[0]) if n >= 3 else rest.select("vec_id", F.lit(0).alias("cluster"))
+    return labels.where("cluster >= 0").unionByName(own.select("vec_id", (F.col("cluster") + first).alias("cluster")))
+
+
+def own_distance(z: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vec_id, cluster, distance): to the own cluster's centroid; noise to the nearest, 0 where there is no cluster."""
+    own = z.select("vec_id", "z").join(labels, "vec_id").withColumnRenamed("cluster", "label")
+    cents = so.centroids(own)
+    near = so.nearest(own, cents)
+    at = near.join(F.broadcast(cents.withColumnRenamed("cluster", "_k")), F.col("label") == F.col("_k"), "left")
+    own_d = F.lit(1.0) - so.dot(F.col("z"), F.col("c"))
+    return at.select("vec_id", F.col("label").alias("cluster"), F.coalesce(F.when(F.col("label") >= 0, own_d), F.col("distance"), F.lit(0.0)).alias("distance"))

@@ -13,7 +13,7 @@ from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
-from lexisift.plans.catalog import VOCABULARY, cm, emb, query, r, rule_verdicts, scaled, weights
+from lexisift.plans.catalog import VOCABULARY, cm, emb, query, r, rule_verdicts, scaled, table, weights
 
 _PAIRS = f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= 0.1)"""
 
@@ -46,9 +46,9 @@ def _(spark, d):
 
 @query("kmeans_final")
 def _(spark, d):
+    """The first coordinate of each centroid of the main model: density clusters, then k-means of the noise from the swarm."""
     z = so.normalised(emb(spark, d))
-    own = cl.clustered(z, 8)
-    return so.centroids(z.join(own, "vec_id"), "cluster").select("cluster", r(F.get("c", F.lit(0))).alias("c1"))
+    return so.centroids(z.join(cl.main_labels(z), "vec_id"), "cluster").select("cluster", r(F.get("c", F.lit(0))).alias("c1"))
 
 
 @query("silhouette")
@@ -63,7 +63,10 @@ def _(spark, d):
 
 @query("pso_centroids")
 def _(spark, d):
-    c, cost = cl.swarm_centroids(so.normalised(emb(spark, d)))
+    """Where the swarm starts the k-means of the noise; no rows under three points of noise."""
+    z = so.normalised(emb(spark, d))
+    rest = cl.staged(cl.noise(z, cl.density_labels(z)))
+    c, cost = cl.noise_swarm(rest) if rest.count() >= 3 else ([], 0.0)
     return spark.createDataFrame([(i, [float(x) for x in row], cost) for i, row in enumerate(c)], "cluster int, c array<double>, cost double")
 
 
@@ -86,6 +89,8 @@ def _(spark, d):
     return combined(spark, d).select("doc_id", F.to_json("entries").alias("vector"))
 
 
+#: The threshold where no document has a label to sweep one with.
+PUBLISHED = 0.54
 #: Singular vectors kept, where the matrix has as many.
 LATENT = 200
 
@@ -121,7 +126,7 @@ def latent(spark, d, k: int = LATENT):
 def embedded(spark, d, k: int = LATENT) -> DataFrame:
     """(vec_id, z): truncated SVD without centring, at length 1."""
     rows, v, _, _ = latent(spark, d, k)
-    table = spark.sparkContext.broadcast(v)
+    sent = spark.sparkContext.broadcast(v)
 
     def project(batches):
         import numpy as np
@@ -130,7 +135,7 @@ def embedded(spark, d, k: int = LATENT) -> DataFrame:
         for pdf in batches:
             out = []
             for at, value in zip(pdf["at"], pdf["v"]):
-                x = np.asarray(value) @ table.value[np.asarray(at)]
+                x = np.asarray(value) @ sent.value[np.asarray(at)]
                 out.append(x / (np.linalg.norm(x) or 1.0))
             yield pd.DataFrame({"vec_id": pdf["doc_id"], "z": out})
 
@@ -154,14 +159,16 @@ def _(spark, d):
 
 @query("predict_review")
 def _(spark, d):
-    """Vector, nearest k-means centroid, distance, threshold, forced rules and confidence of each document."""
+    """Vector, nearest centroid of the main model, distance, swept threshold, forced rules and confidence of each document."""
     z = cl.staged(embedded(spark, d)).withColumn("label", F.lit(0))
-    own = cl.clustered(z, 8)
+    own = cl.staged(cl.main_labels(z))
+    known = table(spark, d, "labels").where("quality IN (0, 1)").select(F.col("doc_id").alias("vec_id"), F.when(F.col("quality") == 0, "Anomalous").otherwise("Normal").alias("true_label"))
+    th = so.best(so.sweep(cl.own_distance(z, own).join(known, "vec_id"))).first()["threshold"]
+    th = PUBLISHED if th is None else th
     near = so.nearest(z, so.centroids(z.join(own, "vec_id"), "cluster")).select(F.col("vec_id").alias("doc_id"), "cluster", "distance")
-    th = 0.54
     df = near.join(rule_verdicts(spark, d), "doc_id")
     bad = (F.col("distance") > th) | F.col("forced")
-    return df.select("doc_id", F.when(bad, "Anomalous").otherwise("Normal").alias("prediction"), "cluster", "distance", F.lit(th).alias("threshold"), F.least(F.abs(F.col("distance") - th) / th * 100, F.lit(100.0)).alias("confidence"))
+    return df.select("doc_id", F.when(bad, "Anomalous").otherwise("Normal").alias("prediction"), "cluster", "distance", F.lit(th).alias("threshold"), F.least(F.abs(F.col("distance") - th) / max(th, 1e-12) * 100, F.lit(100.0)).alias("confidence"))
 
 
 @query("model_comparison")

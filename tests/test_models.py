@@ -1,5 +1,9 @@
 """The queries that fit models, against their definitions."""
 
+from pyspark.sql import functions as F
+
+from lexisift.operators import clustering as cl
+from lexisift.operators import scoring
 from lexisift.plans import catalog as ct
 from lexisift.plans import clustering as pc
 
@@ -37,3 +41,43 @@ def test_latent_vectors_are_those_of_the_whole_matrix(spark):
     assert np.allclose(z @ z.T, t @ t.T, atol=1e-6)
     got = ct.catalog()["svd_explained_variance"][0](spark, DATA).first()
     assert got["k"] == len(s) and abs(got["explained_variance_ratio"] - (x @ v).var(0).sum() / x.var(0).sum()) < 1e-6
+
+
+def points(spark):
+    """One dense cluster, and noise in two directions that lie far apart."""
+    near = [(i, [1.0, 0.001 * i, 0.0, 0.0]) for i in range(12)]
+    far = [(100 + i, [-1.0, 0.0, 0.6 * (i % 3 - 1), 0.6 * (i // 3 - 1)]) for i in range(6)] + [(200 + i, [0.0, -1.0, 0.6 * (i % 3 - 1), 0.6 * (i // 3 - 1)]) for i in range(6)]
+    z = spark.createDataFrame(near + far, "vec_id long, z array<double>")
+    return z.select("vec_id", F.lit(0).alias("label"), scoring.unit(F.col("z")).alias("z"))
+
+
+def test_main_model_clusters_the_noise(spark, monkeypatch):
+    z = points(spark)
+    begun = []
+    swarm, started = cl.swarm_centroids, cl.started
+    monkeypatch.setattr(cl, "swarm_centroids", lambda x, k, *a: begun.append((sorted(r["vec_id"] for r in x.collect()), k)) or swarm(x, k, *a))
+    monkeypatch.setattr(cl, "started", lambda x, c, *a: begun.append(c) or started(x, c, *a))
+    got = {r["vec_id"]: r["cluster"] for r in cl.main_labels(z).collect()}
+    ids = [100 + i for i in range(6)] + [200 + i for i in range(6)]
+    assert begun[0][0] == ids and len(begun[1]) == begun[0][1]
+    assert sorted(got) == list(range(12)) + ids and {got[i] for i in range(12)} == {0}
+    assert len({got[i] for i in ids}) >= 2 and min(got[i] for i in ids) >= 1
+    assert not {got[i] for i in ids[:6]} & {got[i] for i in ids[6:]}
+    few = {r["vec_id"]: r["cluster"] for r in cl.main_labels(z.where("vec_id < 102")).collect()}
+    assert few[100] == few[101] == 1
+    none = {r["cluster"] for r in cl.main_labels(z.where("vec_id < 12")).collect()}
+    assert none == {0}
+
+
+def test_kmeans_starts_from_the_given_centroids(spark):
+    z = points(spark).where("vec_id >= 100")
+    got = {r["vec_id"]: r["cluster"] for r in cl.started(z, [[0.0, -1.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0]]).collect()}
+    assert {got[200 + i] for i in range(6)} == {0} and {got[100 + i] for i in range(6)} == {1}
+
+
+def test_ten_starts(spark, monkeypatch):
+    seen = []
+    real = cl.KMeans
+    monkeypatch.setattr(cl, "KMeans", lambda **a: seen.append(a) or real(**a))
+    cl.clustered(points(spark), 2)
+    assert len({a["seed"] for a in seen}) == 10 and min(a["maxIter"] for a in seen) >= 200
