@@ -58,7 +58,7 @@ def _(spark, d):
 
 @query("select_k")
 def _(spark, d):
-    return spark.createDataFrame(cl.select_k(so.normalised(emb(spark, d)), 6), "k int, silhouette double")
+    return spark.createDataFrame(cl.select_k(so.normalised(emb(spark, d))), "k int, silhouette double")
 
 
 @query("pso_centroids")

@@ -81,3 +81,9 @@ def test_ten_starts(spark, monkeypatch):
     monkeypatch.setattr(cl, "KMeans", lambda **a: seen.append(a) or real(**a))
     cl.clustered(points(spark), 2)
     assert len({a["seed"] for a in seen}) == 10 and min(a["maxIter"] for a in seen) >= 200
+
+
+def test_select_k_searches_the_whole_range(spark, monkeypatch):
+    monkeypatch.setattr(cl, "silhouette", lambda z, k: -abs(k - 10.0))
+    got = ct.catalog()["select_k"][0](spark, DATA).collect()
+    assert [r["k"] for r in got] == list(range(2, 13)) and cl.best_k([(r["k"], r["silhouette"]) for r in got]) == 10
