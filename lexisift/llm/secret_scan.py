@@ -21,12 +21,21 @@ from pyspark.sql import functions as F
 from lexisift.llm.spans import joined, matches, no_spans, redacted
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: The header; then all up to the END line, or, where that is missing, the lines of base64 that follow, the last of which may be
+#: short. Possessive groups, as Java loops over them without recursion.
+_GAP = r"(?:\s|\\[nr])"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)++"
+    rf"(?:{_GAP}++[A-Za-z0-9+/=]{{1,15}}+(?=\s*(?:\n|\\[nr]|-----|$)))?)?"
+)
 #: The base laws, then what the method adds: (kind, pattern).
 RULES = (
     ("assign", ASSIGN),
     ("access", r"AKIA[A-Z0-9]{16,}"),
     ("hex", r"[0-9a-f]{24,}"),
-    ("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    ("private_key", PRIVATE_KEY),
     ("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
