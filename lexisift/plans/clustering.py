@@ -13,7 +13,7 @@ from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
-from lexisift.plans.catalog import VOCABULARY, cm, emb, query, r, rule_verdicts, scaled, table, weights
+from lexisift.plans.catalog import VOCABULARY, emb, query, r, rule_verdicts, scaled, table, weights
 
 _PAIRS = f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= 0.1)"""
 
@@ -173,8 +173,18 @@ def _(spark, d):
 
 @query("model_comparison")
 def _(spark, d):
-    parts = [cm(spark, d, th).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1_score") for name, th in (("density", 0.3), ("k-means", 0.5), ("combined", 0.4))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Density clusters, k-means and the main model, each by its own distances at the threshold of its own sweep."""
+    z = so.normalised(emb(spark, d))
+    true = z.select("vec_id", F.when(F.col("label") >= 7, "Anomalous").otherwise("Normal").alias("true_label"))
+    out = None
+    for name, fit, steps in (("density", cl.density_labels, 200), ("k-means", cl.clustered, 200), ("combined", cl.main_labels, 100)):
+        sc = cl.own_distance(z, cl.staged(fit(z))).withColumn("distance", F.round("distance", 6))
+        sc = cl.staged(sc.join(true, "vec_id"))
+        th = F.broadcast(so.best(so.sweep(sc, steps)).select("threshold"))
+        yes = F.when(F.col("distance") > F.col("threshold"), "Anomalous").otherwise("Normal")
+        row = so.with_metrics(so.confusion(sc.join(th), yes, F.col("true_label"))).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1_score")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("score_stream", None)

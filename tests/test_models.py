@@ -87,3 +87,18 @@ def test_select_k_searches_the_whole_range(spark, monkeypatch):
     monkeypatch.setattr(cl, "silhouette", lambda z, k: -abs(k - 10.0))
     got = ct.catalog()["select_k"][0](spark, DATA).collect()
     assert [r["k"] for r in got] == list(range(2, 13)) and cl.best_k([(r["k"], r["silhouette"]) for r in got]) == 10
+
+
+def test_comparison_fits_each_model(spark, monkeypatch):
+    """Each model's distances are set apart from the others' by a stand-in for its labels; metrics follow by hand."""
+    z = spark.createDataFrame([(i, 9 if i >= 6 else 0, [1.0, 0.0] if i < 6 else [0.0, 1.0]) for i in range(8)], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(pc, "emb", lambda spark, d: z)
+    labels = lambda c: lambda x, *a: x.select("vec_id", c.cast("int").alias("cluster"))
+    v = F.col("vec_id")
+    monkeypatch.setattr(cl, "density_labels", labels(F.when(v < 6, 0).otherwise(-1)))  # the anomalies are noise, far from cluster 0
+    monkeypatch.setattr(cl, "clustered", labels(F.lit(0)))  # one cluster, to which the anomalies are farther
+    monkeypatch.setattr(cl, "main_labels", labels(v))  # every vector its own centroid
+    got = {r["model"]: r for r in ct.catalog()["model_comparison"][0](spark, DATA).collect()}
+    assert list(got) == ["density", "k-means", "combined"]
+    assert got["density"]["f1_score"] == got["k-means"]["f1_score"] == 1.0
+    assert got["combined"]["recall"] == 0.0 and got["combined"]["accuracy"] == 0.75
