@@ -4,7 +4,7 @@ Texts are cut into pieces by the public pattern. A piece is encoded on a segment
 holds the rank of the pair that starts there, a node the leftmost least rank below it. The root tells the next merge;
 a merge joins two live neighbours, changes at most three leaves and updates their paths, so a piece of n bytes takes
 O(n log n) steps. Pieces of equal width go up and down their trees together, as numpy arrays; long ones go alone.
-Encoded pieces are kept in a bounded cache by hash, so that a word is merged once for each worker.
+Encoded pieces are kept in a bounded cache, found by hash and compared by bytes, so that a word is merged once for each worker.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows are each encoded; an empty table gives an
 empty result; other columns of the input are not read.
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lexisift.llm.common import slices, utf8
-from lexisift.llm.vectext import RaggedCache, cached_runs, prefix, span_hash
+from lexisift.llm.vectext import RaggedCache, cached_runs
 
 RANKS = "byte_bpe_50k.tiktoken"
 NEVER = np.int64(1 << 40)
@@ -251,8 +251,7 @@ def encode_rows(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     begin, end, row = pieces(raw, offsets)
     if not len(begin):
         return np.zeros(n, np.int64), np.zeros(0, np.uint32)
-    keys = span_hash(prefix(raw), begin, end)
-    lengths, ids = cached_runs(_cache(path), keys, lambda i: merges(path).encode(raw, begin[i], end[i]))
+    lengths, ids = cached_runs(_cache(path), raw, begin, end, lambda i: merges(path).encode(raw, begin[i], end[i]))
     return np.bincount(row, lengths, n).astype(np.int64), ids
 
 

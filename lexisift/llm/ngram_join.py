@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexisift.llm.common import slices, staged, utf8
 from lexisift.llm.components import components, forest
 from lexisift.llm.suffix_dedup import _by_bucket, _pack, _unpack
-from lexisift.llm.vectext import LOWER, mix, prefix, span_hash, words
+from lexisift.llm.vectext import LOWER, mix, word_hash, words
 
 SIZE, PERCENT = 5, 75
 BLOCK = 1024
@@ -44,7 +44,7 @@ def sets(raw: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndar
     n = len(offsets) - 1
     if not len(start):
         return [np.zeros(0, np.uint64)] * n
-    word = span_hash(prefix(low), start, end)
+    word = word_hash(low, start, end)
     edge = np.searchsorted(row, np.arange(n + 1))
     full = np.zeros(max(0, len(word) - size + 1), np.uint64)
     for k in range(size):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import rank_within, slices, staged, utf8
-from lexisift.llm.vectext import LOWER, SPACE, RaggedCache, cached_runs, prefix, span_hash
+from lexisift.llm.vectext import LOWER, SPACE, RaggedCache, cached_runs
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -113,8 +113,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray,
     low, begin, end, row = pieces(raw, offsets)
     if not len(begin):
         return np.zeros(n, np.int64), np.zeros(0, np.uint32)
-    keys = span_hash(prefix(low), begin, end)
-    lengths, ids = cached_runs(_cache(path), keys, lambda i: _encode(path, low, begin[i], end[i]))
+    lengths, ids = cached_runs(_cache(path), low, begin, end, lambda i: _encode(path, low, begin[i], end[i]))
     return np.bincount(row, lengths, n).astype(np.int64), ids
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import slices, staged, utf8
-from lexisift.llm.vectext import mix, prefix, span_hash, words
+from lexisift.llm.vectext import mix, word_hash, words
 
 ROWS, DIMS, PARTS = 1 << 15, 64, 16
 SAMPLE = 20_000
@@ -33,7 +33,7 @@ _POOLED = 2 * DIMS + 4
 
 def _rows_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and of their shapes."""
-    word = span_hash(prefix(raw), start, end)
+    word = word_hash(raw, start, end)
     head, tail = raw[start].astype(np.uint64), raw[end - 1].astype(np.uint64)
     before = raw[np.maximum(end - 2, start)].astype(np.uint64)
     capital = ((head >= 65) & (head <= 90)).astype(np.uint64)

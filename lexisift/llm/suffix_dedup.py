@@ -391,21 +391,14 @@ def _joined_runs(doc, key, start, width: int):
     return doc[edge], key[edge], np.column_stack([start[edge], start[last] + width])
 
 
-def repeated_windows(buckets: int, width: int):
+def _late_windows(got: list, buckets: int, width: int):
     """From all windows of a bucket: those with an equal one earlier, as runs of their documents."""
-
-    def run(batches):
-        got = [_unpack(x, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32) for batch in batches for x in batch.column("blob").to_pylist()]
-        if not got:
-            return
-        doc, key = np.concatenate([g[0][g[4]] for g in got]), np.concatenate([g[1][g[4]] for g in got])
-        one, two, start = (np.concatenate([g[k] for g in got]) for k in (2, 3, 5))
-        start = start.astype(np.int64)
-        _, late = _earliest(one, two, doc, key, start)
-        if len(late):
-            yield _dealt(*_joined_runs(doc[late], key[late], start[late], width), buckets)
-
-    return run
+    doc, key = np.concatenate([g[0][g[4]] for g in got]), np.concatenate([g[1][g[4]] for g in got])
+    one, two, start = (np.concatenate([g[k] for g in got]) for k in (2, 3, 5))
+    start = start.astype(np.int64)
+    _, late = _earliest(one, two, doc, key, start)
+    if len(late):
+        yield _dealt(*_joined_runs(doc[late], key[late], start[late], width), buckets)
 
 
 class Transform:
@@ -479,19 +472,33 @@ def columns(text: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarra
 
 
 def repeats(buckets: int, width: int, gram: int, most: Held = Held()):
-    """From all contexts of a bucket: the repeats among them, as runs of their documents. Contexts are sorted in lots of whole
-    anchors; an anchor of more than a lot is a lot of its own, and hot ones are not here."""
+    """From all contexts and windows of a bucket: the repeats among them, as runs of their documents; runs already known
+    pass. Contexts are sorted in lots of whole anchors; an anchor of more than a lot is a lot of its own, and hot ones are
+    not here."""
     left, lot = width - gram, most.lot
 
     def run(batches):
-        got = [_unpack(x, np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8) for batch in batches for x in batch.column("blob").to_pylist()]
-        if not got:
-            return
+        held, windows = [], []
+        for batch in batches:
+            for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
+                if kind == _KNOWN:
+                    yield _rows(_KNOWN, [bucket], [blob])
+                elif kind == _CONTEXT:
+                    held.append(_unpack(blob, np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8))
+                else:
+                    windows.append(_unpack(blob, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32))
+        if windows:
+            yield from _late_windows(windows, buckets, width)
+        del windows
+        if held:
+            yield from _sorted_lots(held)
+
+    def _sorted_lots(got):
         anchor, place, low, high = (np.concatenate([g[k] for g in got]) for k in (2, 4, 5, 6))
         doc = np.concatenate([g[0][g[3]] for g in got])
         key = np.concatenate([g[1][g[3]] for g in got])
         data = np.concatenate([g[7] for g in got])
-        del got
+        got.clear()
         lengths = low.astype(np.int32) - high + width
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
         order = np.argsort(anchor, kind="stable")
@@ -550,12 +557,8 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT,
     lists = dealt(repeated.where(F.col("kind") == _KNOWN)).mapInArrow(_by_document(3), document)
     id_ = F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID)))
     beside = long_.join(lists, (id_ == F.col(_ID)) & (F.col("text_key") == F.col(_KEY)))
-    found = staged(beside.select("doc_id", "text", "text_key", "blob").mapInArrow(context_rows(buckets, width, gram, often, most), blob), "contexts")
-    part = lambda kind: found.where(F.col("kind") == kind)
-    rest = dealt(part(_CONTEXT)).mapInArrow(repeats(buckets, width, gram, most), blob)
-    every = part(_KNOWN).unionByName(rest)
-    if len(often.value):
-        every = every.unionByName(dealt(part(_WINDOW)).mapInArrow(repeated_windows(buckets, width), blob))
+    found = dealt(beside.select("doc_id", "text", "text_key", "blob").mapInArrow(context_rows(buckets, width, gram, often, most), blob), "kind", "bucket")
+    every = found.mapInArrow(repeats(buckets, width, gram, most), blob)
     return dealt(every).mapInArrow(_by_document(2), document)
 
 

@@ -1,11 +1,14 @@
 """Words and pieces of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-Hashes are 64-bit polynomials of random per-byte values, finished by a mixer. Equal byte strings have equal
-hashes everywhere, in all processes.
+Equal byte strings have equal hashes everywhere, in all processes. ``word_hash`` mixes eight bytes at a time and takes a
+BLAKE2 digest of what is longer than 64. ``span_hash`` is a polynomial modulo 2**64, which strings of 1024 bytes can be
+made to collide in: it only groups what is compared byte by byte afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -55,6 +58,45 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums), True)[start] + (end - start).astype(np.uint64))
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_LONGEST = 64
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on, as one number; zeros past the end."""
+    out = np.zeros(len(raw) + 8, np.uint64)
+    out[: len(raw)] = raw
+    for k in (1, 2, 4):
+        out[:-k] |= out[k:] << np.uint64(8 * k)
+    return out
+
+
+def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, wide: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the bytes from start to end."""
+    wide, size = eights(raw) if wide is None else wide, end - start
+    out = mix((wide[start] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _STEP))
+    rest = np.flatnonzero((size > 8) & (size <= _LONGEST))
+    at = 8
+    while len(rest):
+        left = size[rest] - at
+        out[rest] = mix(out[rest] * _STEP + (wide[start[rest] + at] & _KEEP[np.minimum(left, 8)]))
+        rest, at = rest[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONGEST):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def piece_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A key of each piece. Up to seven bytes the key is the piece itself with its length; longer ones have the highest bit
+    and a hash."""
+    wide, size = eights(raw), end - start
+    key = (wide[start] & _KEEP[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    long_ = np.flatnonzero(size > 7)
+    key[long_] = word_hash(raw, start[long_], end[long_], wide) | np.uint64(1 << 63)
+    return key
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word: a longest run without the six ASCII white-space bytes, within a row."""
     inside = np.zeros(len(raw) + 1, bool)
@@ -85,9 +127,10 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class RaggedCache:
-    """64-bit key -> a run of numbers; open addressing in numpy, so that a batch of keys is looked up at once.
+    """A piece of bytes -> a run of numbers; open addressing in numpy, so that many pieces are looked up at once.
 
-    Beyond ``most`` keys it starts anew, which bounds memory and changes no result.
+    Pieces are found by their keys; the bytes of those whose key is a hash are kept and compared. Beyond ``most`` pieces
+    the cache starts anew, which bounds memory and changes no result.
     """
 
     def __init__(self, kind=np.uint32, most: int = 1 << 21):
@@ -100,11 +143,13 @@ class RaggedCache:
         self.slot = np.full(1 << self.bits, -1, np.int32)
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.data, self.used = np.zeros(1 << 16, self.kind), 0
+        self.text_start, self.text_length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1."""
         mask = (1 << self.bits) - 1
-        at = (keys & np.uint64(mask)).astype(np.int64)
+        at = (mix(keys) & np.uint64(mask)).astype(np.int64)
         found = self.slot[at]
         wrong = np.flatnonzero((found >= 0) & (self.keys[at] != keys))
         while len(wrong):
@@ -116,7 +161,7 @@ class RaggedCache:
 
     def _place(self, keys: np.ndarray, index: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
-        at, rest = (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
+        at, rest = (mix(keys) & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
         while len(rest):
             free = self.slot[at[rest]] < 0
             mine = rest[free]
@@ -126,7 +171,7 @@ class RaggedCache:
             rest = np.concatenate([mine[~won], rest[~free]])
             at[rest] = (at[rest] + 1) & mask
 
-    def add(self, keys: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, lengths: np.ndarray, data: np.ndarray, text_lengths: np.ndarray, text: np.ndarray) -> None:
         """keys: distinct and absent. A caller that adds more than fits looks its keys up again afterwards."""
         if self.n and self.n + len(keys) > self.most:
             self.clear()
@@ -137,14 +182,33 @@ class RaggedCache:
             self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
             self._place(old, own)
         if n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
+            for name in ("start", "length", "text_start", "text_length"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * n))
         if self.used + len(data) > len(self.data):
             self.data = np.resize(self.data, 2 * (self.used + len(data)))
+        if self.text_used + len(text) > len(self.text):
+            self.text = np.resize(self.text, 2 * (self.text_used + len(text)))
         self.data[self.used : self.used + len(data)] = data
         self.start[self.n : n] = self.used + np.cumsum(lengths) - lengths
         self.length[self.n : n] = lengths
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.text_start[self.n : n] = self.text_used + np.cumsum(text_lengths) - text_lengths
+        self.text_length[self.n : n] = text_lengths
         self._place(keys, np.arange(self.n, n, dtype=np.int32))
-        self.n, self.used = n, self.used + len(data)
+        self.n, self.used, self.text_used = n, self.used + len(data), self.text_used + len(text)
+
+    def others(self, found: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the pieces are not the ones found for them, though their keys are equal."""
+        size = end - start
+        check = np.flatnonzero((size > 7) & (found >= 0))
+        at, n = found[check], size[check]
+        wrong = self.text_length[at] != n
+        same = np.flatnonzero(~wrong)
+        if len(same):
+            n = n[same]
+            differs = self.text[spread(self.text_start[at[same]], n)] != raw[spread(start[check[same]], n)]
+            wrong[same] = np.add.reduceat(differs, np.cumsum(n) - n) > 0
+        return check[wrong]
 
     def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the runs, and the runs one after the other."""
@@ -152,23 +216,36 @@ class RaggedCache:
         return lengths, self.data[spread(self.start[index], lengths)]
 
 
-def cached_runs(cache: RaggedCache, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of all keys. make(i): lengths and data for the keys at indices i, called for those that are not cached."""
+def cached_runs(cache: RaggedCache, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of all pieces of raw. make(i): lengths and data of the pieces i, called for those that are not cached, and for
+    those whose key is that of another piece."""
+    keys = piece_keys(raw, start, end) if keys is None else keys
     found = cache.find(keys)
     lost = np.flatnonzero(found < 0)
     if len(lost):
         new, first = np.unique(keys[lost], return_index=True)
-        lengths, data = make(lost[first])
-        before = cache.n
-        cache.add(new, lengths, data)
-        if cache.n < before + len(new):  # it began anew
-            return cached_runs(cache, keys, make) if len(np.unique(keys)) <= cache.most else _direct(keys, make)
+        i = lost[first]
+        if len(new) <= cache.most:
+            lengths, data = make(i)
+            size = np.where(end[i] - start[i] > 7, end[i] - start[i], 0)
+            before = cache.n
+            cache.add(new, lengths, data, size, raw[spread(start[i], size)])
+        if len(new) > cache.most or cache.n < before + len(new):  # too many at once, or it began anew
+            if len(np.unique(keys)) <= cache.most:
+                return cached_runs(cache, raw, start, end, make, keys)
+            half = len(keys) // 2
+            parts = [cached_runs(cache, raw, start[at:to], end[at:to], lambda j, at=at: make(j + at), keys[at:to]) for at, to in ((0, half), (half, len(keys)))]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         found[lost] = cache.find(keys[lost])
-    return cache.take(found)
-
-
-def _direct(keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    lengths, data = make(first)
-    starts = np.cumsum(lengths) - lengths
-    return lengths[back], data[spread(starts[back], lengths[back])]
+    wrong = cache.others(found, raw, start, end)
+    if not len(wrong):
+        return cache.take(found)
+    own_lengths, own = make(wrong)
+    lengths = cache.length[found].astype(np.int64)
+    lengths[wrong] = own_lengths
+    to, out = np.cumsum(lengths) - lengths, np.empty(int(lengths.sum()), cache.kind)
+    good = np.ones(len(found), bool)
+    good[wrong] = False
+    out[spread(to[good], lengths[good])] = cache.take(found[good])[1]
+    out[spread(to[wrong], lengths[wrong])] = own
+    return lengths, out
