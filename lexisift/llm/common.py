@@ -78,10 +78,13 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         at = min(to, n)
 
 
-def partitions_for(df: DataFrame, text: str = "text", each: int = 16 << 20) -> int:
-    """How many partitions the texts make at ``each`` bytes apiece, the session's number of shuffle partitions at least."""
-    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def partitions_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
+    """How many partitions ``size`` bytes make at ``each`` apiece, the session's number of shuffle partitions at least."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def rank_within(df: DataFrame, group: str, bucket: str, order: list, out: str) -> DataFrame:

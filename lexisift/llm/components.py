@@ -29,11 +29,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def _least(edges: DataFrame) -> DataFrame:
+HOT = 4096
+
+
+def _least(edges: DataFrame, hot: int) -> DataFrame:
     """(u, v, m): each neighbour v of u beside the least of u and all its neighbours. Minima are combined before the
-    shuffle, and the join back is one that Spark splits where a node has many edges."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(low, edges.u == low.w).select("u", "v", "m")
+    shuffle. Nodes with ``hot`` edges or more are few and sent to all tasks, so that their edges stay where they are."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "k")
+    much = low.where(F.col("k") >= hot).select(F.col("w").alias("h"), F.col("m").alias("least"))
+    marked = edges.join(F.broadcast(much), F.col("u") == F.col("h"), "left")
+    rest = marked.where(F.col("h").isNull()).select("u", "v").join(low.where(F.col("k") < hot), F.col("u") == F.col("w"))
+    return rest.select("u", "v", "m").unionByName(marked.where(F.col("h").isNotNull()).select("u", "v", F.col("least").alias("m")))
 
 
 def _rows(df: DataFrame, *pairs) -> DataFrame:
@@ -42,14 +48,17 @@ def _rows(df: DataFrame, *pairs) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) of every node with an edge; the component is its least node. Edges need no direction."""
+    """(node, component) of every node with an edge; the component is its least node. Edges need no direction; nodes may be
+    of any type that has an order."""
     now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges"), None
+    n = now.count()
     while True:
-        large = _rows(_least(_rows(now, ("u", "v"), ("v", "u"))).where("v > u"), ("v", "m"))
-        small = _rows(_least(large), ("v", "m"), ("u", "m"))
+        hot = max(HOT, n >> 18)  # of 2 n ends at most 2**19 nodes have so many
+        large = _rows(_least(_rows(now, ("u", "v"), ("v", "u")), hot).where("v > u"), ("v", "m"))
+        small = _rows(_least(large, hot), ("v", "m"), ("u", "m"))
         now = staged(small.distinct(), "edges")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
+        before, n = state, state["n"]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

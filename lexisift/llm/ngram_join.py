@@ -1,10 +1,13 @@
 """N-gram Jaccard join: documents link when their word-shingle sets have a Jaccard similarity of at least a threshold.
 
-1. Each document's set is hashed; documents with equal sets are one class from there on, whatever their number.
+1. Each document's set is hashed; documents with equal sets are one class from there on, whatever their number. Classes,
+   by 128 bits of their sets, are the nodes of all that follows; the smallest doc_id of a component is found at the end.
 2. Candidates. A class has a prefix: its rarest shingles, as many as it could lack and still be similar. Two similar
    classes share a shingle of their prefixes. How many classes hold a shingle is counted over the whole corpus; shingles
    of one class alone fill most prefixes, so unlike documents send nothing on. Classes that share a prefix shingle and
-   whose sizes allow a link are in one candidate group, by connected components.
+   whose sizes allow a link are in one candidate group, by connected components. No shingle's classes meet in one task:
+   frequent shingles (``FREQUENT``) go to their classes at once, as the last of all, and the classes of a prefix shingle
+   are chained bucket by bucket, each chain going on as its two ends.
 3. Signature trees. Each group builds a tree: a node holds the OR of its documents' token bitmaps and the range of
    their sizes. Pairs of nodes are walked together, nearest first; a pair is left where the sizes or the largest
    overlap that the bitmaps allow rule out a link, or where both nodes lie in one component already. What is left is
@@ -12,10 +15,13 @@
    documents not in the group's main component afterwards are then held against all blocks. All links between different
    components are found; those inside a component are not all listed.
 
+Shingles have 64 bits. Two sets are compared by them, so an error needs a collision within one pair, not within the corpus.
+
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer
 words than a shingle has is one shingle; rows without a doc_id link with nothing and have no component; rows of one
-doc_id with different texts are different documents of that id; an empty table gives an empty result. Columns besides
-doc_id and text pass through ``one_of_each``.
+doc_id with different texts are different documents of that id; a doc_id that is no whole number is a TypeError; an empty
+table gives an empty result. A text is held with about 40 times its length. Columns besides doc_id and text pass through
+``one_of_each``, except that names beginning with ``__join_`` are its own.
 """
 
 from __future__ import annotations
@@ -25,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import slices, staged, utf8
+from lexisift.llm.common import partitions_for, slices, staged, utf8
 from lexisift.llm.components import components, forest
-from lexisift.llm.suffix_dedup import _by_bucket, _pack, _unpack
+from lexisift.llm.suffix_dedup import _by_bucket, _pack, _rows, _unpack
 from lexisift.llm.vectext import LOWER, mix, word_hash, words
 
 SIZE, PERCENT = 5, 75
 BLOCK = 1024
-_FLUSH = 3 << 20
+_FLUSH = 2 << 20
 _SALT = np.random.default_rng(41).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = 4096
 
@@ -72,24 +78,86 @@ def _each(batch, size):
         yield from zip(range(a, b), sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size), strict=True)
 
 
-def digested(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n, d1, d2): the size of each document's set and 128 bits of its content."""
+#: Classes that hold a shingle from which it counts as frequent; never less than a 2**20th of all shingles.
+FREQUENT = 8192
+_ROW, _REPORT = 0, 1
+_NODE = "struct<d1:bigint,d2:bigint>"
+
+
+def _digests(size: int, flush: int):
+    """Rows (doc_id, n, d1, d2), and reports (n, blob) of the shingles that many sets of one flush hold."""
 
     def run(batches):
+        held, seen, total = [], set(), 0
         for batch in batches:
-            rows = [(len(own), *_digest(own)) for _, own in _each(batch, size)]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n", "d1", "d2"])
+            rows = []
+            for _, own in _each(batch, size):
+                rows.append((len(own), *_digest(own)))
+                if rows[-1][1:] not in seen and len(own):
+                    seen.add(rows[-1][1:])
+                    held.append(own)
+                    total += len(own)
+                    if total >= flush:
+                        yield from report(held)
+                        held, seen, total = [], set(), 0
+            n, d1, d2 = list(zip(*rows, strict=True)) or [(), (), ()]
+            m = batch.num_rows
+            yield out(_ROW, batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.binary()))
+        if held:
+            yield from report(held)
+
+    def report(held):
+        token = np.sort(np.concatenate(held))
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(edge, len(token)))
+        often = count >= 32
+        if often.any():
+            lots = list(_by_bucket(_bucket(token[edge[often]], 64), 64))
+            z = pa.nulls(len(lots), pa.int64())
+            yield out(_REPORT, z, z, pa.array([b for b, _ in lots], pa.int64()), z, z, pa.array([_pack(token[edge[often]][i], count[often][i]) for _, i in lots], pa.binary()))
+
+    def out(kind, *columns):
+        return pa.RecordBatch.from_arrays([*columns, pa.array([kind] * len(columns[0]), pa.int32())], ["doc_id", "text_key", "n", "d1", "d2", "blob", "kind"])
+
+    return run
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+def digested(docs: DataFrame, size: int = SIZE, flush: int = _FLUSH) -> DataFrame:
+    """(doc_id, n, d1, d2, blob, kind): the size of each document's set and 128 bits of its content; among them reports."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text")).mapInArrow(_digests(size, flush), "doc_id long, text_key long, n long, d1 long, d2 long, blob binary, kind int")
+
+
+def frequent_shingles(digests: DataFrame, least: int) -> np.ndarray:
+    """The sorted shingles that ``least`` reported sets or more hold. With least at a 2**20th of all shingles there are 2**20 at
+    most. A shingle missed, as its sets lie far apart, is an ordinary one."""
+
+    def run(batches):
+        got = [_unpack(x, np.uint64, np.int64) for batch in batches for x in batch.column("blob").to_pylist()]
+        if got:
+            token, count = (np.concatenate(x) for x in zip(*got, strict=True))
+            token, back = np.unique(token, return_inverse=True)
+            often = token[np.bincount(back, count) >= least]
+            if len(often):
+                yield pa.RecordBatch.from_arrays([pa.array([often.tobytes()], pa.binary())], ["blob"])
+
+    reports = digests.where(F.col("kind") == _REPORT).select(F.col("n").alias("bucket"), "blob")
+    found = reports.repartition("bucket").select("blob").mapInArrow(run, "blob binary")
+    rows = [np.frombuffer(bytes(r["blob"]), np.uint64) for r in found.toLocalIterator()]
+    return np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _shingle_rows(buckets: int, size: int):
-    """(bucket, blob): the shingles of many classes; copies within a flush send theirs once."""
+_FAR = 255
+_SHINGLE, _OWN, _CHAIN, _LINK = range(4)
+
+
+def _shingle_rows(buckets: int, size: int, frequent, flush_at: int = _FLUSH, bits: int = 32):
+    """(kind, bucket, blob): the shingles of many classes; copies within a flush send theirs once. Frequent shingles are
+    known to be shared and to come last, so they go to their classes, not to a bucket of their own."""
+    low = np.uint64((1 << bits) - 1)
 
     def run(batches):
         held, names, total = [], {}, 0
@@ -103,26 +171,48 @@ def _shingle_rows(buckets: int, size: int):
                 names[key] = len(own)
                 held.append(own)
                 total += len(own)
-                if total >= _FLUSH:
-                    yield flush(held, names)
+                if total >= flush_at:
+                    yield from flush(held, names)
                     held, names, total = [], {}, 0
         if held:
-            yield flush(held, names)
+            yield from flush(held, names)
 
     def flush(held, names):
-        d1, n = np.fromiter(names, np.int64, len(names)), np.fromiter(names.values(), np.uint32, len(names))
+        d1, n = np.fromiter(names, np.int64, len(names)), np.fromiter(names.values(), np.int64, len(names))
         token = np.concatenate(held)
         doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+        known = _bucket(token, buckets) << np.int64(32) | (token & low).astype(np.int64)
+        often, hot = frequent.value, np.zeros(0, np.int64)
+        lots = np.arange(len(token))
+        if len(often):
+            at = np.minimum(np.searchsorted(often, token), len(often) - 1)
+            is_hot = often[at] == token
+            hot, lots = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+        del token
+        lost = np.zeros(len(held), np.int64)
+
+        def once(i):
+            """By number, a class once for each; counts what falls together."""
+            i = i[np.argsort(known[i], kind="stable")]  # of one number in the order of the classes
+            same = (known[i][1:] == known[i][:-1]) & (doc[i][1:] == doc[i][:-1])
+            if same.any():
+                lost[:] += np.bincount(doc[i][1:][same], minlength=len(held))
+                i = i[np.concatenate([[True], ~same])]
+            return i
+
+        hot = once(hot)
+        cold = [(b, once(lots[i])) for b, i in _by_bucket(known[lots] >> np.int64(32), buckets)]
+        if len(hot):
+            yield _owned(known[hot], d1[doc[hot]], n[doc[hot]], lost[doc[hot]], np.full(len(hot), _FAR, np.uint8), buckets)
         out, blobs = [], []
-        for b, i in _by_bucket(_bucket(token, buckets), buckets):
-            short = (token[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.argsort(short, kind="stable")
-            used, back = np.unique(doc[i][order], return_inverse=True)
-            delta = np.diff(short[order], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+        for b, i in cold:
+            short = (known[i] & np.int64(0xFFFFFFFF)).astype(np.uint32)
+            used, back = np.unique(doc[i], return_inverse=True)
+            delta = np.diff(short, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
             back = back.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
             out.append(b)
-            blobs.append(_pack(d1[used], n[used], np.ascontiguousarray(delta), np.ascontiguousarray(back)))
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            blobs.append(_pack(d1[used], n[used], lost[used], np.ascontiguousarray(delta), np.ascontiguousarray(back)))
+        yield _rows(_SHINGLE, out, blobs)
 
     return run
 
@@ -135,102 +225,149 @@ def _planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _owned(token, d1, n, lost, rare, buckets: int) -> pa.RecordBatch:
+    """Shared shingles, dealt out by class."""
+    names, blobs = [], []
+    for b, i in _by_bucket((mix(d1.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets):
+        names.append(b)
+        blobs.append(_pack(token[i], d1[i], n[i], lost[i], rare[i]))
+    return _rows(_OWN, names, blobs)
+
+
 def _shared(buckets: int):
-    """Of a bucket's shingles those that two classes or more hold, dealt out by class.
+    """Of a bucket's shingles those that two classes or more hold, dealt out by class; those already dealt out pass.
 
-    In a bucket a shingle is known by 32 bits. Two that fall together count as one, for all classes alike, which the
-    length of the prefix allows for.
+    In a bucket a shingle is known by 32 bits; buckets grow in number with the data. Different shingles that are known by
+    one number count as one, for all classes alike: groups may grow by that, but no link is lost, as ``_prefixes`` says.
     """
 
     def run(batches):
-        got = [(b, _unpack(x, np.int64, np.uint32, np.uint8, np.uint8)) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True)]
+        got = []
+        for batch in batches:
+            for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
+                if kind == _OWN:
+                    yield _rows(_OWN, [bucket], [blob])
+                else:
+                    got.append((bucket, _unpack(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8)))
         if not got:
             return
-        short = np.concatenate([np.cumsum(_planes(g[2]), dtype=np.uint32) for _, g in got])
-        own = [_planes(g[3]) for _, g in got]
-        d1 = np.concatenate([g[0][i] for (_, g), i in zip(got, own, strict=True)])
-        n = np.concatenate([g[1][i] for (_, g), i in zip(got, own, strict=True)])
-        token = short.astype(np.int64) | np.int64(got[0][0]) << np.int64(32)
-        del got, own, short
+        own = [_planes(g[4]) for _, g in got]
+        token = np.concatenate([np.cumsum(_planes(g[3]), dtype=np.uint32).astype(np.int64) | np.int64(b) << np.int64(32) for b, g in got])
+        d1, n, lost = (np.concatenate([g[k][i] for (_, g), i in zip(got, own, strict=True)]) for k in range(3))
+        got.clear()
         order = np.argsort(token, kind="stable")
-        token, d1, n = token[order], d1[order], n[order]
-        same = token[1:] == token[:-1]
-        near = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        token, d1, n = token[near], d1[near], n[near]
-        order = np.lexsort((d1, token))
-        token, d1, n = token[order], d1[order], n[order]
+        same = token[order][1:] == token[order][:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        order = order[np.lexsort((d1[order], token[order]))]
+        token, d1, n, lost = token[order], d1[order], n[order], lost[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (d1[1:] != d1[:-1])
-        token, d1, n = token[new], d1[new], n[new]  # a class counts once
+        token, d1, n, lost = token[new], d1[new], n[new], lost[new]  # a class counts once
         if not len(token):
             return
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(edge, len(token)))
         held = np.repeat(count, count)
         more = held > 1
-        token, d1, n, held = token[more], d1[more], n[more], held[more]
-        rare = np.minimum(np.floor(np.log2(np.maximum(held, 1)) * 8), 255).astype(np.uint8)
-        names, blobs = [], []
-        for b, i in _by_bucket((mix(d1.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets):
-            names.append(b)
-            blobs.append(_pack(token[i], d1[i], n[i], rare[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        rare = np.minimum(np.floor(np.log2(held[more]) * 8), _FAR - 1).astype(np.uint8)
+        if len(rare):
+            yield _owned(token[more], d1[more], n[more], lost[more], rare, buckets)
 
     return run
 
 
 def _prefixes(buckets: int, percent: int):
-    """Of each class the shared shingles of its prefix, dealt out by shingle."""
+    """Of each class the shared shingles of its prefix, and the classes that meet by one of them.
+
+    A class of n shingles that shares k of them with a similar one has k >= ``_least_shared``(n). Where ``lost`` of its
+    shingles are known by the number of another one, at least k - lost of the n - lost numbers are shared, so that of any
+    n - k + 1 numbers one is: the prefix has the length that it has without such losses.
+
+    The classes that hold a shingle in their prefixes are chained by size, but not across a step that allows no link. Here
+    this is done for the classes of one bucket; a chain goes on as its two ends, and the links inside it as a forest.
+    """
 
     def run(batches):
-        got = [_unpack(x, np.int64, np.int64, np.uint32, np.uint8) for batch in batches for x in batch.column("blob").to_pylist()]
+        got = [_unpack(x, np.int64, np.int64, np.int64, np.int64, np.uint8) for batch in batches for x in batch.column("blob").to_pylist()]
         if not got:
             return
-        token, d1, n, rare = (np.concatenate(x) for x in zip(*got, strict=True))
-        n = n.astype(np.int64)
+        token, d1, n, lost, rare = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
         order = np.lexsort((token, rare, d1))
-        token, d1, n = token[order], d1[order], n[order]
+        token, d1, n, lost = token[order], d1[order], n[order], lost[order]
+        new = np.ones(len(d1), bool)
+        new[1:] = (token[1:] != token[:-1]) | (d1[1:] != d1[:-1])
+        token, d1, n, lost = token[new], d1[new], n[new], lost[new]  # frequent ones come once a flush
         edge = np.flatnonzero(np.concatenate([[True], d1[1:] != d1[:-1]]))
         count = np.diff(np.append(edge, len(d1)))
         # the shingles that no other class holds come first; the rest of the prefix is shared
-        rest = (n - _least_shared(n, percent) + 1) - (n - np.repeat(count, count))
-        at = np.arange(len(d1)) - np.repeat(edge, count)
-        keep = at < rest
+        rest = (n - _least_shared(n, percent) + 1) - (n - lost - np.repeat(count, count))
+        keep = np.arange(len(d1)) - np.repeat(edge, count) < rest
         token, d1, n = token[keep], d1[keep], n[keep]
+        if not len(token):
+            return
+        order = np.lexsort((d1, n, token))
+        token, d1, n = token[order], d1[order], n[order]
+        near = (token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+        if near.any():
+            yield _linked(d1[:-1][near], d1[1:][near], buckets)
+        first = np.flatnonzero(np.concatenate([[True], ~near]))
+        last = np.append(first[1:], len(token)) - 1
+        token, name, low, high = token[first], d1[first], n[first], n[last]
         names, blobs = [], []
         for b, i in _by_bucket((mix(token.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets):
             names.append(b)
-            blobs.append(_pack(token[i], d1[i], n[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            blobs.append(_pack(token[i], name[i], low[i], high[i]))
+        yield _rows(_CHAIN, names, blobs)
 
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
+    a, b = forest(a, b)
+    names, blobs = [], []
+    for bucket, i in _by_bucket((mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets):
+        names.append(bucket)
+        blobs.append(_pack(a[i], b[i]))
+    return _rows(_LINK, names, blobs)
+
+
 def _meetings(percent: int):
-    """Classes that share a prefix shingle, joined in order of size, but not where no sizes across allow a link. A task
-    sends on a forest with the components of its chains, not the chains."""
+    """Links (a, b) with the components of all chains: chains of one shingle join where their sizes overlap or the step
+    between them allows a link. A task sends on a forest."""
 
     def run(batches):
-        got = [_unpack(x, np.int64, np.int64, np.int64) for batch in batches for x in batch.column("blob").to_pylist()]
-        if not got:
-            return
-        token, d1, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((d1, n, token))
-        token, d1, n = token[order], d1[order], n[order]
-        link = (token[1:] == token[:-1]) & (d1[1:] != d1[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
-        a, b = d1[:-1][link], d1[1:][link]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*pairs)], ["a", "b"])
+        chains, links = [], []
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if kind == _LINK:
+                    links.append(_unpack(blob, np.int64, np.int64))
+                else:
+                    chains.append(_unpack(blob, np.int64, np.int64, np.int64, np.int64))
+        if chains:
+            token, name, low, high = (np.concatenate(x) for x in zip(*chains, strict=True))
+            order = np.lexsort((name, high, low, token))
+            token, name, low, high = token[order], name[order], low[order], high[order]
+            first = np.concatenate([[True], token[1:] != token[:-1]])
+            group = np.cumsum(first) - 1
+            top = int(high.max()) + 1
+            reach = np.maximum.accumulate(group * top + high) - group * top  # the largest size so far, of one shingle
+            near = ~first[1:] & (reach[:-1] * 100 >= low[1:] * percent)
+            links.append((name[:-1][near], name[1:][near]))
+        if links:
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*pairs)], ["a", "b"])
 
     return run
 
 
-def candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def candidate_groups(docs: DataFrame, size: int, percent: int, frequent, buckets: int, bits: int = 32) -> DataFrame:
     """(d1, component): the classes that may link with another, by groups outside which they can't."""
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blob = "bucket int, blob binary"
+    blob = "kind int, bucket int, blob binary"
     deal = lambda df: df.repartitionById(buckets, F.col("bucket"))
-    held = deal(docs.select("text").mapInArrow(_shingle_rows(buckets, size), blob))
+    held = deal(docs.select("text").mapInArrow(_shingle_rows(buckets, size, frequent, bits=bits), blob))
     shared = deal(held.mapInArrow(_shared(buckets), blob))
     prefixes = deal(shared.mapInArrow(_prefixes(buckets, percent), blob))
     meetings = prefixes.mapInArrow(_meetings(percent), "a long, b long")
@@ -338,27 +475,24 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _walks(percent: int):
-    """Rows (component, part, rep, blob), groups one after the other -> verified links (a, b)."""
+    """Rows (component, part, d1, d2, blob), groups one after the other -> verified links (a, b) of (d1, d2)."""
 
     def run(batches):
-        key, ids, own = None, [], []
+        key, names, own = None, [], []
 
         def done():
-            seen: dict[int, int] = {}
-            for k, i in enumerate(ids):
-                seen.setdefault(i, k)
-            keep = list(seen.values())
-            pairs = SignatureTree([own[k] for k in keep]).links(percent) if len(keep) > 1 else []
-            return [(ids[keep[x]], ids[keep[y]]) for x, y in pairs]
+            pairs = SignatureTree(own).links(percent) if len(own) > 1 else []
+            return [(names[x], names[y]) for x, y in pairs]
 
         out = []
         for batch in batches:
-            for c, p, i, x in zip(*[batch.column(k).to_pylist() for k in ("component", "part", "rep", "blob")], strict=True):
+            for c, p, d1, d2, x in zip(*[batch.column(k).to_pylist() for k in ("component", "part", "d1", "d2", "blob")], strict=True):
                 if (c, p) != key:
                     out += done()
-                    key, ids, own = (c, p), [], []
-                ids.append(i)
-                own.append(np.frombuffer(x, np.uint64))
+                    key, names, own = (c, p), [], []
+                if not names or names[-1] != (d1, d2):  # repeated rows of one class follow one another
+                    names.append((d1, d2))
+                    own.append(np.frombuffer(x, np.uint64))
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -366,26 +500,38 @@ def _walks(percent: int):
         yield _pairs(out)
 
     def _pairs(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        node = lambda k: pa.StructArray.from_arrays([pa.array([r[k][j] for r in rows], pa.int64()) for j in (0, 1)], ["d1", "d2"])
+        return pa.RecordBatch.from_arrays([node(0), node(1)], ["a", "b"])
 
     return run
 
 
 def _walked(rows: DataFrame, percent: int) -> DataFrame:
-    dealt = rows.repartition("component", "part").sortWithinPartitions("component", "part", "rep")
-    return dealt.select("component", "part", "rep", "blob").mapInArrow(_walks(percent), "a long, b long")
+    dealt = rows.repartition("component", "part").sortWithinPartitions("component", "part", "d1", "d2")
+    return dealt.select("component", "part", "d1", "d2", "blob").mapInArrow(_walks(percent), f"a {_NODE}, b {_NODE}")
+
 
+_SALT_N = 32
 
-def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, d1, d2, component_id) of each row."""
+
+def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int = 32) -> DataFrame:
+    """(doc_id, text_key, n, d1, d2, component_id) of each row; text_key is the hash of its text."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be a whole number")
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = staged(digested(base, size), "digests")
+    found = staged(digested(base, size), "digests")
+    all_rows = found.where(F.col("kind") == _ROW).select("doc_id", "text_key", "n", "d1", "d2")
     classes = all_rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    groups = staged(candidate_groups(base, size, percent), "groups")
+    total = all_rows.agg(F.sum("n")).first()[0] or 0
+    often = spark.sparkContext.broadcast(frequent_shingles(found, max(FREQUENT, total >> 20)))  # 8 MB at most
+    groups = staged(candidate_groups(base, size, percent, often, partitions_for(spark, total * 7), bits), "groups")
     member = classes.join(groups, "d1")
-    counts = member.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    counts = member.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("d1", "d2")).alias("pivot")).where("members > 1")
     member = staged(member.join(counts, "component").select("component", "members", "pivot", "rep", "n", "d1", "d2"), "members")
 
+    names = ["component", "members", "pivot", "d1", "d2"]
+
     def hashed(batches):
         for batch in batches:
             want1, want2, want = (batch.column(c).to_pylist() for c in ("d1", "d2", "n"))
@@ -395,38 +541,43 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
                     keep.append(i)
                     blobs.append(own.tobytes())
             took = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(took) for c in ("component", "members", "pivot", "rep")], pa.array(blobs, pa.binary())], ["component", "members", "pivot", "rep", "blob"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(took) for c in names], pa.array(blobs, pa.binary())], [*names, "blob"])
 
     own = base.join(member.hint("merge"), base.doc_id == member.rep)  # the same plan at every size
-    own = own.select("component", "members", "pivot", "rep", "n", "d1", "d2", "text")
-    own = own.mapInArrow(hashed, "component long, members long, pivot long, rep long, blob binary")
+    own = own.select("component", "members", "pivot", "n", "d1", "d2", "text")
+    own = own.mapInArrow(hashed, f"component long, members long, pivot {_NODE}, d1 long, d2 long, blob binary")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    part = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread_ = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(part))
+    part = F.pmod(F.xxhash64("d1"), blocks).cast("int")
+    spread_ = F.when(F.struct("d1", "d2") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(part))
     links = staged(_walked(own.withColumn("part", F.explode(spread_)), percent), "links")
     labels = components(links, "a", "b")
     big = member.where(F.col("members") > BLOCK)
     if big.limit(1).count():  # groups in several blocks: what their blocks and pivot did not join is held against all
         named = labels.select("node", F.col("component").alias("joined"))
-        tagged = big.join(named, big.rep == F.col("node"), "left").select("component", "members", "rep", F.coalesce("joined", "rep").alias("label"))
+        tagged = big.select("component", F.struct("d1", "d2").alias("own")).join(named, F.col("own") == F.col("node"), "left").select("component", "own", F.coalesce("joined", "own").alias("label"))
         per = tagged.groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"))
         main = per.groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        rest = staged(tagged.join(main, "component").where("label <> main").select("component", F.col("rep").alias("other")), "apart")
+        rest = staged(tagged.join(main, "component").where("label <> main").select("component", F.col("own").alias("other")), "apart")
         lots = rest.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("lots"))
         if lots.limit(1).count():
             held = own.join(lots, "component")
-            lot = F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int")
+            lot = F.pmod(F.xxhash64("d1"), F.col("lots")).cast("int")
             every = held.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("part", part * F.col("lots") + F.col("lot"))
-            others = held.join(rest.select("other"), held.rep == F.col("other"), "left_semi")
+            others = held.join(rest.select("other"), F.struct("d1", "d2") == F.col("other"), "left_semi")
             others = others.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("part", F.col("block") * F.col("lots") + lot)
-            cols = ["component", "part", "rep", "blob"]
+            cols = ["component", "part", "d1", "d2", "blob"]
             links = links.unionByName(staged(_walked(every.select(*cols).unionByName(others.select(*cols)), percent), "links"))
             labels = components(links, "a", "b")
-    labels = staged(labels, "labels")
-    named = classes.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("joined")), "rep", "left")
-    named = named.select("n", "d1", "d2", F.coalesce("joined", "rep").alias("label"))
+    # classes are the nodes; the smallest doc_id of each component comes last. A component may hold a third of all
+    # classes, so it is met in salted parts.
+    labels = labels.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "component")
+    marked = staged(classes.join(labels, ["d1", "d2"]).withColumn("salt", F.pmod(F.xxhash64("d1"), F.lit(_SALT_N)).cast("int")), "labels")
+    least = marked.groupBy("component").agg(F.min("rep").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT_N - 1))))
+    named = marked.join(least, ["component", "salt"]).select("n", "d1", "d2", "least")
+    named = classes.join(named, ["n", "d1", "d2"], "left").select("n", "d1", "d2", F.coalesce("least", "rep").alias("label"))
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
-    return all_rows.join(named, ["n", "d1", "d2"], "left").select("doc_id", "n", "d1", "d2", linked.alias("component_id"))
+    return all_rows.join(named, ["n", "d1", "d2"], "left").select("doc_id", "text_key", "n", "d1", "d2", linked.alias("component_id"))
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -435,5 +586,6 @@ def links(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The documents, of each linked group only the one with the smallest doc_id; rows of that very id stay."""
-    go = joined(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(go, docs.doc_id == F.col("_gone"), "left_anti")
+    id_, key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    go = joined(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__join_id"), F.col("text_key").alias("__join_key")).distinct()
+    return docs.join(go, (id_ == F.col("__join_id")) & (key == F.col("__join_key")), "left_anti")

@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import partitions_for, slices, staged, utf8
+from lexisift.llm.common import partitions_for, slices, staged, text_bytes, utf8
 from lexisift.llm.vectext import _BYTE, mix, powers, span_hash, spread
 from lexisift.llm.vectext import prefix as prefix_sums
 
 WIDTH = 100
 GRAM = 32
-#: Contexts of one anchor from which its windows are dealt out one by one, and how many such anchors there may be.
-HOT, _MOST_HOT = 8192, 1 << 20
+#: Contexts of one anchor from which its windows are dealt out one by one; never less than a 2**20th of all bytes.
+HOT = 8192
 _CHUNK = 1 << 19
 
 
@@ -534,13 +534,9 @@ def repeats(buckets: int, width: int, gram: int, most: Held = Held()):
 
 
 def _hot_set(found: DataFrame) -> np.ndarray:
-    """The sorted hashes of hot anchors, ``_MOST_HOT`` at most: those of the largest counts. An anchor left out has at most
-    (all anchors) / ``_MOST_HOT`` contexts, so that its group stays small beside the data."""
-    rows = [_unpack(bytes(r["blob"]), np.uint64, np.int64) for r in found.where(F.col("kind") == _HOT).select("blob").toLocalIterator()]
-    if not rows:
-        return np.zeros(0, np.uint64)
-    hashes, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
-    return np.sort(hashes[np.argsort(-counts, kind="stable")[:_MOST_HOT]])
+    """The sorted hashes of hot anchors: 2**20 at most, as each has a 2**20th of all bytes or more."""
+    rows = [_unpack(bytes(r["blob"]), np.uint64, np.int64)[0] for r in found.where(F.col("kind") == _HOT).select("blob").toLocalIterator()]
+    return np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
 
 
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, most: Held = Held()) -> DataFrame:
@@ -548,7 +544,8 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT,
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     long_ = base.where(F.octet_length("text") >= width)
-    buckets = partitions_for(long_)
+    size = text_bytes(long_)
+    buckets, hot = partitions_for(spark, size), max(hot, size >> 20)
     dealt = lambda df, *more: df.repartitionById(buckets, F.col("bucket")).select(*more, "blob")
     blob, document = "kind int, bucket int, blob binary", f"{_ID} long, {_KEY} long, blob binary"
     anchors = dealt(long_.mapInArrow(anchor_rows(buckets, width, gram, most), blob), "kind", "bucket")
