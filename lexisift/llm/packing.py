@@ -1,15 +1,18 @@
 """Best-fit packing of token pieces into sequences of bounded length, in bulk-synchronous rounds.
 
-Documents become token pieces; only one longer than a sequence is cut. Lengths are whole numbers up to the sequence
-length, so documents and gaps both range-sort into that many classes, however many documents there are. A round takes
-the longest class left and sweeps the gaps upward for its successor, the smallest gap that still holds it. All
-documents of the class meet all gaps of that size at once; the rank within the class decides who gets which gap, those
-left over go on to the next gap size, the gaps shrink, and the sweep repeats. Rounds work on counts per class, which the
-driver holds (bounded by the sequence length); the ranks of single pieces are found in parallel, and each piece looks
-its place up in the plan's intervals.
+Documents become token pieces; only one longer than a sequence is cut. Both documents and gaps are tables sorted by size:
+``pieces`` with the rank of each piece within its length, and runs of sequences with equal gaps. A round takes the longest
+documents left and sweeps the gaps upward for their successor, the smallest gap that still holds them. All documents of the
+length meet all gaps of that size at once: the rank decides who gets which gap, those left over go on to the next gap
+size, the gaps shrink, and the rounds repeat until no document is left.
+
+Sizes are whole numbers up to the sequence length, so sorting by range leaves as many groups of documents, and of gaps, as
+a sequence has places, however many documents there are. A round therefore moves whole runs: it says of a stretch of
+ranks which stretch of sequences it gets. The rounds run in one task over these groups (``rounds``), whose result is a table of
+stretches; ranking the pieces and joining them with their stretches are distributed. The driver sees no lengths and no plan.
 
 Defined cases: a null or empty text is a document with the end token alone; repeated rows are packed each; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read. A text is held with about 40 times its length.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import bisect
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from lexisift.llm.vectext import LOWER, SPACE, RaggedCache, cached_runs
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
+STEP = 4096
 END = 0
 
 # Characters of which it is known here how the tokenizer cuts them: ASCII, without controls and the apostrophe, and the
@@ -146,14 +151,17 @@ def cut(docs: DataFrame, path: str | None = None, most: int = SEQUENCE) -> DataF
     return docs.select("doc_id", "text").mapInArrow(cutter(path or public_tokenizers.path(TOKENIZER), most), out)
 
 
-def plan(counts: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """Intervals (length, first rank, count, first sequence, offset): rank r gets sequence first + r - first rank.
+_STRETCH = "length long, first long, count long, sequence long, offset long"
+
+
+def rounds(counts: dict[int, int], most: int = SEQUENCE):
+    """Stretches (length, first rank, count, first sequence, offset): rank r gets sequence first + r - first rank.
 
     gaps[g] are runs (first sequence, count) of sequences with g tokens free; sizes are the g with runs, in order.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
     sizes: list[int] = []
-    out, fresh = [], 0
+    fresh = 0
 
     def leave(gap, first, count):
         if gap:
@@ -165,7 +173,7 @@ def plan(counts: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, int, i
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
-            at = bisect.bisect_left(sizes, length)
+            at = bisect.bisect_left(sizes, length)  # the successor
             if at == len(sizes):
                 new = -(-left // (most // length))
                 leave(most, fresh, new)
@@ -176,7 +184,7 @@ def plan(counts: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, int, i
             while left and gaps[gap]:
                 first, count = gaps[gap].pop()
                 took = min(left, count)
-                out.append((length, rank, took, first, most - gap))
+                yield length, rank, took, first, most - gap
                 moved.append((gap - length, first, took))
                 if took < count:
                     gaps[gap].append((first + took, count - took))
@@ -186,15 +194,27 @@ def plan(counts: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, int, i
                 sizes.pop(at)
             for x in moved:
                 leave(*x)
-    return out
+
+
+def stretches(parts: DataFrame, most: int = SEQUENCE) -> DataFrame:
+    """Which stretch of sequences each stretch of ranks gets, for all lengths."""
+
+    def run(batches):
+        counts = {}
+        for batch in batches:
+            counts |= dict(zip(batch.column("length").to_pylist(), batch.column("n").to_pylist(), strict=True))
+        found = rounds(counts, most)
+        while rows := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["length", "first", "count", "sequence", "offset"])
+
+    groups = parts.groupBy("length").agg(F.count(F.lit(1)).alias("n"))  # at most ``most`` rows
+    return groups.repartition(1).mapInArrow(run, _STRETCH)
 
 
 def packed(docs: DataFrame, path: str | None = None, most: int = SEQUENCE) -> DataFrame:
-    spark = docs.sparkSession
     parts = staged(cut(docs, path, most), "pieces")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per length
-    total = sum(counts.values())
-    buckets = max(16, total // 50_000)
+    # a bucket of about 50,000 pieces: how many there are is known from the table, not from the driver's plan
+    buckets = max(16, parts.count() // 50_000)
     ranked = rank_within(
         parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))),
         "length",
@@ -202,16 +222,12 @@ def packed(docs: DataFrame, path: str | None = None, most: int = SEQUENCE) -> Da
         [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")],
         "_rank",
     ).drop("_bucket")
-    rows = np.array(sorted(plan(counts, most)), np.int64).reshape(-1, 5)
-    table = spark.sparkContext.broadcast((rows[:, 0] << np.int64(44) | rows[:, 1], rows))
-
-    def place(batches):
-        keys, rows = table.value
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            own = rows[np.searchsorted(keys, length << np.int64(44) | rank, "right") - 1] if b.num_rows else rows[:0]
-            more = [pa.array(own[:, 3] + rank - own[:, 1], pa.int64()), pa.array(own[:, 4], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], *more], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # A stretch is cut at multiples of STEP, so that a rank finds its own by (length, rank // STEP) and a comparison; large
+    # lengths meet in many such cells, not in one.
+    table = staged(stretches(parts, most), "stretches")
+    cells = table.withColumn("_cell", F.explode(F.sequence(F.expr(f"first div {STEP}"), F.expr(f"(first + count - 1) div {STEP}"))))
+    cells = cells.select(F.col("length").alias("_length"), "_cell", "first", "count", "sequence", F.col("offset"))
+    own = ranked.withColumn("_own", F.expr(f"_rank div {STEP}"))
+    inside = (F.col("length") == F.col("_length")) & (F.col("_own") == F.col("_cell")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("count"))
+    joined = own.join(cells.hint("merge"), inside)
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("_rank") - F.col("first")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
