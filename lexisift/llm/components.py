@@ -32,16 +32,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 HOT = 4096
 
 
-def _least(edges: DataFrame, hot: int) -> DataFrame:
+def _least(edges: DataFrame, hot: int | None) -> DataFrame:
     """(u, v, m): each neighbour v of u beside the least of u and all its neighbours. Minima are combined before the
-    shuffle. Nodes with ``hot`` edges or more are few and sent to all tasks, so that their edges stay where they are."""
+    shuffle. Nodes with ``hot`` edges or more are few and sent to all tasks, so that their edges stay where they are; hot is
+    None where there is no such node."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "k")
+    if hot is None:
+        return edges.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
     much = low.where(F.col("k") >= hot).select(F.col("w").alias("h"), F.col("m").alias("least"))
     marked = edges.join(F.broadcast(much), F.col("u") == F.col("h"), "left")
     rest = marked.where(F.col("h").isNull()).select("u", "v").join(low.where(F.col("k") < hot), F.col("u") == F.col("w"))
     return rest.select("u", "v", "m").unionByName(marked.where(F.col("h").isNotNull()).select("u", "v", F.col("least").alias("m")))
 
 
+def _hot(edges: DataFrame, n: int) -> int | None:
+    """The number of edges that makes a node hot, None where no node has so many. Of the 2 n ends of n edges at most 2**19
+    nodes have an n / 2**18th or more."""
+    hot = max(HOT, n >> 18)
+    if n < hot:
+        return None
+    most = edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count().agg(F.max("count")).first()[0]
+    return hot if most >= hot else None
+
+
 def _rows(df: DataFrame, *pairs) -> DataFrame:
     """Several (u, v) of each row, without reading the rows twice."""
     return df.select(F.explode(F.array(*[F.struct(F.expr(u).alias("u"), F.expr(v).alias("v")) for u, v in pairs])).alias("e")).select("e.*").where("u <> v")
@@ -53,7 +66,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges"), None
     n = now.count()
     while True:
-        hot = max(HOT, n >> 18)  # of 2 n ends at most 2**19 nodes have so many
+        hot = _hot(now, n)
         large = _rows(_least(_rows(now, ("u", "v"), ("v", "u")), hot).where("v > u"), ("v", "m"))
         small = _rows(_least(large, hot), ("v", "m"), ("u", "m"))
         now = staged(small.distinct(), "edges")

@@ -511,7 +511,7 @@ def _walked(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("component", "part", "d1", "d2", "blob").mapInArrow(_walks(percent), f"a {_NODE}, b {_NODE}")
 
 
-_SALT_N = 32
+_SALT_N, _COPIES = 32, 8
 
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int = 32) -> DataFrame:
@@ -577,7 +577,10 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int
     named = marked.join(least, ["component", "salt"]).select("n", "d1", "d2", "least")
     named = classes.join(named, ["n", "d1", "d2"], "left").select("n", "d1", "d2", F.coalesce("least", "rep").alias("label"))
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
-    return all_rows.join(named, ["n", "d1", "d2"], "left").select("doc_id", "text_key", "n", "d1", "d2", linked.alias("component_id"))
+    # a class may have a third of all rows as its copies
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    salted = all_rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_COPIES)).cast("int"))
+    return salted.join(named, ["n", "d1", "d2", "salt"], "left").select("doc_id", "text_key", "n", "d1", "d2", linked.alias("component_id"))
 
 
 def links(docs: DataFrame) -> DataFrame:
