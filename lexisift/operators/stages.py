@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def fresh(spark: SparkSession, kind: str = "review") -> str:
+    """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -17,6 +17,10 @@ def staged(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="lexisift-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         if alone:
             spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/review/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    spark, path = df.sparkSession, fresh(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lexisift.functions import features as ft
 from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
+from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
+from lexisift.operators import model as mo
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
 
@@ -96,12 +98,7 @@ scalar("sentence_count", {"n": ft.sentences}, {"n": q.SENTENCES})
 def _(spark, d):
     # a generator between the tokens and their uses, so that they are computed once a row
     w = docs(spark, d).select("doc_id", F.explode(F.array(tx.preprocessed(F.col("text")))).alias("w"))
-    return w.select("doc_id", F.size(F.array_distinct(grams(F.col("w"), 2))).cast("long").alias("n_bigrams"), F.get(grams(F.slice(F.col("w"), 1, 3), 3), F.lit(0)).alias("first_trigram"))
-
-
-def grams(words: Column, n: int) -> Column:
-    last = F.size(words) - F.lit(n - 1)
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    return w.select("doc_id", F.size(F.array_distinct(mo.grams(F.col("w"), 2))).cast("long").alias("n_bigrams"), F.get(mo.grams(F.slice(F.col("w"), 1, 3), 3), F.lit(0)).alias("first_trigram"))
 
 
 @query("strip_html", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
@@ -347,12 +344,28 @@ def _(spark, d):
     return ranges_of(range_stats(spark, d)).select("feature", *[F.round(c, 4).alias(c) for c in _SUMMARY])
 
 
-# --- range validation: ranges have eleven rows, whatever the input
-def checked(spark, d) -> DataFrame:
-    f = long_features(ft.range_features(docs(spark, d)))
-    rg = ranges_of(range_stats(spark, d)).select("feature", F.round("normal_min", 6).alias("normal_min"), F.round("normal_max", 6).alias("normal_max"))
-    df = f.withColumn("value", r(F.col("value"))).join(F.broadcast(rg), "feature")
-    return df.withColumn("status", F.when(F.col("value").between(F.col("normal_min"), F.col("normal_max")), "PASS").otherwise("WARNING"))
+# --- range validation: ranges have eleven rows, whatever the input, and go to all rows as one
+def checked(rows: DataFrame) -> DataFrame:
+    """The rows with ``checks``: feature, value, range and status of each of the eleven features; no shuffle of the rows."""
+    own = statistics(long_features(rows))
+    low, high = F.round("normal_min", 6), F.round("normal_max", 6)
+    table = ranges_of(own).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(low.alias("low"), high.alias("high"))))).alias("_ranges"))
+
+    def check(c):
+        v, to = r(F.col(c).cast("double")), F.element_at("_ranges", F.lit(c))
+        status = F.when(v.between(to["low"], to["high"]), "PASS").otherwise("WARNING")
+        return F.struct(F.lit(c).alias("feature"), v.alias("value"), to["low"].alias("normal_min"), to["high"].alias("normal_max"), status.alias("status"))
+
+    return rows.join(F.broadcast(table)).select("doc_id", F.array(*[check(c) for c in lx.RANGE_FEATURES]).alias("checks"))
+
+
+def range_rows(spark, d) -> DataFrame:
+    """The features are computed once, for the ranges and for the checks."""
+    return cl.staged(ft.range_features(docs(spark, d)))
+
+
+def checked_long(spark, d) -> DataFrame:
+    return checked(range_rows(spark, d)).select("doc_id", F.explode("checks").alias("c")).select("doc_id", "c.*")
 
 
 _CHECKED = f"""{_RF}, {_RANGES_SQL}, ck AS (SELECT doc_id, fl.feature, round(value, 6) AS value, round(normal_min, 6) AS normal_min, round(normal_max, 6) AS normal_max,
@@ -362,10 +375,10 @@ vd AS (SELECT doc_id, count_if(status = 'WARNING')::BIGINT AS warning_count, cou
 
 
 def _validation():
-    CATALOG["range_validation_long"] = (checked, f"{_CHECKED} SELECT * FROM ck")
+    CATALOG["range_validation_long"] = (checked_long, f"{_CHECKED} SELECT * FROM ck")
 
     def only(spark, d):
-        return checked(spark, d).select("doc_id", "feature", (F.col("status") == "PASS").alias("in_range"))
+        return checked_long(spark, d).select("doc_id", "feature", (F.col("status") == "PASS").alias("in_range"))
 
     CATALOG["range_check"] = (only, f"{_CHECKED} SELECT doc_id, feature, status = 'PASS' AS in_range FROM ck")
     CATALOG["range_validation"] = (validation, f"{_CHECKED} SELECT doc_id, warning_count, round(score, 6) AS suspiciousness_score, score > 0.5 AS predicted_suspicious, coalesce(warnings, '') AS warnings FROM vd")
@@ -375,10 +388,10 @@ cm AS (SELECT count_if(p AND a)::BIGINT AS tp, count_if(p AND NOT a)::BIGINT AS
 
 
 def validation(spark, d) -> DataFrame:
-    w = F.col("status") == "WARNING"
-    df = checked(spark, d).groupBy("doc_id").agg(F.count_if(w).alias("warning_count"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(w, F.col("feature")))), ",").alias("warnings"))
-    score = F.col("warning_count") / F.col("n")
-    return df.select("doc_id", "warning_count", r(score).alias("suspiciousness_score"), (score > 0.5).alias("predicted_suspicious"), "warnings")
+    df = checked(range_rows(spark, d)).withColumn("found", F.explode(F.array(F.transform(F.filter("checks", lambda c: c["status"] == "WARNING"), lambda c: c["feature"]))))
+    n = F.size("found").cast("long")
+    score = n / F.lit(float(len(lx.RANGE_FEATURES)))
+    return df.select("doc_id", n.alias("warning_count"), r(score).alias("suspiciousness_score"), (score > 0.5).alias("predicted_suspicious"), F.array_join(F.array_sort("found"), ",").alias("warnings"))
 
 
 METRICS_SQL = """m AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall,
@@ -462,13 +475,6 @@ def emb(spark, d) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
-def txt(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x: F.format_string("%.5f", F.round(x, 5) + F.lit(0.0))), ",")
-
-
-_TXT = "array_to_string(list_transform({}, lambda x: printf('%.5f', round(x, 5) + 0)), ',')"
-
-
 @query("l2_normalize", f"WITH {q.VEC} SELECT vec_id, round(list_sum(list_transform(z, lambda x: x * x)), 6) AS length, round(z[1], 6) AS first, round(z[64], 6) AS last FROM z")
 def _(spark, d):
     z = so.normalised(emb(spark, d))
@@ -717,33 +723,20 @@ vo AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS total FROM tf GRO
 vi AS (SELECT term, df, total, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vo, nd)"""
 
 
-def term_counts(spark, d) -> DataFrame:
-    words = docs(spark, d).select("doc_id", F.explode(F.array(F.filter(tx.preprocessed(F.col("text")), lambda w: F.char_length(w) > 1))).alias("w"))
-    terms = F.concat(F.col("w"), grams(F.col("w"), 2), grams(F.col("w"), 3))
-    return words.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+#: Terms in the SQL of the two queries that list them.
+LISTED = 2000
 
-#: Terms of the model's vocabulary, and terms in the SQL of the two queries that list them.
-VOCABULARY, LISTED = 20_000, 2000
 
-
-def vocabulary(tf: DataFrame, n: int, most: int = VOCABULARY) -> DataFrame:
-    """At most ``most`` terms of two documents or more, by total count, with their smoothed idf."""
-    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where("df >= 2").orderBy(F.desc("total"), "term").limit(most)
-    return top.withColumn("idf", F.ln((F.lit(1.0) + n) / (F.lit(1) + F.col("df"))) + 1)
-
-
-def weights(spark, d, most: int = VOCABULARY) -> DataFrame:
-    tf = term_counts(spark, d)
-    v = vocabulary(tf, docs(spark, d).count(), most)
-    raw = tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("weight"))
+def term_rows(spark, d) -> DataFrame:
+    """(doc_id, terms) of all documents."""
+    return mo.with_terms(docs(spark, d).select("doc_id", F.explode(F.array(tx.preprocessed(F.col("text")))).alias("processed"))).select("doc_id", "terms")
 
 
 @query("tfidf_top_terms", f"WITH {_TFIDF} SELECT term, df, total, round(idf, 6) AS idf FROM vi")
 def _(spark, d):
-    return vocabulary(term_counts(spark, d), docs(spark, d).count(), LISTED).select("term", "df", "total", r(F.col("idf")).alias("idf"))
+    n = docs(spark, d).count()
+    idf = F.ln((F.lit(1.0) + n) / (F.lit(1) + F.col("df"))) + 1
+    return mo.top_terms(term_rows(spark, d), LISTED).select("term", "df", "total", r(idf).alias("idf"))
 
 
 @query("tfidf_weights", f"WITH {_TFIDF}, x AS (SELECT doc_id, tf.term, tf * idf AS x FROM tf JOIN vi ON tf.term = vi.term) SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x")
@@ -751,6 +744,15 @@ def _(spark, d):
     return weights(spark, d, LISTED).select("doc_id", "term", r(F.col("weight")).alias("weight"))
 
 
+def weights(spark, d, most: int = mo.VOCABULARY) -> DataFrame:
+    """Terms are tokenized once and kept; the vocabulary takes the one shuffle."""
+    rows = cl.staged(term_rows(spark, d))
+    top = mo.top_terms(rows, most).collect()  # at most ``most`` rows
+    import numpy as np
+
+    return mo.tfidf(rows, [x["term"] for x in top], mo.smoothed(rows.count(), np.array([x["df"] for x in top], float)), "doc_id")
+
+
 @query("standard_scale", f"WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM fl GROUP BY feature) SELECT doc_id, fl.feature, round(CASE WHEN sd = 0 THEN 0 ELSE (value - m) / sd END, 5) AS scaled FROM fl JOIN s ON fl.feature = s.feature")
 def _(spark, d):
     return scaled(spark, d).select("doc_id", "feature", F.round("scaled", 5).alias("scaled"))
@@ -762,8 +764,15 @@ def scaled(spark, d) -> DataFrame:
     return long_.join(F.broadcast(s), "feature").select("doc_id", "feature", F.when(F.col("sd") == 0, 0.0).otherwise((F.col("value") - F.col("m")) / F.col("sd")).alias("scaled"))
 
 
-def catalog() -> dict:
+def base() -> dict:
+    """The queries of this module."""
     if "lexical_diversity" not in CATALOG:
         _late()
-        from lexisift.plans import clustering  # noqa: F401  adds its own entries
+    return CATALOG
+
+
+def catalog() -> dict:
+    base()
+    from lexisift.plans import clustering  # noqa: F401  adds its own entries
+
     return CATALOG

@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.mllib.common import _java2py
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
+from lexisift.operators import model as mo
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
-from lexisift.plans.catalog import VOCABULARY, emb, query, r, rule_verdicts, scaled, table, weights
+from lexisift.plans.catalog import base, bucket, emb, query, r, table
 
-_PAIRS = f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= 0.1)"""
+def _pairs_sql(eps: float) -> str:
+    return f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= {eps})"""
 
 
-@query("eps_neighbors", f"{_PAIRS} SELECT a, b FROM pr")
-def _(spark, d):
-    return cl.neighbours(so.normalised(emb(spark, d)))
-
-
-@query("dbscan_core", f"{_PAIRS} SELECT a AS vec_id, count(*)::BIGINT AS n, count(*) >= 10 AS is_core FROM pr GROUP BY a")
-def _(spark, d):
-    return cl.core(cl.neighbours(so.normalised(emb(spark, d))))
+#: The model's reach, and one within which the test vectors have neighbours.
+REACHES = {"": cl.EPS, "_wide": cl.WIDE}
 
 
-@query("dbscan_labels")
-def _(spark, d):
-    return cl.density_labels(so.normalised(emb(spark, d)))
+def _density(suffix: str, eps: float) -> None:
+    z = lambda spark, d: so.normalised(emb(spark, d))
+    core = f"{_pairs_sql(eps)}, co AS (SELECT a AS vec_id, count(*)::BIGINT AS n, count(*) >= 10 AS is_core FROM pr GROUP BY a)"
+    # components by the least core that is reached; a border point takes the least beside it
+    labels = f"""{core}, RECURSIVE_E AS (SELECT a, b FROM pr JOIN co x ON x.vec_id = a AND x.is_core JOIN co y ON y.vec_id = b AND y.is_core),
+rs AS (SELECT a, b FROM RECURSIVE_E UNION SELECT rs.a, e.b FROM rs JOIN RECURSIVE_E e ON rs.b = e.a), lo AS (SELECT a AS vec_id, min(b) AS low FROM rs GROUP BY a),
+be AS (SELECT b AS vec_id, min(low) AS low FROM pr JOIN lo ON lo.vec_id = a GROUP BY b), al AS (SELECT co.vec_id, is_core, coalesce(lo.low, be.low) AS low FROM co LEFT JOIN lo ON lo.vec_id = co.vec_id LEFT JOIN be ON be.vec_id = co.vec_id),
+nm AS (SELECT low, row_number() OVER (ORDER BY low) - 1 AS k FROM (SELECT DISTINCT low FROM lo)), lb AS (SELECT vec_id, is_core, coalesce(k, -1)::INT AS cluster FROM al LEFT JOIN nm ON nm.low = al.low)""".replace("WITH ", "WITH RECURSIVE ", 1)
+    query(f"eps_neighbors{suffix}", f"{_pairs_sql(eps)} SELECT a, b FROM pr")(lambda spark, d: cl.neighbours(z(spark, d), eps))
+    query(f"dbscan_core{suffix}", f"{core} SELECT * FROM co")(lambda spark, d: cl.core(cl.neighbours(z(spark, d), eps)))
+    query(f"dbscan_labels{suffix}", f"{labels} SELECT vec_id, cluster FROM lb")(lambda spark, d: cl.density_labels(z(spark, d), eps))
+    summary = "SELECT count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters, count_if(is_core)::BIGINT AS core, count_if(cluster < 0)::BIGINT AS noise, count_if(cluster >= 0 AND NOT is_core)::BIGINT AS border FROM lb"
+    query(f"dbscan_summary{suffix}", f"{labels} {summary}")(lambda spark, d: cl.density_summary(z(spark, d), eps))
+    masks = f"{labels} SELECT vec_id, cluster = -1 AS is_noise, cluster <> -1 AS is_core FROM lb"
+    query(f"dbscan_masks{suffix}", masks)(lambda spark, d: cl.density_labels(z(spark, d), eps).select("vec_id", (F.col("cluster") == -1).alias("is_noise"), (F.col("cluster") != -1).alias("is_core")))
 
 
-@query("dbscan_summary")
-def _(spark, d):
-    df = cl.density_labels(so.normalised(emb(spark, d)))
-    return df.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") >= 0).alias("core"), F.count_if(F.col("cluster") < 0).alias("noise"))
+for _suffix, _eps in REACHES.items():
+    _density(_suffix, _eps)
 
 
 @query("kmeans_labels")
@@ -70,87 +72,51 @@ def _(spark, d):
     return spark.createDataFrame([(i, [float(x) for x in row], cost) for i, row in enumerate(c)], "cluster int, c array<double>, cost double")
 
 
-def combined(spark, d) -> DataFrame:
-    """(doc_id, features): tf-idf weights of the vocabulary's terms, then the scaled features, as one sparse vector."""
-    w = weights(spark, d)
-    terms = w.select("term").distinct().withColumn("at", F.row_number().over(so.W.orderBy("term")) - 1)  # at most VOCABULARY
-    place = F.create_map(*[x for i, c in enumerate(lx.FEATURES) for x in (F.lit(c), F.lit(VOCABULARY + i))])
-    entries = w.join(F.broadcast(terms), "term").select("doc_id", "at", F.col("weight").alias("v")).unionByName(scaled(spark, d).select("doc_id", F.element_at(place, F.col("feature")).alias("at"), F.col("scaled").alias("v")))
-    return entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("entries"))
+def labelled_docs(spark, d, part: str | None = None) -> DataFrame:
+    """(doc_id, text, true_label) of all documents, or of those that the split by doc_id puts in the part."""
+    known = table(spark, d, "labels").where("quality IN (0, 1)").select("doc_id", F.when(F.col("quality") == 0, "Anomalous").otherwise("Normal").alias("true_label"))
+    df = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if part:
+        df = df.where((bucket("doc_id") < 7) if part == "train" else (bucket("doc_id") >= 7))
+    return df.join(known, "doc_id", "left")
+
+
+def combined(spark, d):
+    """(encoder, rows): fitted on the training part; sparse vectors (doc_id, at, v) of all documents."""
+    encoder = mo.fit_encoder(cl.staged(mo.prepared(labelled_docs(spark, d, "train"), ("doc_id",))))
+    return encoder, mo.encoded(mo.prepared(table(spark, d, "documents"), ("doc_id",)), encoder, "doc_id")
 
 
 @query("combined_features")
 def _(spark, d):
-    return combined(spark, d).select("doc_id", F.size("entries").cast("long").alias("n_entries"))
+    return combined(spark, d)[1].select("doc_id", F.size("at").cast("long").alias("n_entries"))
 
 
 @query("combined_vectors")
 def _(spark, d):
-    return combined(spark, d).select("doc_id", F.to_json("entries").alias("vector"))
-
+    return combined(spark, d)[1].select("doc_id", F.to_json(F.arrays_zip("at", "v")).alias("vector"))
 
-#: The threshold where no document has a label to sweep one with.
-PUBLISHED = 0.54
-#: Singular vectors kept, where the matrix has as many.
-LATENT = 200
 
-
-def _columns(spark, matrix, height: int, width: int):
-    """A dense matrix of the JVM as numpy, fetched by columns: fetched at once, its copies fill the driver."""
-    import numpy as np
-
-    sc, values = spark.sparkContext, matrix.toArray()
-    out = np.empty((height, width))
-    for i in range(width):
-        out[:, i] = _java2py(sc, sc._jvm.java.util.Arrays.copyOfRange(values, i * height, (i + 1) * height))
-    return out
-
-
-def latent(spark, d, k: int = LATENT):
-    """(rows, v, s, n): the combined vectors as staged arrays, the right singular vectors and values without centring, the number
-    of rows. V has as many rows as the vocabulary has terms; k falls to the rank."""
-    size = VOCABULARY + len(lx.FEATURES)
-    rows = cl.staged(combined(spark, d).select("doc_id", F.col("entries.at").alias("at"), F.col("entries.v").alias("v")))
-    n = rows.count()
-    matrix = RowMatrix(rows.rdd.map(lambda x: OldVectors.sparse(size, x["at"], x["v"])), n, size)
-    held = matrix._java_matrix_wrapper._java_model.rows()  # each step of the iteration reads all rows
-    held.persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
-    try:
-        found = matrix.computeSVD(min(k, n), computeU=False, rCond=1e-6)  # squares below 1e-12 of the largest are rounding
-        values = found.s.toArray()
-        return rows, _columns(spark, found._java_model.V(), size, len(values)), values, n
-    finally:
-        held.unpersist(False)
-
-
-def embedded(spark, d, k: int = LATENT) -> DataFrame:
-    """(vec_id, z): truncated SVD without centring, at length 1."""
-    rows, v, _, _ = latent(spark, d, k)
-    sent = spark.sparkContext.broadcast(v)
-
-    def project(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for at, value in zip(pdf["at"], pdf["v"]):
-                x = np.asarray(value) @ sent.value[np.asarray(at)]
-                out.append(x / (np.linalg.norm(x) or 1.0))
-            yield pd.DataFrame({"vec_id": pdf["doc_id"], "z": out})
-
-    return rows.mapInPandas(project, "vec_id long, z array<double>")
+def latent(spark, d, k: int = mo.LATENT):
+    """(encoder, rows, v, s): singular vectors and values of the training part's matrix, and its rows."""
+    rows = cl.staged(mo.prepared(labelled_docs(spark, d, "train"), ("doc_id",)))
+    encoder = mo.fit_encoder(rows)
+    vectors = cl.staged(mo.encoded(rows, encoder, "doc_id"))
+    return encoder, vectors, *mo.singular(vectors, len(encoder.terms) + len(lx.FEATURES), k)
 
 
 @query("svd_embed")
 def _(spark, d):
-    return embedded(spark, d)
+    encoder, _, v, _ = latent(spark, d)
+    rows = mo.prepared(table(spark, d, "documents"), ("doc_id",))
+    return mo.projected(rows, encoder, v, ("doc_id",)).select(F.col("doc_id").alias("vec_id"), "z")
 
 
 @query("svd_explained_variance")
 def _(spark, d):
     """The share of the variance that the latent vectors keep: E[t^2] is s^2 / n, E[t] the projected mean."""
-    rows, v, s, n = latent(spark, d)
+    _, rows, v, s = latent(spark, d)
+    n = rows.count()
     sums = rows.select(F.explode(F.arrays_zip("at", "v")).alias("e")).groupBy("e.at").agg(F.sum("e.v").alias("x"), F.sum(F.col("e.v") * F.col("e.v")).alias("xx")).collect()  # a row per column
     mean = sum(v[e["at"]] * (e["x"] / n) for e in sums)
     total = sum(e["xx"] / n - (e["x"] / n) ** 2 for e in sums)
@@ -159,16 +125,9 @@ def _(spark, d):
 
 @query("predict_review")
 def _(spark, d):
-    """Vector, nearest centroid of the main model, distance, swept threshold, forced rules and confidence of each document."""
-    z = cl.staged(embedded(spark, d)).withColumn("label", F.lit(0))
-    own = cl.staged(cl.main_labels(z))
-    known = table(spark, d, "labels").where("quality IN (0, 1)").select(F.col("doc_id").alias("vec_id"), F.when(F.col("quality") == 0, "Anomalous").otherwise("Normal").alias("true_label"))
-    th = so.best(so.sweep(cl.own_distance(z, own).join(known, "vec_id"))).first()["threshold"]
-    th = PUBLISHED if th is None else th
-    near = so.nearest(z, so.centroids(z.join(own, "vec_id"), "cluster")).select(F.col("vec_id").alias("doc_id"), "cluster", "distance")
-    df = near.join(rule_verdicts(spark, d), "doc_id")
-    bad = (F.col("distance") > th) | F.col("forced")
-    return df.select("doc_id", F.when(bad, "Anomalous").otherwise("Normal").alias("prediction"), "cluster", "distance", F.lit(th).alias("threshold"), F.least(F.abs(F.col("distance") - th) / max(th, 1e-12) * 100, F.lit(100.0)).alias("confidence"))
+    """All documents scored by the model of the training part."""
+    model = mo.fit(labelled_docs(spark, d, "train"))
+    return mo.scored(table(spark, d, "documents"), model).select("doc_id", "prediction", "cluster", "distance", "threshold", "confidence")
 
 
 @query("model_comparison")
@@ -187,7 +146,7 @@ def _(spark, d):
     return out
 
 
-@query("score_stream", None)
+@query("score_stream", f"SELECT doc_id, warning_count, forced FROM ({base()['predict_rules'][1]})")
 def _(spark, d):
     from lexisift.streaming.scoring import scored_stream
 

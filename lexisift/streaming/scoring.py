@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.functions import features as ft
 from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
+from lexisift.operators.stages import fresh
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -21,15 +20,15 @@ def verdicts(stream: DataFrame) -> DataFrame:
     return f.select("doc_id", ft.warnings().cast("long").alias("warning_count"), ft.forced(F.col("gibberish"), F.col("first")).alias("forced"))
 
 
-def scored_stream(spark: SparkSession, path: str) -> DataFrame:
-    """All files there now, scored once through a stream into a table in memory; for checks, not for large inputs."""
-    name = f"scored_{uuid.uuid4().hex}"
-    folder, _, own = path.rpartition("/")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-    reader = spark.readStream.schema(SCHEMA)
-    # a stream reads folders: a single file is picked from its own
-    stream = reader.option("pathGlobFilter", own).parquet(folder) if single else reader.parquet(path)
-    run = verdicts(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def scored_stream(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """All files there now, scored once through a stream into a table in the shared folder; ``out`` names another folder.
+
+    A stream reads folders: of a single file the name is picked from its folder, which also holds where path is a folder.
+    """
+    folder, _, own = path.rstrip("/").rpartition("/")
+    out = out or fresh(spark, "stream")
+    source = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet")
+    stream = source.parquet(f"{folder}/{own}*")
+    run = verdicts(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").outputMode("append").trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("doc_id bigint, warning_count bigint, forced boolean").parquet(out)

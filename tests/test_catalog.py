@@ -32,10 +32,3 @@ def test_matches_sql(spark, db, name):
     want = db.sql(sql)
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
-
-
-def test_fits_have_rows(spark):
-    got = catalog()["dbscan_labels"][0](spark, DATA).collect()
-    assert len(got) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    assert {r["n"] > 0 for r in catalog()["dbscan_core"][0](spark, DATA).collect()} == {True}
-    assert catalog()["score_stream"][0](spark, DATA).count() == 200

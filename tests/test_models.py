@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexisift.operators import clustering as cl
+from lexisift.operators import model as mo
 from lexisift.operators import scoring
 from lexisift.plans import catalog as ct
 from lexisift.plans import clustering as pc
@@ -12,20 +13,26 @@ ct.catalog()
 
 
 def test_vocabulary_is_whole(spark):
-    tf = ct.term_counts(spark, DATA)
+    rows = mo.prepared(pc.labelled_docs(spark, DATA, "train"), ("doc_id",))
+    tf = mo.counted(rows, "doc_id")
     shared = tf.groupBy("term").count().where("count >= 2").count()
-    used = ct.weights(spark, DATA).select("term").distinct().count()
-    assert shared > 2000 and used == min(shared, 20_000)
+    encoder = mo.fit_encoder(rows)
+    assert shared > 2000 and len(encoder.terms) == min(shared, 20_000)
     n = [r["n_entries"] for r in ct.catalog()["combined_features"][0](spark, DATA).collect()]
     assert sum(n) > ct.weights(spark, DATA, 2000).count() + 11 * len(n)
 
 
+def test_terms_are_counted_in_their_row(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["c"]), (4, None)], "doc_id long, terms array<string>")
+    assert sorted(tuple(r) for r in mo.counted(df, "doc_id").collect()) == [(1, "a", 1), (1, "b", 2), (3, "c", 1)]
+
+
 def test_latent_vectors_are_those_of_the_whole_matrix(spark):
     import numpy as np
 
-    rows, v, s, n = pc.latent(spark, DATA)
+    encoder, rows, v, s = pc.latent(spark, DATA)
+    n, ids = rows.count(), {}
     x = np.zeros((n, v.shape[0]))
-    ids = {}
     for i, r in enumerate(rows.collect()):
         ids[r["doc_id"]] = i
         x[i, r["at"]] = r["v"]
@@ -36,13 +43,51 @@ def test_latent_vectors_are_those_of_the_whole_matrix(spark):
     t = x @ v
     t /= np.linalg.norm(t, axis=1, keepdims=True)
     z = np.zeros_like(t)
-    for r in pc.embedded(spark, DATA).collect():
-        z[ids[r["vec_id"]]] = r["z"]
-    assert np.allclose(z @ z.T, t @ t.T, atol=1e-6)
+    for r in mo.projected(mo.prepared(pc.labelled_docs(spark, DATA, "train"), ("doc_id",)), encoder, v, ("doc_id",)).collect():
+        z[ids[r["doc_id"]]] = r["z"]
+    assert np.allclose(z, t, atol=1e-6)
     got = ct.catalog()["svd_explained_variance"][0](spark, DATA).first()
     assert got["k"] == len(s) and abs(got["explained_variance_ratio"] - (x @ v).var(0).sum() / x.var(0).sum()) < 1e-6
 
 
+SAMPLES = [
+    "Love this! Well made, sturdy, and very comfortable. I love it! Very pretty",
+    "Love it, a great upgrade from the original. I've had mine for a couple of years",
+    "Panget",
+    "Not impossible to put together by yourself. Only scratched one place in a not very noticeable place. Get many compliments on it and has lots of storage.",
+    "AMAZING PRODUCT!!! BUY NOW!!! BEST DEAL EVER!!! \u2b50\u2b50\u2b50\u2b50\u2b50",
+    "good",
+]
+
+
+def test_a_loaded_model_scores_new_reviews(spark, tmp_path):
+    model = mo.fit(pc.labelled_docs(spark, DATA, "train"), k=30)
+    mo.save(spark, model, f"file://{tmp_path}/model")
+    again = mo.load(spark, f"file://{tmp_path}/model")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*SAMPLES, None, ""])], "id long, review string")
+    rows = {r["id"]: r for r in mo.scored(df, again, "id", "review").collect()}
+    assert rows == {r["id"]: r for r in mo.scored(df, model, "id", "review").collect()}
+    assert [rows[i]["prediction"] for i in (2, 4, 5)] == ["Anomalous"] * 3  # a word, three marks, two tokens
+    for i in range(6):
+        r = rows[i]
+        assert r["error"] is None and 0 <= r["distance"] <= 2 and 0 <= r["cluster"] < len(model.centroids) and 0 <= r["confidence"] <= 100
+        assert r["distance"] <= r["threshold"] or r["prediction"] == "Anomalous"
+    assert rows[4]["features"]["exclamation_count"] == 9 and rows[5]["processed_text"] == "good"
+    assert all(rows[i]["prediction"] is None and rows[i]["error"] for i in (6, 7))
+
+
+def test_neighbours_lose_no_pair(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = spark.createDataFrame([(i, 0, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label int, z array<double>")
+    for eps in (0.02, 0.2):
+        got = sorted((r["a"], r["b"]) for r in cl.neighbours(z, eps).collect())
+        assert got == sorted(zip(*(c.tolist() for c in np.nonzero(np.round(1 - x @ x.T, 9) <= eps)), strict=True))
+    assert cl.neighbours(z.where("vec_id < 0")).count() == 0
+
+
 def points(spark):
     """One dense cluster, and noise in two directions that lie far apart."""
     near = [(i, [1.0, 0.001 * i, 0.0, 0.0]) for i in range(12)]
