@@ -132,17 +132,22 @@ def _bridge(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The documents are sorted by range; what a partition can't see, its last row's next one, is added from the edges.
 
-    There are two edge rows a partition, so the window over them is as long as there are partitions.
+    The numbers of the partitions with rows, and no texts, are put in order; by them each last row meets one first row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    sorted_ = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    own = docs.select("doc_id", "text").withColumn("_order", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_order")]
+    sorted_ = own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = staged(sorted_.mapInArrow(_walk, f"{out}, _part long, _edge long, _text string"), "fingerprints")
-    edges = rows.where(F.col("_edge").isNotNull())
-    w = W.orderBy("_part", "_edge")
-    start = edges.where("_edge = 0").orderBy("_part").limit(1).select(F.col("_text").alias("_start"), F.lit(1).alias("_one"))
-    ends = edges.withColumn("_next", F.lead("_text").over(w)).withColumn("_more", F.lead("_part").over(w).isNotNull()).where("_edge = 1")
-    ends = ends.withColumn("_one", F.lit(1)).join(start, "_one").withColumn("_next", F.when(F.col("_more"), F.col("_next")).otherwise(F.col("_start")))
+    parts = rows.where("_edge = 0").select("_part")
+    numbers = W.orderBy("_part")
+    after = parts.select(
+        F.col("_part").alias("_last"),
+        F.coalesce(F.lead("_part").over(numbers), F.min("_part").over(numbers.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_follows"),
+    )
+    first = rows.where("_edge = 0").select(F.col("_part").alias("_first"), F.col("_text").alias("_next"))
+    ends = rows.where("_edge = 1").select("doc_id", "_text", "_part")
+    ends = ends.join(after, F.col("_part") == F.col("_last")).join(first.hint("merge"), F.col("_follows") == F.col("_first"))
     last = ends.select("doc_id", "_text", "_next").mapInArrow(_bridge, out)
     return rows.where(F.col("_edge").isNull()).select(*_NAMES).unionByName(last)
