@@ -29,13 +29,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-HOT = 4096
+HOT = 1024
 
 
 def _least(edges: DataFrame, hot: int | None) -> DataFrame:
     """(u, v, m): each neighbour v of u beside the least of u and all its neighbours. Minima are combined before the
     shuffle. Nodes with ``hot`` edges or more are few and sent to all tasks, so that their edges stay where they are; hot is
     None where there is no such node."""
+    if hot is not None:
+        edges = staged(edges, "ends")  # read three times
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "k")
     if hot is None:
         return edges.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
@@ -63,7 +65,7 @@ def _rows(df: DataFrame, *pairs) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node. Edges need no direction; nodes may be
     of any type that has an order."""
-    now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges"), None
+    now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"), None
     n = now.count()
     while True:
         hot = _hot(now, n)
