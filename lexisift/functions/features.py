@@ -9,12 +9,12 @@ from lexisift.functions import text as t
 from lexisift.operators import lexicons as lx
 
 
-def model_features(df: DataFrame, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """The keys and the model's features. Tokens are computed once, in a projection of their own."""
-    df = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_w", t.preprocessed(F.col("_t")))
+def model_features(df: DataFrame, text: str = "text", keep: tuple = ("doc_id",), lexicon: dict | None = None, lemmas: dict | None = None) -> DataFrame:
+    """The keys and the model's features; lexicon and lemmas may be one's own. Tokens are computed once, in a projection of their own."""
+    df = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_w", t.preprocessed(F.col("_t"), lemmas))
     w, own = F.col("_w"), F.col("_t")
     n, distinct = F.size(w), F.size(F.array_distinct(w))
-    polarity, subjectivity = t.sentiment(w)
+    polarity, subjectivity = t.sentiment(w, lexicon)
     chars = F.char_length(own)
     return df.select(
         *keep,

@@ -33,8 +33,28 @@ def lemmas(words: Column, table: dict[str, str] | None = None) -> Column:
     return F.transform(words, lambda w: F.when(w.isin(list(table)), F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), w)).otherwise(w))
 
 
-def preprocessed(text: Column) -> Column:
-    return lemmas(without_stopwords(tokens(clean(text))))
+def suffix_tag(word: Column) -> Column:
+    """A tag by the word's ending; a tagger of one's own may stand in its place."""
+    out = F
+    for ending, tag in lx.ENDINGS:
+        out = out.when(F.endswith(word, F.lit(ending)), tag)
+    return out.otherwise("NN")
+
+
+def wordnet_class(tag: Column) -> Column:
+    """a, v or r by the tag's first letter; a noun otherwise."""
+    first = F.upper(F.left(tag, F.lit(1)))
+    return F.when(first == "J", "a").when(first == "V", "v").when(first == "R", "r").otherwise("n")
+
+
+def tagged_lemmas(words: Column, table: dict[tuple[str, str], str], tag=suffix_tag) -> Column:
+    """The lemma of each (word, class) in the table, else the word. tag: column of a word -> column of its tag."""
+    names = F.create_map(*[F.lit(x) for (w, c), lemma in table.items() for x in (f"{w}/{c}", lemma)]) if table else None
+    return words if names is None else F.transform(words, lambda w: F.coalesce(F.try_element_at(names, F.concat_ws("/", w, wordnet_class(tag(w)))), w))
+
+
+def preprocessed(text: Column, table: dict[str, str] | None = None) -> Column:
+    return lemmas(without_stopwords(tokens(clean(text))), table)
 
 
 def words(text: Column) -> Column:
@@ -105,13 +125,14 @@ def entropy(words_: Column, epsilon: float = 1e-10) -> Column:
     return F.when(F.size(words_) == 0, 0.0).otherwise(F.aggregate(F.sort_array(words_), start, step, lambda a: -(a["sum"] + term(a["run"]))))
 
 
-def sentiment(words_: Column) -> tuple[Column, Column]:
-    """Mean polarity and subjectivity of the words in the lexicon; 0 without any."""
-    names = list(lx.SENTIMENT)
+def sentiment(words_: Column, lexicon: dict[str, tuple[float, float]] | None = None) -> tuple[Column, Column]:
+    """Mean polarity and subjectivity of the words in the lexicon; 0 without any. ``sources.io.read_lexicon`` loads one."""
+    lexicon = lx.SENTIMENT if lexicon is None else lexicon
+    names = list(lexicon)
     known = F.filter(words_, lambda w: w.isin(names))
 
     def mean(k):
-        table = F.create_map(*[F.lit(x) for w, v in lx.SENTIMENT.items() for x in (w, v[k])])
+        table = F.create_map(*[F.lit(x) for w, v in lexicon.items() for x in (w, float(v[k]))])
         return ratio(F.aggregate(F.transform(known, lambda w: F.element_at(table, w)), F.lit(0.0), lambda a, x: a + x), F.size(known))
 
     return mean(0), mean(1)

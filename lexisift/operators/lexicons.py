@@ -69,9 +69,16 @@ PROFILE = (
     ("capital_ratio", 0.0, 0.15, 0.05),
     ("punctuation_density", 0.05, 0.25, 0.15),
 )
-# The sets' labels.
+# The labels of genuine reviews.
 GENUINE = ("OR", "Normal", "Genuine", "0")
-FRAUDULENT = ("CG", "Anomalous", "Fraudulent", "Fake", "1")
+
+
+#: ending -> tag: a tagger by endings alone, for where no other is given; anything else is a noun.
+ENDINGS = (("ly", "RB"), ("ing", "VBG"), ("ed", "VBD"), ("ous", "JJ"), ("ful", "JJ"), ("able", "JJ"), ("ive", "JJ"))
+
+
+def sql_tag(word: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({word}, '{e}') THEN '{t}'" for e, t in ENDINGS) + " ELSE 'NN' END"
 
 
 def sql_list(words) -> str:

@@ -10,6 +10,7 @@ from lexisift.functions import features as ft
 from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
 from lexisift.operators import clustering as cl
+from lexisift.operators import evaluation as ev
 from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
 from lexisift.operators import scoring as so
@@ -84,11 +85,6 @@ scalar(
     {"band": lambda t: F.when(F.size(tx.words(t)) > 200, "red").when(F.size(tx.words(t)) > 180, "orange").otherwise("default")},
     {"band": f"CASE WHEN len({q.WORDS}) > 200 THEN 'red' WHEN len({q.WORDS}) > 180 THEN 'orange' ELSE 'default' END"},
 )
-scalar(
-    "wordnet_pos",
-    {"pos": lambda t: F.when(F.upper(F.left(t, F.lit(1))) == "J", "a").when(F.upper(F.left(t, F.lit(1))) == "V", "v").when(F.upper(F.left(t, F.lit(1))) == "R", "r").otherwise("n")},
-    {"pos": "CASE upper(text[1:1]) WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'R' THEN 'r' ELSE 'n' END"},
-)
 scalar("sentence_count", {"n": ft.sentences}, {"n": q.SENTENCES})
 @query(
     "ngrams",
@@ -112,6 +108,16 @@ def _(spark, d):
     return words.select("word", tx.syllables(F.col("word")).cast("long").alias("syllables"))
 
 
+@query(
+    "wordnet_pos",
+    f"WITH {q.D}, a AS (SELECT DISTINCT unnest({q.TOKENS}) AS x FROM d), g AS (SELECT x, {lx.sql_tag('x')} AS tag FROM a) "
+    "SELECT x AS token, tag, CASE tag[1:1] WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'R' THEN 'r' ELSE 'n' END AS pos FROM g",
+)
+def _(spark, d):
+    words = docs(spark, d).select(F.explode(tx.tokens(tx.clean(F.col("text")))).alias("token")).distinct()
+    return words.withColumn("tag", tx.suffix_tag(F.col("token"))).select("token", "tag", tx.wordnet_class(F.col("tag")).alias("pos"))
+
+
 @query("stopword_anti_join", f"WITH {q.D}, a AS (SELECT unnest({q.TOKENS}) AS x FROM d) SELECT x AS token, count(*)::BIGINT AS n FROM a WHERE x NOT IN {q.STOP} GROUP BY x")
 def _(spark, d):
     stop = spark.createDataFrame([(w,) for w in dict.fromkeys(lx.STOPWORDS)], "stop string")
@@ -690,6 +696,46 @@ def _(spark, d):
     return df.select(r(F.col("f1_score")).alias("before"), r(F.col("new")).alias("after"), r(F.col("new") - F.col("f1_score")).alias("gain"))
 
 
+_DIST = "ds AS (SELECT " + ", ".join(f"{f}(distance) FILTER (true_label = '{lab}') AS {n}_{k}" for n, lab in (("normal", "Normal"), ("anomalous", "Anomalous")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + " FROM sc)"
+_DIST_NAMES = [f"{n}_{k}" for n in ("normal", "anomalous") for k in ("mean", "std", "min", "max")]
+_AP = "pa AS (SELECT distance, count_if(true_label = 'Anomalous') AS a, count(*) AS k FROM sc GROUP BY distance), ra AS (SELECT *, sum(a) OVER (ORDER BY distance DESC) AS t, sum(k) OVER (ORDER BY distance DESC) AS n FROM pa), ap AS (SELECT sum(a * t::DOUBLE / n) / sum(a) AS average_precision FROM ra)"
+
+
+@query(
+    "evaluation_record",
+    f"{_CM}, {METRICS_SQL}, {_AUC}, {_AP}, {_DIST}, sw AS ({sweep_sql()}, {_BEST} SELECT * FROM bt) SELECT tp, fp, fn, tn, "
+    + ", ".join(f"round(m.{c}, 6) AS {c}" for c in _METRICS)
+    + ", round(roc_auc::DOUBLE, 6) AS roc_auc, round(average_precision::DOUBLE, 6) AS average_precision, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in _DIST_NAMES)
+    + ", round(CASE WHEN normal_mean = 0 THEN 'Infinity'::DOUBLE ELSE anomalous_mean / normal_mean END, 6) AS separation, 0.5::DOUBLE AS in_use, round(sw.threshold, 6) AS best, round(sw.f1_score, 6) AS best_f1_score FROM m, au, ap, ds, sw",
+)
+def _(spark, d):
+    x = ev.record(so.scored(emb(spark, d)), 0.5)
+    col = lambda part, c, out=None: r(F.col(f"{part}.{c}")).alias(out or c)
+    return x.select(
+        *[F.col(f"metrics.{c}") for c in ev.MATRIX],
+        *[col("metrics", c) for c in _METRICS],
+        r(F.col("roc_auc")).alias("roc_auc"),
+        r(F.col("average_precision")).alias("average_precision"),
+        *[col("distance_statistics", c) for c in (*_DIST_NAMES, "separation")],
+        F.col("threshold_analysis.in_use").alias("in_use"),
+        col("threshold_analysis", "best"),
+        col("threshold_analysis", "f1_score", "best_f1_score"),
+    )
+
+
+_AFTER = "ca AS (SELECT count_if(distance > t AND true_label = 'Anomalous')::BIGINT AS tp, count_if(distance > t AND true_label <> 'Anomalous')::BIGINT AS fp, count_if(distance <= t AND true_label = 'Anomalous')::BIGINT AS fn, count_if(distance <= t AND true_label <> 'Anomalous')::BIGINT AS tn FROM sc, (SELECT threshold AS t FROM sw))"
+
+
+@query(
+    "improvement_report",
+    f"{_CM}, {METRICS_SQL}, sw AS ({sweep_sql(500)}, {_BEST} SELECT * FROM bt), {_AFTER}, {METRICS_SQL.replace('m AS', 'm2 AS', 1).replace('FROM cm', 'FROM ca')} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(m.{c}::DOUBLE, 6) AS before, round(m2.{c}::DOUBLE, 6) AS after, round(m2.{c}::DOUBLE - m.{c}::DOUBLE, 6) AS gain FROM m, m2" for c in ("tp", "fp", "fn", "tn", *_METRICS)),
+)
+def _(spark, d):
+    return ev.improvement(so.scored(emb(spark, d)), 0.5).select("metric", *[r(F.col(c)).alias(c) for c in ("before", "after", "gain")])
+
+
 @query("threshold_sensitivity", f"{sweep_sql(50)}, {_BEST} SELECT abs(0.5 - threshold) / greatest(0.5, 1e-12) > 0.1 AS sensitive FROM bt")
 def _(spark, d):
     return so.best(so.sweep(so.scored(emb(spark, d)), 50)).select((F.abs(F.lit(0.5) - F.col("threshold")) / 0.5 > 0.1).alias("sensitive"))

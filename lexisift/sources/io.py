@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,60 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def write_matrix(df: DataFrame, path: str, width: int, key: str = "doc_id", mode: str = "error") -> None:
+    """Sparse rows (key, at array<int>, v array<double>) of a matrix that is ``width`` wide."""
+    required(df, key, "at", "v")
+    df.select(F.col(key).alias("key"), "at", "v", F.lit(width).alias("width")).write.mode(mode).parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(key, vector): the rows as sparse vectors of the ML library."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.read.schema("key long, at array<int>, v array<double>, width int").parquet(path)
+    cells = F.map_from_arrays("at", "v")
+    dense = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)))
+    return df.select("key", array_to_vector(dense).alias("vector"))
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error") -> None:
+    """Named tables beside each other as CSV with headers, in place of the sheets of one file."""
+    for name, df in tables.items():
+        df.coalesce(1).write.mode(mode).csv(f"{path}/{name}", header=True, escape='"')
+
+
+def read_lexicon(spark: SparkSession, path: str, most: int = 50_000) -> dict[str, tuple[float, float]]:
+    """A lexicon from CSV (word, polarity, subjectivity); one with more than ``most`` words is refused, as it goes to every task."""
+    rows = read_reviews(spark, path, "word string, polarity double, subjectivity double").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a lexicon of more than {most} words")
+    return {r["word"]: (r["polarity"], r["subjectivity"]) for r in rows}
+
+
+def read_basis(spark: SparkSession, path: str, profile: DataFrame) -> DataFrame:
+    """The profile with the values that a JSON document {feature: {min, max, optimal}} gives in their place. Features unknown to
+    the profile are added with what they have."""
+    own = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<min: double, max: double, optimal: double>>")).alias("feature", "b"))
+    df = profile.join(F.broadcast(own), "feature", "full")
+    return df.select("feature", *[F.coalesce(F.col(f"b.{new}"), F.col(old)).alias(old) for new, old in (("min", "low"), ("max", "high"), ("optimal", "optimal"))])
+
+
+def preview(df: DataFrame, n: int = 5, *by: str) -> DataFrame:
+    """The first n rows by the given columns, or by the first column."""
+    return df.orderBy(*(by or df.columns[:1])).limit(n)
+
+
+def build_if_missing(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path; where there is none, ``build()`` is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def text_column(df: DataFrame) -> str:
     """original_review where there is one, else review."""
     for name in ("original_review", "review", "text"):
