@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started from."""
-    env = spark.sparkContext.environment
+    """Let Python workers import the package: on this machine from where it lies, elsewhere from a copy that Spark hands out."""
+    sc = spark.sparkContext
+    env = sc.environment
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
+    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if alone or getattr(sc, "_lexisift_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="lexisift-"), "lexisift.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(REPO, "lexisift")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, REPO))
+    sc.addPyFile(path)
+    sc._lexisift_shipped = True
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ a document is kept if the base law holds and each ratio lies within its bounds.
 
 Defined cases: a null text counts as empty; an empty text, or one without words, has no words and fails the base law.
 Repeated rows and ties are judged row by row. An empty table gives an empty result. Other columns of the input pass
-through ``judged``; names that begin with ``_q_`` are taken for its own work.
+through ``kept_documents`` under any name, and through ``judged`` except those that bear the names of its results or begin with ``_q_``.
 """
 
 from __future__ import annotations
@@ -123,7 +123,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    return judged(docs).where("kept").select(*docs.columns)
+    """The documents that are kept, whatever their columns are called: they travel as one."""
+    own = docs.select(F.struct("*").alias("_q_row"), F.col("text"))
+    return judged(own).where("kept").select("_q_row.*")
 
 
 def _sql() -> str:

@@ -53,8 +53,8 @@ def _sql(shards: int = SHARDS) -> str:
 WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
 s AS (SELECT *, {scores(shards)} AS s{shards}, {scores(shards + 1)} AS s{shards + 1} FROM d),
 a AS (SELECT *, {top(shards)} AS shard, {top(shards + 1)} AS grown_shard FROM s)
-SELECT doc_id, size, CRC AS text_crc32, 'key' AS law, shard::INT AS shard,
+SELECT doc_id, size, 'key' AS law, shard::INT AS shard,
   (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 3), doc_id, size) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM a"""
 
 
-SQL = None  # DuckDB has no CRC-32; tests hold all other columns against _sql()
+SQL = None  # DuckDB has no CRC-32; tests/llm/test_columns.py holds all other columns against _sql()
