@@ -99,13 +99,13 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_CODEC = "zstd"
+_CODEC, _LEVEL = "zstd", 6  # blobs are what the exchanges write
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.uint64).tobytes()
     body = head + b"".join(a.tobytes() for a in arrays)
-    return np.uint64(len(body)).tobytes() + pa.compress(body, codec=_CODEC, asbytes=True)
+    return np.uint64(len(body)).tobytes() + pa.Codec(_CODEC, compression_level=_LEVEL).compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
