@@ -19,6 +19,9 @@ _BY_DOCUMENTS = {
     "op7_byte_bpe": ("byte_bpe", "encoded"),
     "op9_fingerprints": ("fingerprint", "fingerprints"),
     "op10_secret_scan": ("secret_scan", "secrets"),
+    "op11_merkle_manifest": ("merkle", "manifest"),
+    "op12_periodic_runs": ("periodic", "periodic"),
+    "op13_language_id": ("language", "identified"),
 }
 
 
