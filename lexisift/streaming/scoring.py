@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +24,24 @@ def verdicts(stream: DataFrame) -> DataFrame:
     return f.select("doc_id", ft.warnings().cast("long").alias("warning_count"), ft.forced(F.col("gibberish"), F.col("first")).alias("forced"))
 
 
-def scored_stream(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
-    """All files there now, scored once through a stream into a table in the shared folder; ``out`` names another folder.
+def opened(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
+    """A stream over the Parquet files of the folder ``path``, or over that one file. A stream reads folders, so of a single file's
+    folder it takes what has exactly the file's name; tables beside it are not read."""
+    path = path.rstrip("/")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    plain = unquote(urlparse(path).path)
+    alone = len(files) == 1 and (found := unquote(urlparse(files[0]).path)) in (plain, f"{os.getcwd()}/{plain}")
+    source = spark.readStream.schema(schema)
+    if not alone:
+        return source.option("pathGlobFilter", "*.parquet").parquet(path)
+    folder, _, name = found.rpartition("/")
+    scheme = path[: len(path) - len(urlparse(path).path)] if urlparse(path).scheme else ""
+    return source.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", name)).parquet(f"{scheme}{folder}")
 
-    A stream reads folders: of a single file the name is picked from its folder, which also holds where path is a folder.
-    """
-    folder, _, own = path.rstrip("/").rpartition("/")
+
+def scored_stream(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """All files there now, scored once through a stream into a table in the shared folder; ``out`` names another folder."""
     out = out or fresh(spark, "stream")
-    source = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet")
-    stream = source.parquet(f"{folder}/{own}*")
-    run = verdicts(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").outputMode("append").trigger(availableNow=True).start(out)
+    run = verdicts(opened(spark, path)).writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").outputMode("append").trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("doc_id bigint, warning_count bigint, forced boolean").parquet(out)
