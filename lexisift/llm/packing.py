@@ -12,7 +12,7 @@ ranks which stretch of sequences it gets. The rounds run in one task over these
 stretches; ranking the pieces and joining them with their stretches are distributed. The driver sees no lengths and no plan.
 
 Defined cases: a null or empty text is a document with the end token alone; repeated rows are packed each; an empty table
-gives an empty result; other columns are not read. A text is held with about 40 times its length.
+gives an empty result; other columns are not read; a special token's literal in a text is that token. A text is held with about 40 times its length.
 """
 
 from __future__ import annotations
@@ -50,7 +50,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return found, {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -112,8 +111,25 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, begin, end, row
 
 
+@lru_cache(maxsize=2)
+def _literals(path: str) -> re.Pattern:
+    """What the tokenizer takes for a token of its own wherever it stands, as bytes."""
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in tokenizer(path)[0].get_added_tokens_decoder().values()) or b"(?!)", re.IGNORECASE)
+
+
 def tokens(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each row, without the end token, and all ids."""
+    """Tokens of each row, without the end token, and all ids. A row with the literal of a special token goes to the tokenizer whole."""
+    counts, ids = _by_parts(raw, offsets, path)
+    found = [m.start() for m in _literals(path).finditer(raw.tobytes())]
+    if not found:
+        return counts, ids
+    lists = np.split(ids, np.cumsum(counts)[:-1])
+    for i in np.unique(np.searchsorted(offsets, found, "right") - 1):
+        lists[i] = np.array(tokenizer(path)[0].encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+    return np.array([len(x) for x in lists], np.int64), np.concatenate(lists)
+
+
+def _by_parts(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     low, begin, end, row = pieces(raw, offsets)
     if not len(begin):

@@ -54,3 +54,21 @@ def test_many_pieces_of_one_length(spark, monkeypatch):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 16 and len(ends) <= best_fit([r["length"] for r in rows], 16)
+
+
+def test_special_literals(spark):
+    """Ids where a text holds the literals of special tokens, whole, in other cases or in part."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    r = random.Random(6)
+    parts = ["hello", " ", "World", "<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "'s", "é", "\n", "12"]
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "", None, *["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(400)]]
+    got = {x["doc_id"]: x for x in packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert t.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids)))

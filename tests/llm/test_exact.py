@@ -159,7 +159,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
     got = packing.packed(docs).collect()
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in ROWS}
     for r in got:

@@ -38,7 +38,6 @@ def test_stages(spark):
     docs = {k: t for k, t in repeats(list(docs.items())).items() if t}
     kinds = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}")
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in got} == set(docs)
     plain = {k: x for k, x in docs.items() if not any(re.search(p, x) for p in kinds)}
