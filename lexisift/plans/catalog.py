@@ -13,6 +13,7 @@ from lexisift.operators import clustering as cl
 from lexisift.operators import evaluation as ev
 from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
+from lexisift.operators import quantiles as qu
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
 
@@ -277,16 +278,18 @@ def _(spark, d):
 
 # --- statistics and ranges
 STATS = ("mean", "std", "min", "max", "p5", "p25", "p50", "p75", "p95")
+PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def long_features(df: DataFrame, names=lx.RANGE_FEATURES) -> DataFrame:
     return df.unpivot(["doc_id"], [F.col(c).cast("double").alias(c) for c in names], "feature", "value")
 
 
-def statistics(long_: DataFrame) -> DataFrame:
-    p = F.percentile("value", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    df = long_.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), p.alias("p"))
-    return df.select("feature", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(f"p{k}") for i, k in enumerate((5, 25, 50, 75, 95))])
+def statistics(rows: DataFrame, names=lx.RANGE_FEATURES, quantiles: bool = True) -> DataFrame:
+    """A row for each feature. Rows are read several times and should be a table; where no quantile is wanted, once."""
+    found = qu.summaries(rows, names, PROBABILITIES if quantiles else ())
+    own = [(c, *[None if x[k] is None else float(x[k]) for k in STATS[:4]], *(x["q"] or [None] * 5)) for c, x in found.items()]
+    return rows.sparkSession.createDataFrame(own, "feature string, " + ", ".join(f"{c} double" for c in STATS))
 
 
 def long_sql(names=lx.RANGE_FEATURES, source="rfeat") -> str:
@@ -299,7 +302,7 @@ _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in STATS)
 
 
 def range_stats(spark, d) -> DataFrame:
-    return statistics(long_features(ft.range_features(docs(spark, d))))
+    return statistics(range_rows(spark, d))
 
 
 @query("feature_statistics", f"{_RF} SELECT feature, {_ROUNDED} FROM st")
@@ -309,7 +312,7 @@ def _(spark, d):
 
 @query("feature_describe", f"WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, {STATS_SQL} SELECT feature, {", ".join(f"round({c}, 6) + 0 AS {c}" for c in STATS)} FROM st")
 def _(spark, d):
-    return statistics(long_features(ft.model_features(docs(spark, d)), lx.FEATURES)).select("feature", *[(r(F.col(c)) + F.lit(0.0)).alias(c) for c in STATS])
+    return statistics(cl.staged(ft.model_features(docs(spark, d))), lx.FEATURES).select("feature", *[(r(F.col(c)) + F.lit(0.0)).alias(c) for c in STATS])
 
 
 def ranges_of(st: DataFrame, method: str = "std", k: float = 1.5) -> DataFrame:
@@ -353,7 +356,7 @@ def _(spark, d):
 # --- range validation: ranges have eleven rows, whatever the input, and go to all rows as one
 def checked(rows: DataFrame) -> DataFrame:
     """The rows with ``checks``: feature, value, range and status of each of the eleven features; no shuffle of the rows."""
-    own = statistics(long_features(rows))
+    own = statistics(rows, quantiles=False)
     low, high = F.round("normal_min", 6), F.round("normal_max", 6)
     table = ranges_of(own).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(low.alias("low"), high.alias("high"))))).alias("_ranges"))
 
