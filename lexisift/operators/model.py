@@ -25,11 +25,11 @@ from lexisift.functions import text as tx
 from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
 from lexisift.operators import scoring as so
+from lexisift.operators import terms as te
 from lexisift.operators.stages import staged
 
 #: Terms of the vocabulary; singular vectors kept, where the matrix has as many; the threshold where no row has a label.
-VOCABULARY, LATENT, PUBLISHED = 20_000, 200, 0.54
-NGRAMS, LEAST = 3, 2
+VOCABULARY, LATENT, PUBLISHED = te.VOCABULARY, 200, 0.54
 
 
 class Encoder(NamedTuple):
@@ -55,53 +55,32 @@ def grams(words: Column, n: int) -> Column:
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
 
 
-def terms(words: Column, most: int = NGRAMS) -> Column:
-    """Words of two characters or more, and their n-grams."""
-    return F.concat(words, *[grams(words, n) for n in range(2, most + 1)])
-
-
-def with_terms(df: DataFrame, processed: str = "processed") -> DataFrame:
-    return df.withColumn("_long", F.explode(F.array(F.filter(processed, lambda w: F.char_length(w) > 1)))).withColumn("terms", terms(F.col("_long"))).drop("_long")
-
-
 def prepared(df: DataFrame, keep: tuple, text: str = "text") -> DataFrame:
-    """The columns to keep, the model's features, ``processed`` tokens and ``terms``; no shuffle."""
+    """The columns to keep, the model's features, ``processed`` tokens and ``words``, those of two characters or more; no shuffle."""
     own = df.withColumn("processed", F.explode(F.array(tx.preprocessed(F.coalesce(F.col(text), F.lit(""))))))  # once a row
-    return with_terms(ft.model_features(own, text, (*keep, "processed")))
-
-
-def counted(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, term, tf): terms counted within their row, by the runs of the sorted terms; no shuffle."""
-    s, at = F.col("_s"), F.col("_at")
-    df = rows.select(*keep, F.explode(F.array(F.sort_array("terms"))).alias("_s")).where(F.size("_s") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    df = df.select(*keep, "_s", F.explode(F.array(first)).alias("_at"))
-    runs = F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
-    return df.select(*keep, F.explode(runs).alias("e")).select(*keep, "e.term", "e.tf")
+    return ft.model_features(own, text, (*keep, "processed")).withColumn("words", long_words("processed"))
 
 
-def top_terms(rows: DataFrame, most: int = VOCABULARY, least: int = LEAST) -> DataFrame:
-    """(term, df, total): the most frequent terms of ``least`` rows or more. Terms are counted in their row, then in their task,
-    before they are shuffled."""
-    return counted(rows).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least).orderBy(F.desc("total"), "term").limit(most)
+def long_words(processed: str) -> Column:
+    return F.filter(processed, lambda w: F.char_length(w) > 1)
 
 
 def smoothed(n, df):
     return np.log((1 + n) / (1 + df)) + 1
 
 
-def fit_encoder(rows: DataFrame, most: int = VOCABULARY, least: int = LEAST) -> Encoder:
+def fit_encoder(rows: DataFrame, most: int = VOCABULARY, least: int = te.LEAST) -> Encoder:
     """rows: as ``prepared``."""
     stats = rows.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in lx.FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    found = sorted(top_terms(rows, most, least).collect(), key=lambda r: r["term"])  # at most ``most`` rows
+    found = sorted(te.top_terms(rows, most, least).collect(), key=lambda r: r["term"])  # at most ``most`` rows
     part = lambda k: np.array([stats[f"{k}_{c}"] or 0.0 for c in lx.FEATURES], float)
     return Encoder([r["term"] for r in found], smoothed(stats["n"], np.array([r["df"] for r in found], float)), part("m"), part("s"))
 
 
 def _weights(lists, n: int, idf: np.ndarray, known: pa.Array):
-    """Row, place and tf-idf weight, of unit length in each row, of the terms of a batch."""
-    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    """Row, place and tf-idf weight, of unit length in each row, of the n-grams of a batch of lists of words."""
+    row, term = te.grams(lists)
+    at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     size = max(len(known), 1)
     cell, count = np.unique((row * size + at)[at >= 0], return_counts=True)
     row, at = cell // size, cell % size
@@ -114,17 +93,17 @@ def tfidf(rows: DataFrame, words: list, idf: np.ndarray, key: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((words, idf))
 
     def run(batches):
-        known = pa.array(sent.value[0], pa.string())
+        known = pa.array(sent.value[0], pa.large_string())
         for batch in batches:
-            row, at, value = _weights(batch.column("terms"), batch.num_rows, sent.value[1], known)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), known.take(pa.array(at)), pa.array(value, pa.float64())], [key, "term", "weight"])
+            row, at, value = _weights(batch.column("words"), batch.num_rows, sent.value[1], known)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), known.take(pa.array(at)).cast(pa.string()), pa.array(value, pa.float64())], [key, "term", "weight"])
 
-    return rows.select(key, "terms").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, weight double")
+    return rows.select(key, "words").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, weight double")
 
 
 def _sparse(batch, encoder: Encoder, known: pa.Array):
     """Row, place and value of the terms of a batch, and its scaled features."""
-    row, at, value = _weights(batch.column("terms"), batch.num_rows, encoder.idf, known)
+    row, at, value = _weights(batch.column("words"), batch.num_rows, encoder.idf, known)
     x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in lx.FEATURES])
     return row, at, value, (x - encoder.mean) / np.where(encoder.deviation == 0, 1.0, encoder.deviation)
 
@@ -134,7 +113,7 @@ def encoded(rows: DataFrame, encoder: Encoder, key: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(encoder)
 
     def run(batches):
-        known = pa.array(sent.value.terms, pa.string())
+        known = pa.array(sent.value.terms, pa.large_string())
         for batch in batches:
             row, at, value, scaled = _sparse(batch, sent.value, known)
             n, width = scaled.shape
@@ -146,7 +125,7 @@ def encoded(rows: DataFrame, encoder: Encoder, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), *lists], [key, "at", "v"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "terms", *lx.FEATURES).mapInArrow(run, f"{key} {kind}, at array<int>, v array<double>")
+    return rows.select(key, "words", *lx.FEATURES).mapInArrow(run, f"{key} {kind}, at array<int>, v array<double>")
 
 
 def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple, out: str = "z") -> DataFrame:
@@ -155,7 +134,7 @@ def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple,
 
     def run(batches):
         own, v = sent.value
-        known = pa.array(own.terms, pa.string())
+        known = pa.array(own.terms, pa.large_string())
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
@@ -174,7 +153,7 @@ def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple,
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], z], [*keep, out])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    more = [c for c in ("terms", *lx.FEATURES) if c not in keep]
+    more = [c for c in ("words", *lx.FEATURES) if c not in keep]
     return rows.select(*keep, *more).mapInArrow(run, f"{kinds}, {out} array<double>")
 
 

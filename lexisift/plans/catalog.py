@@ -15,6 +15,7 @@ from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
 from lexisift.operators import quantiles as qu
 from lexisift.operators import scoring as so
+from lexisift.operators import terms as te
 from lexisift.plans import sqltext as q
 
 CATALOG: dict = {}
@@ -767,39 +768,43 @@ def _(spark, d):
 # --- tf-idf
 _TFIDF = rf"""{q.D}, tok AS (SELECT doc_id, list_filter({q.PRE}, lambda x: length(x) > 1) AS w FROM d),
 gr AS (SELECT doc_id, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])))) AS term FROM tok),
-tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM gr GROUP BY doc_id, term), nd AS (SELECT count(*) AS n FROM d),
-vo AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 2000),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM gr GROUP BY doc_id, term), nd AS (SELECT count(*) AS n FROM d WHERE ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 10 < 7),
+vo AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS total FROM tf WHERE ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 10 < 7 GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 20000),
 vi AS (SELECT term, df, total, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vo, nd)"""
 
 
-#: Terms in the SQL of the two queries that list them.
-LISTED = 2000
+def word_rows(spark, d) -> DataFrame:
+    """(doc_id, words) of all documents."""
+    own = docs(spark, d).select("doc_id", F.explode(F.array(tx.preprocessed(F.col("text")))).alias("processed"))
+    return own.select("doc_id", mo.long_words("processed").alias("words"))
 
 
-def term_rows(spark, d) -> DataFrame:
-    """(doc_id, terms) of all documents."""
-    return mo.with_terms(docs(spark, d).select("doc_id", F.explode(F.array(tx.preprocessed(F.col("text")))).alias("processed"))).select("doc_id", "terms")
+def vocabulary(rows: DataFrame, most: int = mo.VOCABULARY) -> tuple[DataFrame, int]:
+    """The top terms of the training part, and how many rows it has."""
+    train = rows.where(bucket("doc_id") < 7)
+    return te.top_terms(train, most), train.count()
 
 
 @query("tfidf_top_terms", f"WITH {_TFIDF} SELECT term, df, total, round(idf, 6) AS idf FROM vi")
 def _(spark, d):
-    n = docs(spark, d).count()
+    top, n = vocabulary(cl.staged(word_rows(spark, d)))
     idf = F.ln((F.lit(1.0) + n) / (F.lit(1) + F.col("df"))) + 1
-    return mo.top_terms(term_rows(spark, d), LISTED).select("term", "df", "total", r(idf).alias("idf"))
+    return top.select("term", "df", "total", r(idf).alias("idf"))
 
 
 @query("tfidf_weights", f"WITH {_TFIDF}, x AS (SELECT doc_id, tf.term, tf * idf AS x FROM tf JOIN vi ON tf.term = vi.term) SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x")
 def _(spark, d):
-    return weights(spark, d, LISTED).select("doc_id", "term", r(F.col("weight")).alias("weight"))
+    return weights(spark, d).select("doc_id", "term", r(F.col("weight")).alias("weight"))
 
 
 def weights(spark, d, most: int = mo.VOCABULARY) -> DataFrame:
-    """Terms are tokenized once and kept; the vocabulary takes the one shuffle."""
-    rows = cl.staged(term_rows(spark, d))
-    top = mo.top_terms(rows, most).collect()  # at most ``most`` rows
+    """Of all documents, by the vocabulary of the training part. Words are kept; their n-grams are made in each pass."""
+    rows = cl.staged(word_rows(spark, d))
+    top, n = vocabulary(rows, most)
+    top = top.collect()  # at most ``most`` rows
     import numpy as np
 
-    return mo.tfidf(rows, [x["term"] for x in top], mo.smoothed(rows.count(), np.array([x["df"] for x in top], float)), "doc_id")
+    return mo.tfidf(rows, [x["term"] for x in top], mo.smoothed(n, np.array([x["df"] for x in top], float)), "doc_id")
 
 
 @query("standard_scale", f"WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM fl GROUP BY feature) SELECT doc_id, fl.feature, round(CASE WHEN sd = 0 THEN 0 ELSE (value - m) / sd END, 5) AS scaled FROM fl JOIN s ON fl.feature = s.feature")
