@@ -27,14 +27,15 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import ship_package, slices, staged, utf8
+from lexisift.llm.vectext import spread
 
 PIECES = "byte_bpe_multi_50k.tiktoken"
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ROUNDS, SMOOTH, FLOOR = 3, 200.0, 1e-9
 EVIDENCE = 20.0
 KEPT = 1 << 18  # words that a task counts, or has scored, before it starts anew
@@ -164,14 +165,55 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return (1 - FLOOR * counts.shape[1]) * share + FLOOR
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """1 for each code point that is a letter, 2 for each mark."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{M}")):
+        out[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    return out
 
 
-def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list) -> tuple[np.ndarray, pa.Array]:
+    """(row, word) of all words of the texts: a letter and the letters and marks after it, in lower case."""
+    raw, edge = utf8(pa.array(["" if t is None else t.lower() for t in texts], pa.large_string()))
+    classes = _classes()
+    kind = classes[:128][np.minimum(raw, 127)]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        head = raw[lead].astype(np.int64)
+        more = 1 + (head >= 0xE0) + (head >= 0xF0)
+        point = head & np.array([0, 0x1F, 0x0F, 0x07])[more]
+        for k in (1, 2, 3):
+            point = np.where(more >= k, point << 6 | (raw[np.minimum(lead + k, len(raw) - 1)] & 0x3F), point)
+        own = classes[point]
+        kind[lead] = own
+        for k in (1, 2, 3):
+            kind[lead[more >= k] + k] = own[more >= k]
+    inside = kind > 0
+    first = np.zeros(len(raw) + 1, bool)
+    first[edge[:-1]] = True
+    before = np.concatenate([[False], inside[:-1]])[: len(raw)]
+    start = np.flatnonzero(inside & (~before | first[:-1]))
+    stop = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]])[: len(raw)] | first[1:])) + 1
+    letter = np.flatnonzero(kind == 1)
+    if not len(letter):
+        return np.zeros(0, np.int64), pa.array([], pa.large_string())
+    at = np.minimum(np.searchsorted(letter, start), len(letter) - 1)
+    fine = (letter[at] >= start) & (letter[at] < stop)
+    start, stop = letter[at][fine], stop[fine]
+    size = stop - start
+    bounds = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=bounds[1:])
+    letters = raw[spread(start, size)]
+    found = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(letters))
+    return np.searchsorted(edge, start, "right") - 1, found
+
+
+def _packed(words) -> tuple[np.ndarray, np.ndarray]:
     """The words, each with a space before it, as bytes, and where they begin."""
-    raw, edge = utf8(pa.array([f" {w}" for w in words], pa.large_string()))
-    return raw, edge
+    return utf8(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.cast(pa.large_string()), pa.scalar(" ", pa.large_string())))
 
 
 def is_held_out(key: Column) -> Column:
@@ -181,22 +223,33 @@ def is_held_out(key: Column) -> Column:
 def counted(train: DataFrame) -> DataFrame:
     """(lang, word, n): the words of all texts, counted in their task before they are shuffled."""
 
-    def run(batches):
-        held: dict[tuple, int] = {}
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
-        def out():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
-            held.clear()
+    def added(parts):
+        got = pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")])
+        return pa.table({"lang": got.column("lang"), "word": got.column("word"), "n": got.column("n_sum")})
 
+    def run(batches):
+        parts, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                found = pa.array(words_of(text.as_py()), pa.string()).value_counts()
-                for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
-                    held[lang, word] = held.get((lang, word), 0) + n
-                if len(held) >= KEPT:
-                    yield from out()
-        yield from out()
+            _, edge = utf8(batch.column("text"))
+            for a, b in slices(edge):
+                row, word = words_of(batch.column("text").slice(a, b - a).to_pylist())
+                if not len(row):
+                    continue
+                lang, word = batch.column("lang").slice(a, b - a).dictionary_encode(), word.dictionary_encode()
+                wide = len(word.dictionary)
+                cell, n = np.unique(lang.indices.to_numpy()[row].astype(np.int64) * wide + word.indices.to_numpy(), return_counts=True)
+                parts.append(pa.table({"lang": lang.dictionary.take(pa.array(cell // wide)), "word": word.dictionary.take(pa.array(cell % wide)), "n": n}))
+                size += len(n)
+                if size > KEPT:
+                    parts = [added(parts)]
+                    size = 0
+                    if parts[0].num_rows > KEPT:
+                        yield from parts[0].cast(schema).to_batches(1 << 16)
+                        parts = []
+        if parts:
+            yield from added(parts).cast(schema).to_batches(1 << 16)
 
     rows = train.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -211,10 +264,9 @@ def _shared(words: DataFrame, langs: list[str], chance: np.ndarray, vocabulary:
         kinds, pieces = {x: i for i, x in enumerate(names)}, trie(vocabulary)
         total = np.zeros(own.shape)
         for batch in batches:
-            word, lang = batch.column("word").to_pylist(), batch.column("lang").to_pylist()
-            raw, edge = _packed(word)
+            raw, edge = _packed(batch.column("word"))
             n = batch.column("n").to_numpy().astype(float)
-            kind = np.array([kinds[x] for x in lang], np.int64)
+            kind = np.array([kinds[x] for x in batch.column("lang").to_pylist()], np.int64)
             for a, b in slices(edge, 1 << 18):
                 total += expected(pieces, raw[edge[a] : edge[b]], edge[a : b + 1] - edge[a], n[a:b], kind[a:b], own)
         kind, piece = np.nonzero(total)
@@ -251,20 +303,21 @@ class Scored:
         self.at: dict[str, int] = {}
         self.logs = np.zeros((len(self.chance), 1 << 12))
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: pa.Array) -> np.ndarray:
         """(kinds, words)."""
         if len(self.at) > KEPT:
             self.clear()
-        new = [w for w in words if w not in self.at]
+        own = words.to_pylist()
+        new = [i for i, w in enumerate(own) if w not in self.at]
         if new:
-            raw, edge = _packed(new)
+            raw, edge = _packed(words.take(pa.array(new)))
             fresh = [scores(self.pieces, raw[edge[a] : edge[b]], edge[a : b + 1] - edge[a], self.chance) for a, b in slices(edge, 1 << 18)]
             begin = len(self.at)
             while begin + len(new) > self.logs.shape[1]:
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)], axis=1)
             self.logs[:, begin : begin + len(new)] = np.concatenate(fresh, axis=1)
-            self.at.update(zip(new, range(begin, begin + len(new)), strict=True))
-        return self.logs[:, [self.at[w] for w in words]]
+            self.at.update(zip([own[i] for i in new], range(begin, begin + len(new)), strict=True))
+        return self.logs[:, [self.at[w] for w in own]]
 
 
 def identified(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = PIECES) -> DataFrame:
@@ -282,13 +335,12 @@ def identified(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = PIECES)
             _, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 n = b - a
-                found = [words_of(t) for t in batch.column("text").slice(a, n).to_pylist()]
-                count = np.array([len(w) for w in found], np.int64)
+                doc, word = words_of(batch.column("text").slice(a, n).to_pylist())
+                count = np.bincount(doc, minlength=n)
                 lang, score = [UNKNOWN] * n, np.zeros(n)
                 if count.any() and names:
-                    every = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
-                    logs = known.of(every.dictionary.to_pylist())
-                    doc = np.repeat(np.arange(n), count)
+                    every = word.dictionary_encode()
+                    logs = known.of(every.dictionary)
                     which = every.indices.to_numpy()
                     total = np.stack([np.bincount(doc, row[which], n) for row in logs], 1)
                     some = np.flatnonzero(count)
