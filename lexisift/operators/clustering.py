@@ -2,89 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.operators import density as dn
 from lexisift.operators import scoring as so
 from lexisift.operators.stages import staged
 
-EPS, MIN_POINTS = 0.1, 10
-WIDE = 0.75
-PIVOTS = 64
-
-
-def pivots(z: DataFrame, most: int = PIVOTS) -> list[list[float]]:
-    """Vectors that cells are built around: the least hashes of a bounded number of rows, of equal ones one."""
-    n = z.count()
-    rows = z.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(most, int(n**0.5) // 2))).select("z").collect()
-    return [list(x) for x in dict.fromkeys(tuple(r["z"]) for r in rows)]
+EPS, WIDE = dn.EPS, 0.75
 
 
-def neighbours(z: DataFrame, eps: float = EPS) -> DataFrame:
-    """(a, b): unit vectors within a cosine distance of eps, each with itself.
-
-    The squared distance of unit vectors is twice the cosine distance. Each vector lies in the cell of its nearest pivot; two
-    vectors are at least as far apart as one of them is from the plane halfway between their pivots. So a vector goes to
-    its own cell and to those cells whose plane is within reach, and meets there the vectors of the cell, in an equi-join
-    that Spark can split. No pair is lost, and none is found twice. Pivots are few, whatever the rows.
-    """
-    if not z.take(1):
-        return z.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
-    import numpy as np
-
-    reach, p = math.sqrt(2 * eps) + 1e-9, np.array(pivots(z))
-    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
-    spark = z.sparkSession
-    rows = [(i, [float(x) for x in v], [float(x) for x in w]) for i, (v, w) in enumerate(zip(p, apart, strict=True))]
-    table = spark.createDataFrame(rows, "cell int, c array<double>, apart array<double>").agg(F.sort_array(F.collect_list(F.struct("cell", "c", "apart"))).alias("table"))
-    # squared distances less 2, by halves: -x.c
-    near = z.join(F.broadcast(table)).withColumn("far", F.explode(F.array(F.transform("table", lambda t: F.struct((-so.dot(F.col("z"), t["c"])).alias("d"), t["cell"].alias("cell"))))))
-    near = near.withColumn("own", F.array_min("far"))
-    own = near.select(F.col("vec_id").alias("a"), F.col("z").alias("za"), F.col("own.cell").alias("cell"))
-    beyond = lambda x: (x["d"] - F.col("own.d")) <= F.lit(reach) * F.get(F.get("table", F.col("own.cell"))["apart"], x["cell"]) + F.lit(1e-9)
-    cells = F.transform(F.filter("far", beyond), lambda x: x["cell"])
-    other = near.select(F.col("vec_id").alias("b"), F.col("z").alias("zb"), F.explode(cells).alias("cell"))
-    return own.join(other, "cell").where(F.round(F.lit(1.0) - so.dot(F.col("za"), F.col("zb")), 9) <= eps).select("a", "b")
-
-
-def core(pairs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
-    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("vec_id"), "n", (F.col("n") >= least).alias("is_core"))
-
-
-def density_labels(z: DataFrame, eps: float = EPS, least: int = MIN_POINTS) -> DataFrame:
-    """(vec_id, cluster): core points by connected components, border points in the least component beside them, the rest
-    -1. Components are numbered from 0 by their least vec_id."""
-    pairs = staged(neighbours(z, eps))
-    cores = staged(core(pairs, least))
-    hub = cores.where("is_core").select("vec_id")
-    links = staged(pairs.join(hub.withColumnRenamed("vec_id", "a"), "a", "left_semi"))
-    edges = links.join(hub.withColumnRenamed("vec_id", "b"), "b", "left_semi").select("a", "b")
-    labels = hub.select("vec_id", F.col("vec_id").alias("low"))
-    while True:  # least labels pass along edges, then along labels, so that the rounds are few
-        seen = edges.join(labels.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.min("low").alias("low"))
-        jump = labels.select(F.col("vec_id").alias("low"), F.col("low").alias("far"))
-        moved = staged(seen.join(jump, "low").select(F.col("a").alias("vec_id"), F.least("low", "far").alias("low")))
-        if not moved.join(labels.withColumnRenamed("low", "was"), "vec_id").where("low <> was").limit(1).count():
-            break
-        labels = moved
-    beside = links.join(labels.withColumnRenamed("vec_id", "a"), "a").groupBy("b").agg(F.min("low").alias("border")).withColumnRenamed("b", "vec_id")
-    numbers = labels.select("low").distinct().select("low", F.dense_rank().over(so.W.orderBy("low")).alias("k"))
-    every = cores.select("vec_id").join(labels, "vec_id", "left").join(beside, "vec_id", "left").withColumn("low", F.coalesce("low", "border"))
-    return every.join(numbers, "low", "left").select("vec_id", F.coalesce(F.col("k") - 1, F.lit(-1)).cast("int").alias("cluster"))
-
-
-def density_summary(z: DataFrame, eps: float = EPS, least: int = MIN_POINTS) -> DataFrame:
-    """One row: clusters, core points, noise, and border points, which lie in a cluster but are no cores."""
-    both = density_labels(z, eps, least).join(core(neighbours(z, eps), least), "vec_id")
-    inside = F.col("cluster") >= 0
-    return both.agg(
-        F.count_distinct(F.when(inside, F.col("cluster"))).alias("clusters"), F.count_if("is_core").alias("core"), F.count_if(~inside).alias("noise"), F.count_if(inside & ~F.col("is_core")).alias("border")
-    )
+def density_labels(z: DataFrame, eps: float = EPS, least: int = dn.MIN_POINTS) -> DataFrame:
+    """(vec_id, cluster) of the density clusters, -1 for noise."""
+    return dn.density(z, eps, least).select("vec_id", "cluster")
 
 
 def fitted(z: DataFrame, k: int, tries: int = 10, rounds: int = 300):

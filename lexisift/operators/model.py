@@ -26,7 +26,7 @@ from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
 from lexisift.operators import scoring as so
 from lexisift.operators import terms as te
-from lexisift.operators.stages import staged
+from lexisift.operators.stages import in_batches, staged
 
 #: Terms of the vocabulary; singular vectors kept, where the matrix has as many; the threshold where no row has a label.
 VOCABULARY, LATENT, PUBLISHED = te.VOCABULARY, 200, 0.54
@@ -98,7 +98,7 @@ def tfidf(rows: DataFrame, words: list, idf: np.ndarray, key: str) -> DataFrame:
             row, at, value = _weights(batch.column("words"), batch.num_rows, sent.value[1], known)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), known.take(pa.array(at)).cast(pa.string()), pa.array(value, pa.float64())], [key, "term", "weight"])
 
-    return rows.select(key, "words").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, weight double")
+    return in_batches(rows.select(key, "words"), run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, weight double")
 
 
 def _sparse(batch, encoder: Encoder, known: pa.Array):
@@ -125,7 +125,7 @@ def encoded(rows: DataFrame, encoder: Encoder, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), *lists], [key, "at", "v"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "words", *lx.FEATURES).mapInArrow(run, f"{key} {kind}, at array<int>, v array<double>")
+    return in_batches(rows.select(key, "words", *lx.FEATURES), run, f"{key} {kind}, at array<int>, v array<double>")
 
 
 def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple, out: str = "z") -> DataFrame:
@@ -154,7 +154,7 @@ def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple,
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     more = [c for c in ("words", *lx.FEATURES) if c not in keep]
-    return rows.select(*keep, *more).mapInArrow(run, f"{kinds}, {out} array<double>")
+    return in_batches(rows.select(*keep, *more), run, f"{kinds}, {out} array<double>")
 
 
 def singular(vectors: DataFrame, size: int, k: int = LATENT) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,8 @@ interval into bins and counts the rows in each, with the least and the greatest
 meet, so that a reducer sees as many rows as there are bins and tasks. The bin that the rank falls into is the next
 interval, drawn in to its own least and greatest value, until the two are one. The least and the greatest value of an interval never share a
 bin, so every round splits it; intervals that span many powers of two, or zero, are cut by logarithms, so that a few rounds
-do for any values. The driver holds columns x ranks x bins numbers.
+do for any values; where few rows are left in all intervals together, their values are fetched. The driver holds columns x ranks x
+bins numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 256
+BINS, FEW = 256, 4096
 _WIDE = 1 << 20
 
 
@@ -100,6 +101,9 @@ def summaries(df: DataFrame, columns, probabilities=(), bins: int = BINS) -> dic
         held = {c: x for c, x in held.items() if x}
         if not held:
             break
+        if sum(x.count for own in held.values() for x in own) <= FEW:
+            known |= _few(df, v, held, wanted)
+            break
         held = _round(df, v, held, wanted, bins)
     for c in columns:
         for j, p in enumerate(probabilities if out[c]["n"] else ()):
@@ -109,6 +113,25 @@ def summaries(df: DataFrame, columns, probabilities=(), bins: int = BINS) -> dic
     return out
 
 
+def _few(df: DataFrame, v: dict, held: dict[str, list[Interval]], wanted: dict) -> dict:
+    """The values at the wanted ranks, from all values of intervals that have ``FEW`` together."""
+    inside = {c: F.lit(False) for c in held}
+    for c, own in held.items():
+        for x in own:
+            inside[c] = inside[c] | v[c].between(x.low, x.high)
+    cells = F.array(*[F.struct(F.when(inside[c], F.lit(i)).alias("c"), v[c].alias("v")) for i, c in enumerate(held)])
+    got: dict[str, list] = {c: [] for c in held}
+    for r in df.select(F.explode(cells).alias("x")).where("x.c IS NOT NULL").select("x.*").collect():
+        got[list(held)[r["c"]]].append(r["v"])
+    out = {}
+    for c, own in held.items():
+        every = sorted(got[c])
+        for x in own:
+            mine = [u for u in every if x.low <= u <= x.high]
+            out |= {(c, k): mine[k - x.before] for k in wanted[c] if x.before <= k < x.before + x.count}
+    return out
+
+
 def _round(df: DataFrame, v: dict, held: dict[str, list[Interval]], wanted: dict, bins: int) -> dict[str, list[Interval]]:
     """The bins that the wanted ranks fall into."""
     cells, at = [], {}

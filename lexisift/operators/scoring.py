@@ -19,7 +19,8 @@ def unit(v: Column) -> Column:
 
 def normalised(df: DataFrame) -> DataFrame:
     wide = df.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return wide.select("vec_id", "label", unit(F.col("e")).alias("z"))
+    long_ = wide.withColumn("n", F.explode(F.array(F.sqrt(dot(F.col("e"), F.col("e"))))))  # once a row, not once an element
+    return long_.select("vec_id", "label", F.transform("e", lambda x: F.when(F.col("n") == 0, 0.0).otherwise(x / F.col("n"))).alias("z"))
 
 
 def centroids(z: DataFrame, cluster: str = "label") -> DataFrame:

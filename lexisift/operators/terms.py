@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.operators.stages import staged
+from lexisift.operators.stages import in_batches, staged
 
 NGRAMS, LEAST, VOCABULARY = 3, 2, 20_000
 HELD, LOT = 1 << 19, 1 << 17
@@ -107,7 +107,7 @@ def summaries(rows: DataFrame, held: int | None, column: str = "words") -> DataF
         if short:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([short], pa.int64()), pa.array([0], pa.int64())], ["term", "total", "df"])
 
-    found = rows.select(column).mapInArrow(run, "term string, total long, df long")
+    found = in_batches(rows.select(column), run, "term string, total long, df long")
     return found.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
@@ -129,7 +129,7 @@ def recounted(rows: DataFrame, candidates: pa.Array, column: str = "words") -> D
         some = np.flatnonzero(total)
         yield from pa.table([known.take(pa.array(some)), pa.array(total[some]), pa.array(df[some])], ["term", "total", "df"]).cast(_COUNTED).to_batches()
 
-    found = rows.select(column).mapInArrow(run, "term string, total long, df long")
+    found = in_batches(rows.select(column), run, "term string, total long, df long")
     return found.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 

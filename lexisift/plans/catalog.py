@@ -16,6 +16,7 @@ from lexisift.operators import model as mo
 from lexisift.operators import quantiles as qu
 from lexisift.operators import scoring as so
 from lexisift.operators import terms as te
+from lexisift.operators.stages import spread
 from lexisift.plans import sqltext as q
 
 CATALOG: dict = {}
@@ -34,7 +35,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def r(c) -> Column:

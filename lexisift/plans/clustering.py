@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.operators import clustering as cl
+from lexisift.operators import density as dn
 from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
-from lexisift.plans.catalog import base, bucket, emb, query, r, table
+from lexisift.plans.catalog import base, bucket, docs, emb, query, r, table
 
 def _pairs_sql(eps: float) -> str:
     return f"""WITH {q.VEC}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM z x, z y WHERE round(1 - list_sum(list_transform(range(1, 65), lambda i: x.z[i] * y.z[i])), 9) <= {eps})"""
@@ -28,11 +29,11 @@ def _density(suffix: str, eps: float) -> None:
 rs AS (SELECT a, b FROM RECURSIVE_E UNION SELECT rs.a, e.b FROM rs JOIN RECURSIVE_E e ON rs.b = e.a), lo AS (SELECT a AS vec_id, min(b) AS low FROM rs GROUP BY a),
 be AS (SELECT b AS vec_id, min(low) AS low FROM pr JOIN lo ON lo.vec_id = a GROUP BY b), al AS (SELECT co.vec_id, is_core, coalesce(lo.low, be.low) AS low FROM co LEFT JOIN lo ON lo.vec_id = co.vec_id LEFT JOIN be ON be.vec_id = co.vec_id),
 nm AS (SELECT low, row_number() OVER (ORDER BY low) - 1 AS k FROM (SELECT DISTINCT low FROM lo)), lb AS (SELECT vec_id, is_core, coalesce(k, -1)::INT AS cluster FROM al LEFT JOIN nm ON nm.low = al.low)""".replace("WITH ", "WITH RECURSIVE ", 1)
-    query(f"eps_neighbors{suffix}", f"{_pairs_sql(eps)} SELECT a, b FROM pr")(lambda spark, d: cl.neighbours(z(spark, d), eps))
-    query(f"dbscan_core{suffix}", f"{core} SELECT * FROM co")(lambda spark, d: cl.core(cl.neighbours(z(spark, d), eps)))
+    query(f"eps_neighbors{suffix}", f"{_pairs_sql(eps)} SELECT a, b FROM pr")(lambda spark, d: dn.neighbours(z(spark, d), eps))
+    query(f"dbscan_core{suffix}", f"{core} SELECT * FROM co")(lambda spark, d: dn.counts(z(spark, d), eps))
     query(f"dbscan_labels{suffix}", f"{labels} SELECT vec_id, cluster FROM lb")(lambda spark, d: cl.density_labels(z(spark, d), eps))
     summary = "SELECT count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters, count_if(is_core)::BIGINT AS core, count_if(cluster < 0)::BIGINT AS noise, count_if(cluster >= 0 AND NOT is_core)::BIGINT AS border FROM lb"
-    query(f"dbscan_summary{suffix}", f"{labels} {summary}")(lambda spark, d: cl.density_summary(z(spark, d), eps))
+    query(f"dbscan_summary{suffix}", f"{labels} {summary}")(lambda spark, d: dn.summary(z(spark, d), eps))
     masks = f"{labels} SELECT vec_id, cluster = -1 AS is_noise, cluster <> -1 AS is_core FROM lb"
     query(f"dbscan_masks{suffix}", masks)(lambda spark, d: cl.density_labels(z(spark, d), eps).select("vec_id", (F.col("cluster") == -1).alias("is_noise"), (F.col("cluster") != -1).alias("is_core")))
 
@@ -75,7 +76,7 @@ def _(spark, d):
 def labelled_docs(spark, d, part: str | None = None) -> DataFrame:
     """(doc_id, text, true_label) of all documents, or of those that the split by doc_id puts in the part."""
     known = table(spark, d, "labels").where("quality IN (0, 1)").select("doc_id", F.when(F.col("quality") == 0, "Anomalous").otherwise("Normal").alias("true_label"))
-    df = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    df = docs(spark, d)
     if part:
         df = df.where((bucket("doc_id") < 7) if part == "train" else (bucket("doc_id") >= 7))
     return df.join(known, "doc_id", "left")
@@ -84,7 +85,7 @@ def labelled_docs(spark, d, part: str | None = None) -> DataFrame:
 def combined(spark, d):
     """(encoder, rows): fitted on the training part; sparse vectors (doc_id, at, v) of all documents."""
     encoder = mo.fit_encoder(cl.staged(mo.prepared(labelled_docs(spark, d, "train"), ("doc_id",))))
-    return encoder, mo.encoded(mo.prepared(table(spark, d, "documents"), ("doc_id",)), encoder, "doc_id")
+    return encoder, mo.encoded(mo.prepared(docs(spark, d), ("doc_id",)), encoder, "doc_id")
 
 
 @query("combined_features")
@@ -108,7 +109,7 @@ def latent(spark, d, k: int = mo.LATENT):
 @query("svd_embed")
 def _(spark, d):
     encoder, _, v, _ = latent(spark, d)
-    rows = mo.prepared(table(spark, d, "documents"), ("doc_id",))
+    rows = mo.prepared(docs(spark, d), ("doc_id",))
     return mo.projected(rows, encoder, v, ("doc_id",)).select(F.col("doc_id").alias("vec_id"), "z")
 
 
@@ -127,7 +128,7 @@ def _(spark, d):
 def _(spark, d):
     """All documents scored by the model of the training part."""
     model = mo.fit(labelled_docs(spark, d, "train"))
-    return mo.scored(table(spark, d, "documents"), model).select("doc_id", "prediction", "cluster", "distance", "threshold", "confidence")
+    return mo.scored(docs(spark, d), model).select("doc_id", "prediction", "cluster", "distance", "threshold", "confidence")
 
 
 @query("model_comparison")

@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lexisift.operators import clustering as cl
+from lexisift.operators import density as dn
 from lexisift.operators import model as mo
 from lexisift.operators import scoring
 from lexisift.plans import catalog as ct
@@ -80,9 +81,9 @@ def test_neighbours_lose_no_pair(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = spark.createDataFrame([(i, 0, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label int, z array<double>")
     for eps in (0.02, 0.2):
-        got = sorted((r["a"], r["b"]) for r in cl.neighbours(z, eps).collect())
+        got = sorted((r["a"], r["b"]) for r in dn.neighbours(z, eps).collect())
         assert got == sorted(zip(*(c.tolist() for c in np.nonzero(np.round(1 - x @ x.T, 9) <= eps)), strict=True))
-    assert cl.neighbours(z.where("vec_id < 0")).count() == 0
+    assert dn.neighbours(z.where("vec_id < 0")).count() == 0
 
 
 def points(spark):

@@ -26,8 +26,9 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("bins", [2, 256])
-def test_quantiles(spark, bins):
+@pytest.mark.parametrize("bins,few", [(2, 0), (256, 0), (256, 4096)])
+def test_quantiles(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(qu, "FEW", few)
     rows = list(zip(*CASES.values(), strict=True))
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in CASES)).repartition(7).cache()
     got = qu.summaries(df if bins > 2 else df.select("ties", "one", "none", "two", "whole"), CASES if bins > 2 else ("ties", "one", "none", "two", "whole"), P, bins)
