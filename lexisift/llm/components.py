@@ -49,7 +49,8 @@ def _least(edges: DataFrame, hot: int | None) -> DataFrame:
 
 def _hot(edges: DataFrame, n: int) -> int | None:
     """The number of edges that makes a node hot, None where no node has so many. Of the 2 n ends of n edges at most 2**19
-    nodes have an n / 2**18th or more."""
+    nodes have an n / 2**18th or more, which bounds what is sent to all tasks. A node with fewer is met by a sort-merge join that
+    holds one row of it, and its edges are less than a partition's, so no task grows with it."""
     hot = max(HOT, n >> 18)
     if n < hot:
         return None

@@ -78,8 +78,10 @@ def _each(batch, size):
         yield from zip(range(a, b), sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size), strict=True)
 
 
-#: Classes that hold a shingle from which it counts as frequent; never less than a 2**20th of all shingles.
-FREQUENT = 8192
+#: Classes that hold a shingle from which it counts as frequent, at every size of the corpus; and how many of these shingles
+#: all tasks hear of before, the others being noticed by their own bucket.
+FREQUENT, KNOWN_FREQUENT = 8192, 1 << 20
+_LOT = 1 << 22
 _ROW, _REPORT = 0, 1
 _NODE = "struct<d1:bigint,d2:bigint>"
 
@@ -129,7 +131,7 @@ def digested(docs: DataFrame, size: int = SIZE, flush: int = _FLUSH) -> DataFram
 
 def frequent_shingles(digests: DataFrame, least: int) -> np.ndarray:
     """The sorted shingles that ``least`` reported sets or more hold. With least at a 2**20th of all shingles there are 2**20 at
-    most. A shingle missed, as its sets lie far apart, is an ordinary one."""
+    most. A shingle missed, as its sets lie far apart, is noticed by its bucket."""
 
     def run(batches):
         got = [_unpack(x, np.uint64, np.int64) for batch in batches for x in batch.column("blob").to_pylist()]
@@ -184,9 +186,10 @@ def _shingle_rows(buckets: int, size: int, frequent, flush_at: int = _FLUSH, bit
         known = _bucket(token, buckets) << np.int64(32) | (token & low).astype(np.int64)
         often, hot = frequent.value, np.zeros(0, np.int64)
         lots = np.arange(len(token))
-        if len(often):
-            at = np.minimum(np.searchsorted(often, token), len(often) - 1)
-            is_hot = often[at] == token
+        if len(often):  # by number: another shingle of that number counts as frequent too, for all classes alike
+            often = np.unique(_bucket(often, buckets) << np.int64(32) | (often & low).astype(np.int64))
+            at = np.minimum(np.searchsorted(often, known), len(often) - 1)
+            is_hot = often[at] == known
             hot, lots = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
         del token
         lost = np.zeros(len(held), np.int64)
@@ -234,27 +237,50 @@ def _owned(token, d1, n, lost, rare, buckets: int) -> pa.RecordBatch:
     return _rows(_OWN, names, blobs)
 
 
-def _shared(buckets: int):
+def _shared(buckets: int, frequent: int = FREQUENT, lot: int = _LOT):
     """Of a bucket's shingles those that two classes or more hold, dealt out by class; those already dealt out pass.
 
     In a bucket a shingle is known by 32 bits; buckets grow in number with the data. Different shingles that are known by
     one number count as one, for all classes alike: groups may grow by that, but no link is lost, as ``_prefixes`` says.
+    Whenever ``lot`` rows have come, a shingle with ``frequent`` of them is found to be frequent: it comes last for all its
+    classes, which are dealt out as they come, so that no more rows of it are held.
     """
 
     def run(batches):
-        got = []
+        got, size, most, over = [], 0, lot, np.zeros(0, np.int64)
         for batch in batches:
             for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
                 if kind == _OWN:
                     yield _rows(_OWN, [bucket], [blob])
-                else:
-                    got.append((bucket, _unpack(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8)))
-        if not got:
-            return
-        own = [_planes(g[4]) for _, g in got]
-        token = np.concatenate([np.cumsum(_planes(g[3]), dtype=np.uint32).astype(np.int64) | np.int64(b) << np.int64(32) for b, g in got])
-        d1, n, lost = (np.concatenate([g[k][i] for (_, g), i in zip(got, own, strict=True)]) for k in range(3))
+                    continue
+                got.append(read(bucket, blob))
+                size += len(got[-1][0])
+                if size >= most:
+                    token, count = np.unique(np.concatenate([g[0] for g in got]), return_counts=True)
+                    over = np.union1d(over, token[count >= frequent])
+                    got = yield from shed(got, over)
+                    size = len(got[0][0])
+                    most = max(lot, 2 * size)
+        if got:
+            yield from ranked(*(yield from shed(got, over))[0])
+
+    def read(bucket, blob):
+        d1, n, lost, delta, back = _unpack(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8)
+        back = _planes(back)
+        return np.cumsum(_planes(delta), dtype=np.uint32).astype(np.int64) | np.int64(bucket) << np.int64(32), d1[back], n[back], lost[back]
+
+    def shed(got, over):
+        token, d1, n, lost = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
+        if len(over):
+            goes = np.isin(token, over)
+            yield _owned(token[goes], d1[goes], n[goes], lost[goes], np.full(int(goes.sum()), _FAR, np.uint8), buckets)
+            token, d1, n, lost = token[~goes], d1[~goes], n[~goes], lost[~goes]
+        return [(token, d1, n, lost)]
+
+    def ranked(token, d1, n, lost):
+        if not len(token):
+            return
         order = np.argsort(token, kind="stable")
         same = token[order][1:] == token[order][:-1]
         order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
@@ -368,7 +394,7 @@ def candidate_groups(docs: DataFrame, size: int, percent: int, frequent, buckets
     blob = "kind int, bucket int, blob binary"
     deal = lambda df: df.repartitionById(buckets, F.col("bucket"))
     held = deal(docs.select("text").mapInArrow(_shingle_rows(buckets, size, frequent, bits=bits), blob))
-    shared = deal(held.mapInArrow(_shared(buckets), blob))
+    shared = deal(held.mapInArrow(_shared(buckets, FREQUENT, _LOT), blob))
     prefixes = deal(shared.mapInArrow(_prefixes(buckets, percent), blob))
     meetings = prefixes.mapInArrow(_meetings(percent), "a long, b long")
     return components(meetings, "a", "b").withColumnRenamed("node", "d1")
@@ -524,7 +550,7 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int
     all_rows = found.where(F.col("kind") == _ROW).select("doc_id", "text_key", "n", "d1", "d2")
     classes = all_rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     total = all_rows.agg(F.sum("n")).first()[0] or 0
-    often = spark.sparkContext.broadcast(frequent_shingles(found, max(FREQUENT, total >> 20)))  # 8 MB at most
+    often = spark.sparkContext.broadcast(frequent_shingles(found, max(FREQUENT, total // KNOWN_FREQUENT)))  # 8 MB at most
     groups = staged(candidate_groups(base, size, percent, often, partitions_for(spark, total * 7), bits), "groups")
     member = classes.join(groups, "d1")
     counts = member.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("d1", "d2")).alias("pivot")).where("members > 1")

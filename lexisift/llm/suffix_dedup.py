@@ -20,7 +20,9 @@ in number with the bytes of the texts. Only the last two columns' states are hel
 No task gets a passage's every occurrence. Of an anchor that occurs twice in one flush all occurrences are known to be
 repeated, so its bucket hears of it once a flush. Equal contexts of one flush send one on, the earliest; the others are
 repeats already. An anchor with ``HOT`` contexts or more (a line in a third of all documents) leaves the columns: its windows
-go by a 128-bit digest of their bytes, of equal ones in a flush the earliest alone.
+go by a 128-bit digest of their bytes, of equal ones in a flush the earliest alone. The limit is the same at every size. The most
+frequent of these anchors, with a 2**20th of all bytes or more, are sent to all tasks; a bucket that gathers ``HOT`` contexts of any other
+anchor turns them, and all that follow, into windows too, which are dealt out once more.
 
 Defined cases: a null text counts as empty; texts shorter than ``width`` lose nothing; a null doc_id comes first; rows
 with equal id and text are one place in the order, of which none is earlier; rows of one id with different texts follow
@@ -45,8 +47,9 @@ from lexisift.llm.vectext import prefix as prefix_sums
 
 WIDTH = 100
 GRAM = 32
-#: Contexts of one anchor from which its windows are dealt out one by one; never less than a 2**20th of all bytes.
-HOT = 8192
+#: Contexts of one anchor from which its windows are dealt out one by one, at every size of the corpus; and how many of these
+#: anchors all tasks hear of before, the others being noticed by their own bucket.
+HOT, KNOWN_HOT = 8192, 1 << 20
 _CHUNK = 1 << 19
 
 
@@ -471,28 +474,60 @@ def columns(text: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarra
     return repeat
 
 
-def repeats(buckets: int, width: int, gram: int, most: Held = Held()):
+def repeats(buckets: int, width: int, gram: int, most: Held = Held(), hot: int = HOT):
     """From all contexts and windows of a bucket: the repeats among them, as runs of their documents; runs already known
-    pass. Contexts are sorted in lots of whole anchors; an anchor of more than a lot is a lot of its own, and hot ones are
-    not here."""
+    pass. Contexts are sorted in lots of whole anchors. An anchor with ``hot`` contexts goes on as windows."""
     left, lot = width - gram, most.lot
+    kinds = (np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8)
 
     def run(batches):
-        held, windows = [], []
+        held, windows, size, over = [], [], 0, np.zeros(0, np.uint64)
         for batch in batches:
             for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
                 if kind == _KNOWN:
                     yield _rows(_KNOWN, [bucket], [blob])
                 elif kind == _CONTEXT:
-                    held.append(_unpack(blob, np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8))
+                    held.append(_unpack(blob, *kinds))
+                    size += len(held[-1][2])
+                    if size >= max(4 * lot, 2 * hot):
+                        held, over = yield from _shed(held, over)
+                        size = 0
                 else:
                     windows.append(_unpack(blob, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32))
         if windows:
             yield from _late_windows(windows, buckets, width)
         del windows
+        if held:
+            held, over = yield from _shed(held, over)
         if held:
             yield from _sorted_lots(held)
 
+    def _shed(got, over):
+        """The contexts of hot anchors leave as windows; the others, and the hot anchors so far, are returned."""
+        name = np.concatenate([g[2] for g in got])
+        found, count = np.unique(name, return_counts=True)
+        over = np.union1d(over, found[count >= hot])
+        if not np.isin(found, over).any():
+            return got, over
+        rest, parts, n = [], [], 0
+        for doc, key, anchor, back, place, low, high, data in got:
+            goes = np.isin(anchor, over)
+            lengths = low.astype(np.int64) - high + width
+            starts = np.cumsum(lengths) - lengths
+            i, j = np.flatnonzero(goes), np.flatnonzero(~goes)
+            if len(j):
+                rest.append((doc, key, anchor[j], back[j], place[j], low[j], high[j], data[spread(starts[j], lengths[j])]))
+            if len(i):
+                text = _laid(data, starts[i], lengths[i], low[i].astype(np.int64), width, gram)
+                parts.append((doc[back[i]], key[back[i]], place[i], low[i].astype(np.int64), high[i].astype(np.int64), text))
+                n += len(i)
+            if n >= lot:
+                yield from _windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, width, gram)
+                parts, n = [], 0
+        if parts:
+            yield from _windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, width, gram)
+        return rest, over
+
     def _sorted_lots(got):
         anchor, place, low, high = (np.concatenate([g[k] for g in got]) for k in (2, 4, 5, 6))
         doc = np.concatenate([g[0][g[3]] for g in got])
@@ -533,29 +568,55 @@ def repeats(buckets: int, width: int, gram: int, most: Held = Held()):
     return run
 
 
-def _hot_set(found: DataFrame) -> np.ndarray:
-    """The sorted hashes of hot anchors: 2**20 at most, as each has a 2**20th of all bytes or more."""
-    rows = [_unpack(bytes(r["blob"]), np.uint64, np.int64)[0] for r in found.where(F.col("kind") == _HOT).select("blob").toLocalIterator()]
-    return np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+def _hot_set(found: DataFrame, least: int) -> tuple[np.ndarray, bool]:
+    """The sorted hashes of the anchors that occur ``least`` times or more, and whether there are other hot ones."""
+
+    def run(batches):
+        some, others = [], 0
+        for batch in batches:
+            for x in batch.column("blob").to_pylist():
+                hashes, total = _unpack(x, np.uint64, np.int64)
+                some.append(hashes[total >= least])
+                others += int((total < least).sum())
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(some).tobytes()], pa.binary()), pa.array([others], pa.int64())], ["blob", "others"])
+
+    rows = found.where(F.col("kind") == _HOT).select("blob").mapInArrow(run, "blob binary, others long").collect()
+    every = [np.frombuffer(bytes(r["blob"]), np.uint64) for r in rows]
+    return np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64), any(r["others"] for r in rows)
+
+
+def _late(buckets: int, width: int):
+    def run(batches):
+        got = [_unpack(x, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32) for batch in batches for x in batch.column("blob").to_pylist()]
+        if got:
+            yield from _late_windows(got, buckets, width)
+
+    return run
 
 
-def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, most: Held = Held()) -> DataFrame:
+def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, most: Held = Held(), known_hot: int = KNOWN_HOT) -> DataFrame:
     """(id, key, blob): the stretches [start, end) of bytes to remove, as pairs of numbers; they may overlap."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     long_ = base.where(F.octet_length("text") >= width)
     size = text_bytes(long_)
-    buckets, hot = partitions_for(spark, size), max(hot, size >> 20)
+    buckets = partitions_for(spark, size)
     dealt = lambda df, *more: df.repartitionById(buckets, F.col("bucket")).select(*more, "blob")
     blob, document = "kind int, bucket int, blob binary", f"{_ID} long, {_KEY} long, blob binary"
     anchors = dealt(long_.mapInArrow(anchor_rows(buckets, width, gram, most), blob), "kind", "bucket")
     repeated = staged(anchors.mapInArrow(repeated_anchors(buckets, hot), blob), "anchors")
-    often = spark.sparkContext.broadcast(_hot_set(repeated))  # 8 MB at most
+    before, more = _hot_set(repeated, max(hot, size // known_hot))
+    often = spark.sparkContext.broadcast(before)  # 8 bytes for each of known_hot at most, as each has such a share of all bytes
     lists = dealt(repeated.where(F.col("kind") == _KNOWN)).mapInArrow(_by_document(3), document)
     id_ = F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID)))
     beside = long_.join(lists, (id_ == F.col(_ID)) & (F.col("text_key") == F.col(_KEY)))
     found = dealt(beside.select("doc_id", "text", "text_key", "blob").mapInArrow(context_rows(buckets, width, gram, often, most), blob), "kind", "bucket")
-    every = found.mapInArrow(repeats(buckets, width, gram, most), blob)
+    every = found.mapInArrow(repeats(buckets, width, gram, most, hot), blob)
+    if more:  # their buckets send windows, which meet once more
+        every = staged(every, "repeats")
+        late = dealt(every.where(F.col("kind") == _WINDOW)).mapInArrow(_late(buckets, width), blob)
+        every = every.where(F.col("kind") == _KNOWN).unionByName(late)
     return dealt(every).mapInArrow(_by_document(2), document)
 
 

@@ -50,8 +50,10 @@ def rows_of(n, seed):
     return out
 
 
-@pytest.mark.parametrize("bits,frequent,block", [(3, 8192, 1024), (32, 40, 16)])
-def test_components(spark, monkeypatch, bits, frequent, block):
+@pytest.mark.parametrize("bits,frequent,block,lot", [(3, 8192, 1024, 1 << 22), (32, 40, 16, 1 << 22), (32, 5, 1024, 50), (3, 5, 1024, 50)])
+def test_components(spark, monkeypatch, bits, frequent, block, lot):
+    monkeypatch.setattr(ngram_join, "_LOT", lot)
+    monkeypatch.setattr(ngram_join, "KNOWN_FREQUENT", 1 if lot == 50 else 1 << 20)  # one: no shingle is known before
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = rows_of(160, bits)
@@ -97,3 +99,24 @@ def test_stars_stay_whole(spark, monkeypatch):
     assert {(r["node"], r["component"]) for r in cc.components(df, "a", "b").collect()} == {(x, find(x)) for x in up}
     pairs = df.select(F.struct(F.col("a").alias("d1"), F.lit(1).alias("d2")).alias("a"), F.struct(F.col("b").alias("d1"), F.lit(1).alias("d2")).alias("b"))
     assert {(r["node"]["d1"], r["component"]["d1"]) for r in cc.components(pairs, "a", "b").collect()} == {(x, find(x)) for x in up}
+
+
+def test_no_bucket_holds_a_frequent_shingle():
+    """One shingle at 50 times the limit in one bucket: its rows go out as they come."""
+    import numpy as np
+
+    limit, n = 20, 1000
+    sets = [np.array([7], np.uint64)] * n
+    blobs = []
+    for a in range(0, n, 10):
+        token = np.concatenate(sets[a : a + 10]).astype(np.uint32)
+        order = np.argsort(token, kind="stable")
+        planes = lambda x: np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+        doc = np.arange(10)[order]
+        blobs.append(ngram_join._pack(np.arange(a, a + 10), np.full(10, 1), np.zeros(10, np.int64), planes(np.diff(token[order], prepend=np.uint32(0))), planes(doc)))
+    rows = ngram_join._rows(ngram_join._SHINGLE, [0] * len(blobs), blobs)
+    out = list(ngram_join._shared(1, limit, 4 * limit)([rows]))
+    parts = [ngram_join._unpack(b, np.int64, np.int64, np.int64, np.int64, np.uint8) for x in out for b in x.column("blob").to_pylist()]
+    assert max(len(p[0]) for p in parts) <= 4 * limit + 10  # what had come when the limit was noticed
+    assert {int(t) for p in parts for t in p[0]} == {7} and sorted(int(d) for p in parts for d in p[1]) == list(range(n))
+    assert {int(x) for p in parts for x in p[4]} == {ngram_join._FAR}

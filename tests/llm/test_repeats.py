@@ -44,12 +44,15 @@ def rows_of(n=250, seed=3):
     return out + [(n, out[0][1]), (n + 1, out[0][1]), (n + 2, None), (n + 3, ""), (n + 4, "é" * 300)]
 
 
-@pytest.mark.parametrize("hot,held", [(8192, (1 << 19, 1 << 20, 4 << 20, 1 << 14)), (20, (64, 4000, 4000, 32)), (2, (300, 4000, 20000, 64)), (8192, (50, 3000, 2000, 8))])
-def test_repeats_whatever_the_flushes(spark, monkeypatch, hot, held):
+@pytest.mark.parametrize(
+    "hot,held,known_hot",
+    [(8192, (1 << 19, 1 << 20, 4 << 20, 1 << 14), 1 << 20), (20, (64, 4000, 4000, 32), 1 << 20), (2, (300, 4000, 20000, 64), 1 << 20), (8192, (50, 3000, 2000, 8), 1 << 20), (3, (64, 4000, 2000, 1), 1), (20, (64, 4000, 2000, 4), 200)],
+)
+def test_repeats_whatever_the_flushes(spark, monkeypatch, hot, held, known_hot):
     rows = rows_of()
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA).repartition(3)
     original = suffix_dedup.runs
-    monkeypatch.setattr(suffix_dedup, "runs", lambda *a: original(*a, hot=hot, most=suffix_dedup.Held(*held)))
+    monkeypatch.setattr(suffix_dedup, "runs", lambda *a: original(*a, hot=hot, most=suffix_dedup.Held(*held), known_hot=known_hot))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(docs).collect()}
     assert got == repeats(rows)
 
@@ -77,3 +80,34 @@ def test_names_and_ids(spark):
     assert got[2]["text"] == "b"
     with pytest.raises(TypeError):
         suffix_dedup.deduplicated(docs.withColumn("doc_id", F.lit("x")))
+
+
+def test_no_transform_holds_a_hot_anchor(monkeypatch):
+    """One anchor at 50 times the limit: its bucket sorts no more contexts of it than the limit, and finds its repeats all the same."""
+    r = np.random.default_rng(4)
+    hot, n, width, gram = 20, 1000, 100, 32
+    text = r.integers(97, 123, (n, 2 * width - gram)).astype(np.uint8)
+    text[:, 30:] = text[0, 30:]  # the windows from column 30 on are equal
+    zeros = np.zeros(n, np.uint16)
+    low = zeros + np.uint16(width - gram)
+    blob = [suffix_dedup._pack(np.arange(a, b), np.zeros(b - a, np.int64), np.full(b - a, 7, np.uint64), np.arange(b - a, dtype=np.uint32), np.full(b - a, 500, np.uint32), low[a:b], zeros[a:b], text[a:b].ravel()) for a, b in ((i, i + 50) for i in range(0, n, 50))]
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "columns", lambda text, *a: seen.append(len(text)) or np.zeros((len(text), width - gram + 1), bool))
+    held = suffix_dedup.Held(lot=16)
+    out = list(suffix_dedup.repeats(1, width, gram, held, hot)([suffix_dedup._rows(suffix_dedup._CONTEXT, [0] * len(blob), blob)]))
+    windows = [b for x in out for k, b in zip(x.column("kind").to_pylist(), x.column("blob").to_pylist(), strict=True) if k == suffix_dedup._WINDOW]
+    known = [x for x in out if x.column("kind")[0].as_py() == suffix_dedup._KNOWN]
+    known += suffix_dedup._late(1, width)([suffix_dedup._rows(suffix_dedup._WINDOW, [0] * len(windows), windows)])
+    assert not seen and windows  # nothing was left to sort
+    gone = {}
+    for x in known:
+        for b in x.column("blob").to_pylist():
+            doc, _, back, rows = suffix_dedup._unpack(b, np.int64, np.int64, np.uint32, np.uint32)
+            for d, (a, e) in zip(doc[back], rows.reshape(-1, 2), strict=True):
+                gone.setdefault(int(d), set()).update(range(a, e))
+    seen, want = set(), {}
+    for i in range(n):
+        starts = [c for c in range(width - gram + 1) if text[i, c : c + width].tobytes() in seen]
+        want |= {i: {500 - (width - gram) + c + k for c in starts for k in range(width)}} if starts else {}
+        seen |= {text[i, c : c + width].tobytes() for c in range(width - gram + 1)}
+    assert gone == want and len(want) == n - 1
