@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -9,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.operators import density as dn
+from lexisift.operators import matrix as mx
 from lexisift.operators import scoring as so
-from lexisift.operators.stages import staged
+from lexisift.operators.stages import in_batches, staged
 
 EPS, WIDE = dn.EPS, 0.75
 
@@ -21,8 +24,8 @@ def density_labels(z: DataFrame, eps: float = EPS, least: int = dn.MIN_POINTS) -
 
 
 def fitted(z: DataFrame, k: int, tries: int = 10, rounds: int = 300):
-    """The best of several k-means fits by cost."""
-    x = z.select("vec_id", array_to_vector("z").alias("features")).cache()
+    """The best of several k-means fits by cost, and its rows."""
+    x = staged(z.select("vec_id", "z")).select("vec_id", array_to_vector("z").alias("features"))
     models = [KMeans(k=k, seed=42 + i, maxIter=rounds).fit(x) for i in range(tries)]
     return min(models, key=lambda m: m.summary.trainingCost), x
 
@@ -48,8 +51,6 @@ def select_k(z: DataFrame, most: int = 12) -> list[tuple[int, float]]:
 
 def swarm_centroids(z: DataFrame, k: int, swarm: int = 20, rounds: int = 15, sample: int = 2000, seed: int = 42):
     """Centroids that a particle swarm moves to the least sum of distances on a bounded sample; numpy on the driver."""
-    import numpy as np
-
     rows = z.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("z").collect()
     x = np.array([r["z"] for r in rows])
     low, high = x.min(0), x.max(0)
@@ -73,20 +74,84 @@ def swarm_centroids(z: DataFrame, k: int, swarm: int = 20, rounds: int = 15, sam
     return own[own_cost.argmin()], float(own_cost.min())
 
 
-def started(z: DataFrame, c, rounds: int = 200) -> DataFrame:
-    """(vec_id, cluster): k-means from the given centroids, one start."""
-    from pyspark.mllib.clustering import KMeans as Started
-    from pyspark.mllib.clustering import KMeansModel
-    from pyspark.mllib.linalg import Vectors
+def _nearest(x, c):
+    """The nearest of the centroids for each row, of equally near ones the first, and half the squared distance less the row's."""
+    far = 0.5 * (c * c).sum(1) - x @ c.T
+    own = far.argmin(1)
+    return own, far[np.arange(len(own)), own]
+
+
+def _sums(z: DataFrame, c):
+    """(centroids, width + 1): the sum of each centroid's nearest rows, and their number."""
+    sent = z.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches):
+        own = sent.value
+        total = np.zeros((len(own), own.shape[1] + 1))
+        for batch in batches:
+            x = dn.matrix(batch.column("z"))
+            if len(x):
+                at = _nearest(x, own)[0]
+                np.add.at(total, at, np.column_stack([x, np.ones(len(x))]))
+        some = np.flatnonzero(total[:, -1])
+        yield from mx.rows_of(some, total[some])
+
+    try:
+        return mx.added(in_batches(z.select("z"), run, "i int, x binary"), len(c), c.shape[1] + 1)
+    finally:
+        sent.unpersist()
+
 
-    c = [[float(v) for v in row] for row in c]
-    x = z.select("z").rdd.map(lambda row: Vectors.dense(row["z"]))
-    centers = [[float(v) for v in row] for row in Started.train(x, len(c), maxIterations=rounds, initialModel=KMeansModel(c)).clusterCenters]
-    rows = z.sparkSession.createDataFrame(list(enumerate(centers)), "cluster int, c array<double>")
-    table = rows.agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("table"))
-    apart = lambda t: F.aggregate(F.zip_with("z", t["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = F.array_min(F.transform("table", lambda t: F.struct(apart(t).alias("d"), t["cluster"].alias("cluster"))))
-    return z.join(F.broadcast(table)).select("vec_id", best["cluster"].alias("cluster"))
+def assigned(z: DataFrame, c) -> DataFrame:
+    """(vec_id, cluster): the nearest of the centroids, in one pass."""
+    sent = z.sparkSession.sparkContext.broadcast(np.asarray(c, float))
+    kind = z.schema["vec_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            own = _nearest(dn.matrix(batch.column("z")), sent.value)[0] if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own.astype(np.int32))], ["vec_id", "cluster"])
+
+    return in_batches(z.select("vec_id", "z"), run, f"vec_id {kind}, cluster int")
+
+
+def started(z: DataFrame, c, rounds: int = 200) -> DataFrame:
+    """(vec_id, cluster): k-means over all rows from the given centroids, one start. A centroid without rows stays. ``z`` should be a table."""
+    c = np.asarray(c, float)
+    for _ in range(rounds):
+        s = _sums(z, c)
+        new = np.where(s[:, -1:] > 0, s[:, :-1] / np.maximum(s[:, -1:], 1), c)
+        moved, c = ((new - c) ** 2).sum(1).max(), new
+        if moved <= 1e-8:
+            break
+    return assigned(z, c)
+
+
+def mini_batches(z: DataFrame, c, rounds: int = 200, size: int = 1024, seed: int = 42, patience: int = 20):
+    """Centroids after k-means in batches from the given ones. A round draws its rows by a hash of vec_id, seed and round,
+    about ``size`` of them or a 20th of all, whichever is more; each centroid moves toward its rows' mean by their share of
+    all rows that it has had so far. It ends when the smoothed cost of the batches has not fallen for ``patience`` rounds. The state, a
+    centroid and a count each, is kept between the rounds; rows of one seed give one result."""
+    c, n = np.array(c, float), z.count()
+    share = min(1.0, max(size / max(n, 1), 0.05))
+    held, best, smooth, since = np.zeros(len(c)), np.inf, None, 0
+    sent_rows = z.withColumn("_q", F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x))
+    for t in range(rounds):
+        drawn = sent_rows if share == 1.0 else sent_rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed), F.lit(t)), F.lit(1 << 20)) < int(share * (1 << 20)))
+        s = _sums(drawn, c)
+        count = s[:, -1]
+        if not count.any():
+            continue
+        # the batch's cost before the move, from the sums: |x|^2 - 2 x.c + |c|^2
+        squares = drawn.agg(F.sum("_q")).first()[0]
+        cost = (squares - 2 * (s[:, :-1] * c).sum() + (count * (c * c).sum(1)).sum()) / count.sum()
+        held += count
+        c += (s[:, :-1] - count[:, None] * c) / np.maximum(held, 1)[:, None]
+        smooth = cost if smooth is None else smooth + (cost - smooth) * min(1.0, 2 * count.sum() / (n + 1))
+        best, since = (smooth, 0) if smooth < best - 1e-12 else (best, since + 1)
+        if since >= patience:
+            break
+    return c
 
 
 def noise(z: DataFrame, labels: DataFrame) -> DataFrame:
@@ -100,22 +165,20 @@ def best_k(scores: list[tuple[int, float]]) -> int:
 
 def noise_swarm(z: DataFrame):
     """Centroids that the swarm finds for the noise, at length 1 and with the chosen number of clusters, and their cost."""
-    import numpy as np
-
     c, cost = swarm_centroids(z, best_k(select_k(z)))
     return c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-10), cost
 
 
 def main_labels(z: DataFrame) -> DataFrame:
-    """(vec_id, cluster) of the main model: density clusters, then k-means of the noise from the swarm's centroids, numbered
-    after them. Under three points of noise are one cluster."""
+    """(vec_id, cluster) of the main model: density clusters, then k-means of the noise in batches from the swarm's centroids,
+    numbered after them. Under three points of noise are one cluster."""
     labels = staged(density_labels(z))
     rest = staged(noise(z, labels))
     n = rest.count()
     if not n:
         return labels
     first = labels.agg(F.max("cluster")).first()[0] + 1
-    own = started(rest, noise_swarm(rest)[0]) if n >= 3 else rest.select("vec_id", F.lit(0).alias("cluster"))
+    own = assigned(rest, mini_batches(rest, noise_swarm(rest)[0])) if n >= 3 else rest.select("vec_id", F.lit(0).alias("cluster"))
     return labels.where("cluster >= 0").unionByName(own.select("vec_id", (F.col("cluster") + first).alias("cluster")))
 
 

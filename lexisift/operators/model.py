@@ -12,10 +12,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.mllib.common import _java2py
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +20,7 @@ from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
 from lexisift.operators import clustering as cl
 from lexisift.operators import lexicons as lx
+from lexisift.operators import matrix as mx
 from lexisift.operators import scoring as so
 from lexisift.operators import terms as te
 from lexisift.operators.stages import in_batches, staged
@@ -157,34 +154,11 @@ def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple,
     return in_batches(rows.select(*keep, *more), run, f"{kinds}, {out} array<double>")
 
 
-def singular(vectors: DataFrame, size: int, k: int = LATENT) -> tuple[np.ndarray, np.ndarray]:
-    """The right singular vectors and the values, without centring; k falls to the rank."""
-    spark, n = vectors.sparkSession, vectors.count()
-    matrix = RowMatrix(vectors.rdd.map(lambda x: Vectors.sparse(size, x["at"], x["v"])), n, size)
-    held = matrix._java_matrix_wrapper._java_model.rows()  # each step of the iteration reads all rows
-    held.persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
-    try:
-        found = matrix.computeSVD(min(k, n, size), computeU=False, rCond=1e-6)  # squares below 1e-12 of the largest are rounding
-        values = found.s.toArray()
-        return _columns(spark, found._java_model.V(), size, len(values)), values
-    finally:
-        held.unpersist(False)
-
-
-def _columns(spark, matrix, height: int, width: int) -> np.ndarray:
-    """A dense matrix of the JVM as numpy, fetched by columns: fetched at once, its copies fill the driver."""
-    sc, values = spark.sparkContext, matrix.toArray()
-    out = np.empty((height, width))
-    for i in range(width):
-        out[:, i] = _java2py(sc, sc._jvm.java.util.Arrays.copyOfRange(values, i * height, (i + 1) * height))
-    return out
-
-
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "true_label", vocabulary: int = VOCABULARY, k: int = LATENT, steps: int = 100) -> ReviewModel:
     """train: key, text and label ('Anomalous', 'Normal' or null). Rows without a label help to fit all but the threshold."""
     rows = staged(prepared(train.select(F.col(key).cast("long").alias("vec_id"), text, label), ("vec_id", label), text))
     encoder = fit_encoder(rows, vocabulary)
-    basis, values = singular(staged(encoded(rows, encoder, "vec_id")), len(encoder.terms) + len(lx.FEATURES), k)
+    basis, values = mx.singular(staged(encoded(rows, encoder, "vec_id")), len(encoder.terms) + len(lx.FEATURES), k)
     z = staged(projected(rows, encoder, basis, ("vec_id", label))).withColumn("label", F.lit(0))
     own = staged(cl.main_labels(z.select("vec_id", "label", "z")))
     cents = staged(so.centroids(z.join(own, "vec_id").select("cluster", "z"), "cluster"))

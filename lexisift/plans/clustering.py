@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexisift.operators import clustering as cl
 from lexisift.operators import density as dn
 from lexisift.operators import lexicons as lx
+from lexisift.operators import matrix as mx
 from lexisift.operators import model as mo
 from lexisift.operators import scoring as so
 from lexisift.plans import sqltext as q
@@ -103,7 +104,7 @@ def latent(spark, d, k: int = mo.LATENT):
     rows = cl.staged(mo.prepared(labelled_docs(spark, d, "train"), ("doc_id",)))
     encoder = mo.fit_encoder(rows)
     vectors = cl.staged(mo.encoded(rows, encoder, "doc_id"))
-    return encoder, vectors, *mo.singular(vectors, len(encoder.terms) + len(lx.FEATURES), k)
+    return encoder, vectors, *mx.singular(vectors, len(encoder.terms) + len(lx.FEATURES), k)
 
 
 @query("svd_embed")

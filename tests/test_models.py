@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexisift.operators import clustering as cl
@@ -26,8 +27,6 @@ def test_vocabulary_is_whole(spark):
 
 
 def test_latent_vectors_are_those_of_the_whole_matrix(spark):
-    import numpy as np
-
     encoder, rows, v, s = pc.latent(spark, DATA)
     n, ids = rows.count(), {}
     x = np.zeros((n, v.shape[0]))
@@ -75,8 +74,6 @@ def test_a_loaded_model_scores_new_reviews(spark, tmp_path):
 
 
 def test_neighbours_lose_no_pair(spark):
-    import numpy as np
-
     x = np.random.default_rng(1).normal(size=(300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = spark.createDataFrame([(i, 0, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label int, z array<double>")
@@ -97,9 +94,9 @@ def points(spark):
 def test_main_model_clusters_the_noise(spark, monkeypatch):
     z = points(spark)
     begun = []
-    swarm, started = cl.swarm_centroids, cl.started
+    swarm, batches = cl.swarm_centroids, cl.mini_batches
     monkeypatch.setattr(cl, "swarm_centroids", lambda x, k, *a: begun.append((sorted(r["vec_id"] for r in x.collect()), k)) or swarm(x, k, *a))
-    monkeypatch.setattr(cl, "started", lambda x, c, *a: begun.append(c) or started(x, c, *a))
+    monkeypatch.setattr(cl, "mini_batches", lambda x, c, *a: begun.append(c) or batches(x, c, *a))
     got = {r["vec_id"]: r["cluster"] for r in cl.main_labels(z).collect()}
     ids = [100 + i for i in range(6)] + [200 + i for i in range(6)]
     assert begun[0][0] == ids and len(begun[1]) == begun[0][1]
@@ -118,6 +115,23 @@ def test_kmeans_starts_from_the_given_centroids(spark):
     assert {got[200 + i] for i in range(6)} == {0} and {got[100 + i] for i in range(6)} == {1}
 
 
+def test_batches_come_near_to_all_rows(spark):
+    """Cost within 5 % of k-means over all rows; the same seed gives the same centroids."""
+    z = cl.staged(scoring.normalised(ct.emb(spark, "/root/testdata/sf0.1")).select("vec_id", "z"))
+    x = {r["vec_id"]: np.array(r["z"]) for r in z.collect()}
+    begin = np.array([x[i] for i in sorted(x)[:10]])
+
+    def cost(labels):
+        groups = {}
+        for r in labels.collect():
+            groups.setdefault(r["cluster"], []).append(x[r["vec_id"]])
+        return sum(((np.array(g) - np.mean(g, 0)) ** 2).sum() for g in groups.values())
+
+    c = cl.mini_batches(z, begin, size=300)
+    assert cost(cl.assigned(z, c)) <= 1.05 * cost(cl.started(z, begin))
+    assert (c == cl.mini_batches(z, begin, size=300)).all()
+
+
 def test_ten_starts(spark, monkeypatch):
     seen = []
     real = cl.KMeans
