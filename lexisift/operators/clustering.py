@@ -49,26 +49,42 @@ def select_k(z: DataFrame, most: int = 12) -> list[tuple[int, float]]:
     return [(k, float(silhouette(z, k))) for k in range(2, min(most, n - 1) + 1)]
 
 
-def swarm_centroids(z: DataFrame, k: int, swarm: int = 20, rounds: int = 15, sample: int = 2000, seed: int = 42):
-    """Centroids that a particle swarm moves to the least sum of distances on a bounded sample; numpy on the driver."""
-    rows = z.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("z").collect()
-    x = np.array([r["z"] for r in rows])
-    low, high = x.min(0), x.max(0)
+def swarm_costs(z: DataFrame, particles):
+    """For each particle, k centroids, the sum of all rows' cosine distances to the nearest of them; all particles in one pass."""
+    c = particles / (np.linalg.norm(particles, axis=2, keepdims=True) + 1e-10)
+    sent = z.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches):
+        own = sent.value
+        total = np.zeros(len(own))
+        for batch in batches:
+            x = dn.matrix(batch.column("z"))
+            for a in range(0, len(x), 4096):
+                near = (x[a : a + 4096] @ own.reshape(-1, own.shape[2]).T).reshape(-1, *own.shape[:2])
+                total += (1 - near.max(2)).sum(0)
+        yield from mx.rows_of(np.zeros(1, np.int64), total[None])
+
+    try:
+        return mx.added(in_batches(z.select("z"), run, "i int, x binary"), 1, len(c))[0]
+    finally:
+        sent.unpersist()
+
+
+def swarm_centroids(z: DataFrame, k: int, swarm: int = 20, rounds: int = 15, seed: int = 42):
+    """Centroids that a particle swarm moves to the least sum of distances over all rows: a job a round scores all particles.
+    The driver holds the particles, swarm x k vectors each for their places, speeds and best places. ``z`` should be a table."""
+    each = z.select(F.posexplode("z").alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("i").collect()  # a row per dimension
+    low, high = np.array([r["low"] for r in each]), np.array([r["high"] for r in each])
     high = np.where(high == low, low + 1e-6, high)
     rng = np.random.default_rng(seed)
-    at = rng.uniform(low, high, (swarm, k, x.shape[1]))
+    at = rng.uniform(low, high, (swarm, k, len(low)))
     speed = np.zeros_like(at)
-
-    def cost(c):
-        c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-10)
-        return float((1 - (x @ c.T).max(1)).sum())
-
-    own, own_cost = at.copy(), np.array([cost(c) for c in at])
+    own, own_cost = at.copy(), swarm_costs(z, at)
     for _ in range(rounds):
         lead = own[own_cost.argmin()]
         speed = 0.5 * speed + 0.5 * rng.random(at.shape) * (own - at) + 0.5 * rng.random(at.shape) * (lead - at)
         at = np.clip(at + speed, low, high)
-        now = np.array([cost(c) for c in at])
+        now = swarm_costs(z, at)
         better = now < own_cost
         own[better], own_cost[better] = at[better], now[better]
     return own[own_cost.argmin()], float(own_cost.min())

@@ -125,9 +125,14 @@ def encoded(rows: DataFrame, encoder: Encoder, key: str) -> DataFrame:
     return in_batches(rows.select(key, "words", *lx.FEATURES), run, f"{key} {kind}, at array<int>, v array<double>")
 
 
-def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple, out: str = "z") -> DataFrame:
+def sent_out(spark: SparkSession, model: ReviewModel):
+    """What scoring needs of the model in its tasks: 32 MB at most at the default sizes. A worker reads it once."""
+    return spark.sparkContext.broadcast((model.encoder, model.basis))
+
+
+def projected(rows: DataFrame, encoder: Encoder, basis: np.ndarray, keep: tuple, out: str = "z", sent=None) -> DataFrame:
     """The columns to keep and the latent vector at length 1; a sparse product for each Arrow batch."""
-    sent = rows.sparkSession.sparkContext.broadcast((encoder, basis))
+    sent = sent or rows.sparkSession.sparkContext.broadcast((encoder, basis))
 
     def run(batches):
         own, v = sent.value
@@ -169,13 +174,13 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return ReviewModel(encoder, basis, values, np.array(table, float).reshape(len(table), basis.shape[1]), PUBLISHED if th is None else float(th), best["f1_score"])
 
 
-def scored(df: DataFrame, model: ReviewModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(df: DataFrame, model: ReviewModel, key: str = "doc_id", text: str = "text", sent=None) -> DataFrame:
     """For each row of df: prediction, cluster, distance, threshold, confidence, processed_text and features. A null or empty text has
     no prediction and says so in ``error``."""
     blank = F.col(text).isNull() | (F.col(text) == "")
     base = df.select(key, text, F.when(blank, "Review text must not be empty").alias("error"), pr.gibberish(F.coalesce(F.col(text), F.lit(""))).alias("gibberish"))
     keep = (key, "error", "gibberish", "processed", *lx.FEATURES)
-    z = projected(prepared(base, (key, "error", "gibberish"), text), model.encoder, model.basis, keep)
+    z = projected(prepared(base, (key, "error", "gibberish"), text), model.encoder, model.basis, keep, sent=sent)
     spark = df.sparkSession
     cents = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.centroids)], "cluster int, c array<double>")
     table = cents.agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("table"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexisift.operators.stages import staged
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -81,21 +83,36 @@ def confusion(sc: DataFrame, predicted: Column, true: Column) -> DataFrame:
     return sc.agg(F.count_if(yes & real).alias("tp"), F.count_if(yes & ~real).alias("fp"), F.count_if(~yes & real).alias("fn"), F.count_if(~yes & ~real).alias("tn"))
 
 
+def running(df: DataFrame, by: Column, *names: str) -> DataFrame:
+    """``before_x`` for each name x: its sum over all rows that come before by the given order. Rows are sorted by range; what lies
+    before a partition is summed up over one row for each partition, so no task sees all rows."""
+    rows = staged(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()))
+    w = W.orderBy("_at")
+    totals = rows.groupBy(F.col("_part").alias("_at")).agg(*[F.sum(x).alias(f"_{x}") for x in names])
+    totals = totals.select("_at", *[(F.sum(f"_{x}").over(w) - F.col(f"_{x}")).alias(f"_{x}") for x in names])
+    own = W.partitionBy("_part").orderBy(by)
+    local = rows.withColumns({f"_own_{x}": F.sum(x).over(own) - F.col(x) for x in names})
+    both = local.join(F.broadcast(totals), F.col("_part") == F.col("_at"))
+    return both.select(*df.columns, *[(F.col(f"_own_{x}") + F.col(f"_{x}")).alias(f"before_{x}") for x in names])
+
+
+def _per_distance(sc: DataFrame) -> DataFrame:
+    return sc.groupBy("distance").agg(F.count_if(F.col("true_label") == "Anomalous").alias("a"), F.count(F.lit(1)).alias("k"))
+
+
 def roc_auc(sc: DataFrame) -> DataFrame:
-    """By rank sums with mean ranks for ties. Rows are counted per distance first, so the window is over distances."""
-    per = sc.groupBy("distance").agg(F.count_if(F.col("true_label") == "Anomalous").alias("a"), F.count(F.lit(1)).alias("k"))
-    ranked = per.withColumn("before", F.sum("k").over(W.orderBy("distance")) - F.col("k"))
-    sums = ranked.agg(F.sum(F.col("a") * (F.col("before") + (F.col("k") + 1) / 2)).alias("s"), F.sum("a").alias("p"), F.sum("k").alias("n"))
+    """By rank sums with mean ranks for ties; rows are counted per distance first."""
+    ranked = running(_per_distance(sc), F.col("distance").asc(), "k")
+    sums = ranked.agg(F.sum(F.col("a") * (F.col("before_k") + (F.col("k") + 1) / 2)).alias("s"), F.sum("a").alias("p"), F.sum("k").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return sums.select(((F.col("s") - p * (p + 1) / 2) / (p * q)).alias("roc_auc"))
 
 
 def average_precision(sc: DataFrame) -> DataFrame:
     """The sum of precision over steps of recall, by falling distance."""
-    per = sc.groupBy("distance").agg(F.count_if(F.col("true_label") == "Anomalous").alias("a"), F.count(F.lit(1)).alias("k"))
-    w = W.orderBy(F.desc("distance"))
-    at = per.withColumns({"tp": F.sum("a").over(w), "n": F.sum("k").over(w)})
-    return at.agg((F.sum(F.col("a") * F.col("tp") / F.col("n")) / F.sum("a")).alias("average_precision"))
+    at = running(_per_distance(sc), F.col("distance").desc(), "a", "k")
+    a, tp, n = F.col("a"), F.col("before_a") + F.col("a"), F.col("before_k") + F.col("k")
+    return at.agg((F.sum(a * tp / n) / F.sum("a")).alias("average_precision"))
 
 
 def best(swept: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
 from lexisift.operators import quantiles as qu
 from lexisift.operators import scoring as so
+from lexisift.operators import sentences as se
 from lexisift.operators import terms as te
-from lexisift.operators.stages import spread
+from lexisift.operators.stages import fresh, spread
 from lexisift.plans import sqltext as q
+from lexisift.sources import io
 
 CATALOG: dict = {}
 
@@ -100,6 +102,32 @@ def _(spark, d):
     return w.select("doc_id", F.size(F.array_distinct(mo.grams(F.col("w"), 2))).cast("long").alias("n_bigrams"), F.get(mo.grams(F.slice(F.col("w"), 1, 3), 3), F.lit(0)).alias("first_trigram"))
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SENTENCES = rf"""{q.D}, cw AS (SELECT doc_id, list_transform({q.WORDS}, lambda x: regexp_replace(regexp_replace(x, {_quoted(se.CLOSING)}, ''), {_quoted(se.OPENING)}, '')) AS c FROM d),
+tk AS (SELECT doc_id, i, c[i + 1] AS core, lower(regexp_replace(c[i + 1], '{se.STOPS}', '')) AS base, c[i + 2] AS following FROM (SELECT doc_id, c, unnest(range(len(c))) AS i FROM cw)),
+ea AS (SELECT base AS word, count(*)::BIGINT AS n, count_if(regexp_matches(core, '[^.!?…]\.$'))::BIGINT AS k FROM tk WHERE base <> '' GROUP BY base), tt AS (SELECT sum(k)::DOUBLE / sum(n) AS p FROM ea),
+ls AS (SELECT word, n, k, p, length(replace(word, '.', ''))::DOUBLE AS s, length(word) - length(replace(word, '.', '')) AS t FROM ea, tt WHERE regexp_matches(word, '\p{{L}}') AND k > 0 AND p > 0 AND p < 1),
+ab AS (SELECT word, n, k, 2 * (k * ln({se.SURE}::DOUBLE) + (n - k) * ln({1 - se.SURE!r}::DOUBLE) - k * ln(p) - (n - k) * ln(1 - p)) * exp(-s) * (t + 1) * pow(s, -(n - k)) AS score FROM ls)"""
+
+
+@query("sentence_abbreviations", f"WITH {_SENTENCES} SELECT word, n, k, round(score, 6) AS score FROM ab WHERE score >= {se.LEAST}")
+def _(spark, d):
+    return se.abbreviations(se.tokens(docs(spark, d))).select("word", "n", "k", r(F.col("score")).alias("score"))
+
+
+@query(
+    "sentence_boundaries",
+    rf"WITH {_SENTENCES}, en AS (SELECT doc_id, i FROM tk LEFT JOIN (SELECT word FROM ab WHERE score >= {se.LEAST}) a ON base = word WHERE following IS NULL OR regexp_matches(core, '[!?…]$') OR (regexp_matches(core, '{se.STOPS}') "
+    r"AND NOT (word IS NOT NULL OR regexp_matches(base, '^\p{L}$') OR coalesce(regexp_matches(following, '^\p{Ll}'), false)))) SELECT doc_id, count(*)::BIGINT AS n_sentences, array_to_string(list_sort(list(i)), ',') AS ends FROM en GROUP BY doc_id",
+)
+def _(spark, d):
+    ends = se.boundaries(docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sort_array(F.collect_list("i")).alias("ends"))
+    return ends.select("doc_id", "n_sentences", F.array_join("ends", ",").alias("ends"))
+
+
 @query("strip_html", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.without_tags(F.col("html")).alias("stripped"))
@@ -474,11 +502,19 @@ def _explanation():
     CATALOG["explain_reasons"] = (reasons, f"WITH {q.FEATURES} " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, '{s}' AS severity, '{k}' AS kind FROM feat WHERE {t}" for n, t, s, k in REASONS))
 
 
-@query("feature_basis_merge", f"WITH {PROFILE_SQL}, nb AS (SELECT * FROM (VALUES ('review_length', 5::DOUBLE), ('word_entropy', 1.5::DOUBLE)) t(feature, low)) SELECT pf.feature, coalesce(nb.low, pf.low) AS low, pf.high, pf.optimal FROM pf LEFT JOIN nb ON pf.feature = nb.feature")
+@query(
+    "feature_basis_merge",
+    f"WITH {q.FEATURES}, {long_sql(lx.FEATURES, 'feat')}, nb AS (SELECT feature, round(avg(value), 6) + 0 AS m, round(avg(value) - 1.5 * stddev_samp(value), 6) + 0 AS lo, round(avg(value) + 1.5 * stddev_samp(value), 6) + 0 AS hi FROM fl GROUP BY feature), {PROFILE_SQL} "
+    "SELECT pf.feature, coalesce(lo, low) AS low, coalesce(hi, high) AS high, coalesce(m, optimal) AS optimal FROM pf LEFT JOIN nb ON pf.feature = nb.feature AND lo >= 0",
+)
 def _(spark, d):
-    basis = spark.createDataFrame([("review_length", 5.0), ("word_entropy", 1.5)], "feature string, own double")
-    df = profile(spark).join(F.broadcast(basis), "feature", "left")
-    return df.select("feature", F.coalesce("own", "low").alias("low"), "high", "optimal")
+    """The profile with the ranges that the documents' own statistics give, where these are not negative, written as a basis and read back."""
+    st = ranges_of(statistics(cl.staged(ft.model_features(docs(spark, d))), lx.FEATURES, False))
+    low, high, mean = (r(F.col(c)) + F.lit(0.0) for c in ("normal_min", "normal_max", "mean"))
+    one = F.struct("feature", F.struct(low.alias("min"), high.alias("max"), mean.alias("optimal")))
+    path = fresh(spark, "basis")
+    st.where(low >= 0).agg(F.to_json(F.map_from_entries(F.collect_list(one))).alias("value")).coalesce(1).write.text(path)  # eleven entries at most
+    return io.read_basis(spark, path, profile(spark)).select("feature", "low", "high", "optimal")
 
 
 # --- vectors, clusters, distances

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 RAW = "review string, label string"
 
@@ -38,19 +39,17 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matrix(df: DataFrame, path: str, width: int, key: str = "doc_id", mode: str = "error") -> None:
-    """Sparse rows (key, at array<int>, v array<double>) of a matrix that is ``width`` wide."""
+    """Sparse rows (key, at array<int>, v array<double>) of a matrix that is ``width`` wide, laid out as the ML library's vectors."""
     required(df, key, "at", "v")
-    df.select(F.col(key).alias("key"), "at", "v", F.lit(width).alias("width")).write.mode(mode).parquet(path)
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"), F.col("at").cast("array<int>").alias("indices"), F.col("v").cast("array<double>").alias("values"))
+    df.select(F.col(key).alias("key"), vector.alias("vector")).write.mode(mode).parquet(path)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(key, vector): the rows as sparse vectors of the ML library."""
-    from pyspark.ml.functions import array_to_vector
+    """(key, vector): the rows as sparse vectors of the ML library, as they lie there."""
+    from pyspark.ml.linalg import VectorUDT
 
-    df = spark.read.schema("key long, at array<int>, v array<double>, width int").parquet(path)
-    cells = F.map_from_arrays("at", "v")
-    dense = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)))
-    return df.select("key", array_to_vector(dense).alias("vector"))
+    return spark.read.schema(StructType([StructField("key", LongType()), StructField("vector", VectorUDT())])).parquet(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error") -> None:

@@ -1,4 +1,5 @@
-"""The rules' verdicts on a stream: the same stateless expressions as on a table, so no watermark is needed."""
+"""Verdicts on a stream, by the rules or by the newest fitted model. Both are stateless expressions, the same as on a table, so no
+watermark is needed."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from lexisift.functions import features as ft
 from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
+from lexisift.operators import model as mo
+from lexisift.operators import store as st
 from lexisift.operators.stages import fresh
 
 SCHEMA = "doc_id bigint, text string"
@@ -45,3 +48,36 @@ def scored_stream(spark: SparkSession, path: str, out: str | None = None) -> Dat
     run = verdicts(opened(spark, path)).writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").outputMode("append").trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("doc_id bigint, warning_count bigint, forced boolean").parquet(out)
+
+
+class Newest:
+    """Scores one micro-batch after another by the newest model of a store. The model is loaded and sent out once for each version:
+    a newer one takes its place between two batches, and the batch in work is scored by one model throughout."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text"):
+        self.spark, self.root, self.key, self.text = spark, root, key, text
+        self.version, self.model, self.sent = None, None, None
+
+    def refresh(self) -> None:
+        version = st.newest(self.spark, self.root)
+        if version == self.version and self.model is not None:
+            return
+        self.model = st.load(self.spark, self.root, version)
+        if self.sent is not None:
+            self.sent.unpersist()
+        self.version, self.sent = version, mo.sent_out(self.spark, self.model)
+
+    def scored(self, batch: DataFrame) -> DataFrame:
+        self.refresh()
+        return mo.scored(batch, self.model, self.key, self.text, self.sent).withColumn("version", F.lit(self.version).cast("long"))
+
+
+def score_by_model(stream: DataFrame, root: str, out: str, key: str = "doc_id", text: str = "text", **trigger):
+    """Start a query that writes the verdicts of every micro-batch to ``out``, a folder for each batch, so that a batch that is run again after
+    a failure replaces its own rows. ``trigger`` as of ``DataStreamWriter.trigger``; all that is there now, by default."""
+    by = Newest(stream.sparkSession, root, key, text)
+
+    def write(batch: DataFrame, number: int) -> None:
+        by.scored(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-progress").trigger(**(trigger or {"availableNow": True})).start()

@@ -15,6 +15,11 @@ def test_matrix_there_and_back(spark, tmp_path):
     io.write_matrix(df, f"file://{tmp_path}/m", 5)
     got = {r["key"]: r["vector"].toArray().tolist() for r in io.read_matrix(spark, f"file://{tmp_path}/m").collect()}
     assert got == {1: [0.5, 0, 0, 2.0, 0], 2: [0.0] * 5}
+    wide = spark.createDataFrame([(i, [j * (i % 7) for j in range(i % 7 and 40)], [float(j + 1) for j in range(i % 7 and 40)]) for i in range(300)], df.schema)
+    io.write_matrix(wide, f"file://{tmp_path}/w", 20_011)
+    for r in io.read_matrix(spark, f"file://{tmp_path}/w").collect():
+        i, v = r["key"], r["vector"]
+        assert type(v).__name__ == "SparseVector" and v.size == 20_011 and v.indices.tolist() == [j * (i % 7) for j in range(i % 7 and 40)]
     with pytest.raises(ValueError):
         io.write_matrix(df.drop("v"), f"file://{tmp_path}/n", 5)
 

@@ -132,6 +132,32 @@ def test_batches_come_near_to_all_rows(spark):
     assert (c == cl.mini_batches(z, begin, size=300)).all()
 
 
+def test_the_swarm_is_that_of_one_machine(spark):
+    """Against the same swarm over the same rows in numpy."""
+    z = cl.staged(points(spark).repartition(3))
+    x = np.array([r["z"] for r in z.collect()])
+    low, high = x.min(0), x.max(0)
+    high = np.where(high == low, low + 1e-6, high)
+    rng = np.random.default_rng(42)
+    at = rng.uniform(low, high, (6, 3, x.shape[1]))
+    speed = np.zeros_like(at)
+
+    def cost(c):
+        c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-10)
+        return (1 - (x @ c.T).max(1)).sum()
+
+    own, own_cost = at.copy(), np.array([cost(c) for c in at])
+    for _ in range(4):
+        lead = own[own_cost.argmin()]
+        speed = 0.5 * speed + 0.5 * rng.random(at.shape) * (own - at) + 0.5 * rng.random(at.shape) * (lead - at)
+        at = np.clip(at + speed, low, high)
+        now = np.array([cost(c) for c in at])
+        better = now < own_cost
+        own[better], own_cost[better] = at[better], now[better]
+    c, least = cl.swarm_centroids(z, 3, 6, 4)
+    assert np.allclose(c, own[own_cost.argmin()]) and np.isclose(least, own_cost.min())
+
+
 def test_ten_starts(spark, monkeypatch):
     seen = []
     real = cl.KMeans
