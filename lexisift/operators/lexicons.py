@@ -13,14 +13,14 @@ LEMMAS = {
     "reviews": "review", "products": "product", "items": "item", "orders": "order", "days": "day", "weeks": "week", "words": "word", "prices": "price",
     "bought": "buy", "buying": "buy", "works": "work", "worked": "work", "working": "work", "broken": "break", "broke": "break", "loved": "love",
     "loves": "love", "better": "good", "best": "good", "worse": "bad", "worst": "bad", "children": "child", "feet": "foot", "went": "go", "made": "make",
-    "entes": "ente", "inges": "inge", "ones": "one", "mores": "more", "uses": "use",
+    "ones": "one", "uses": "use",
 }
 
 #: word -> (polarity, subjectivity)
 SENTIMENT = {
     "good": (0.7, 0.6), "great": (0.8, 0.75), "love": (0.5, 0.6), "nice": (0.6, 1.0), "bad": (-0.7, 0.67), "awful": (-1.0, 1.0), "poor": (-0.4, 0.6),
     "terrible": (-1.0, 1.0), "hate": (-0.8, 0.9), "perfect": (1.0, 1.0), "clown": (-0.6, 0.9), "trash": (-0.7, 0.8), "only": (0.0, 1.0),
-    "able": (0.5, 0.63), "free": (0.4, 0.8), "the": (0.0, 0.0), "la": (0.05, 0.1), "und": (0.02, 0.1), "of": (0.01, 0.05), "not": (-0.1, 0.2),
+    "able": (0.5, 0.63), "free": (0.4, 0.8), "not": (-0.1, 0.2),
 }
 
 # Tagalog words, without the entries of several words, which no single word can equal.

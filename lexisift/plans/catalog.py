@@ -11,6 +11,7 @@ from lexisift.functions import predicates as pr
 from lexisift.functions import text as tx
 from lexisift.operators import clustering as cl
 from lexisift.operators import evaluation as ev
+from lexisift.operators import lemmas as le
 from lexisift.operators import lexicons as lx
 from lexisift.operators import model as mo
 from lexisift.operators import quantiles as qu
@@ -149,6 +150,33 @@ def _(spark, d):
     return words.withColumn("tag", tx.suffix_tag(F.col("token"))).select("token", "tag", tx.wordnet_class(F.col("tag")).alias("pos"))
 
 
+def _lemma_rounds() -> str:
+    """SQL: (x, pos, round, to, at) of all candidates of the words of ``g``."""
+    rules = lambda word, r: ", ".join(f"CASE WHEN {r}.pos = '{c}' AND {word} LIKE '%{end}' AND length({word}) > {len(end) - len(new[:1])} THEN {word}[1:-{len(end) + 1}] || '{new}' END" for c, end, new in le.RULES)
+    one = f"o1 AS (SELECT x, pos, list_filter([{rules('x', 'g')}], lambda y: y IS NOT NULL) AS c FROM g)"
+    each = "e1 AS (SELECT x, pos, unnest(c) AS y, unnest(range(len(c))) AS i FROM o1)"
+    two = f"e2 AS (SELECT x, pos, i, list_filter([{rules('y', 'e1')}], lambda z: z IS NOT NULL) AS c FROM e1)"
+    tries = "tr AS (SELECT x, pos, 1 AS round, x AS y, 0 AS i, 0 AS j FROM g UNION ALL SELECT x, pos, 1, y, i + 1, 0 FROM e1 UNION ALL SELECT x, pos, 2, unnest(c), i, unnest(range(len(c))) FROM e2)"
+    return f"{one}, {each}, {two}, {tries}"
+
+
+@query(
+    "lemma_rules",
+    f"WITH {q.D}, a AS (SELECT unnest({q.TOKENS}) AS x FROM d), n AS (SELECT x, count(*) AS n FROM a GROUP BY x), t AS (SELECT x, {lx.sql_tag('x')} AS tag FROM n), "
+    "g AS (SELECT x, CASE tag[1:1] WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'R' THEN 'r' ELSE 'n' END AS pos FROM t), "
+    + _lemma_rounds()
+    + ", kn AS (SELECT x FROM n WHERE n >= 3), ht AS (SELECT tr.x, pos, y, row_number() OVER (PARTITION BY tr.x, pos ORDER BY round, length(y), i, j) AS k FROM tr JOIN kn ON y = kn.x) "
+    "SELECT g.x AS token, g.pos, coalesce(y, g.x) AS lemma FROM g LEFT JOIN ht ON g.x = ht.x AND g.pos = ht.pos AND k = 1",
+)
+def _(spark, d):
+    """Of every distinct token, by the rules of its class; a word is what the documents have three times or more."""
+    n = docs(spark, d).select(F.explode(tx.tokens(tx.clean(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    n = cl.staged(n)
+    words = n.select("word", tx.wordnet_class(tx.suffix_tag(F.col("word"))).alias("class"))
+    known = n.where("n >= 3").select("word", F.explode(F.array(*map(F.lit, "navr"))).alias("class"))
+    return le.lemmas(words, known).select(F.col("word").alias("token"), F.col("class").alias("pos"), "lemma")
+
+
 @query("stopword_anti_join", f"WITH {q.D}, a AS (SELECT unnest({q.TOKENS}) AS x FROM d) SELECT x AS token, count(*)::BIGINT AS n FROM a WHERE x NOT IN {q.STOP} GROUP BY x")
 def _(spark, d):
     stop = spark.createDataFrame([(w,) for w in dict.fromkeys(lx.STOPWORDS)], "stop string")
