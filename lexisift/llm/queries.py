@@ -7,6 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from lexisift.llm.common import documents, ship_package
+from lexisift.operators.stages import spread
 
 #: query -> (module, function of the documents)
 _BY_DOCUMENTS = {
@@ -25,9 +26,14 @@ _BY_DOCUMENTS = {
 }
 
 
+#: Those that work in Python row by row of the scan: a table with fewer partitions than cores is dealt out first.
+_SPREAD = {"byte_bpe", "fingerprint", "language", "ngram_join", "packing", "periodic", "suffix_dedup"}
+
+
 def _query(module: str, function: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(import_module(f"lexisift.llm.{module}"), function)(documents(spark, sf_dir))
+        docs = documents(spark, sf_dir)
+        return getattr(import_module(f"lexisift.llm.{module}"), function)(spread(docs) if module in _SPREAD else docs)
 
     return run
 

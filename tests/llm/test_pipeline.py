@@ -46,3 +46,21 @@ def test_stages(spark):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
         own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == k)
         assert own == [(i, a, len(ids[a : a + 2048]), zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids[a : a + 2048]))) for i, a in enumerate(range(0, len(ids), 2048))]
+    # every sequence is packed without gaps and not beyond its length, and they are as few as a plain best fit needs
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for rows in by.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    gaps = []
+    for x in sorted((r["length"] for r in got), reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps[gaps.index(min(fits))] -= x
+        else:
+            gaps.append(2048 - x)
+    assert len(by) <= len(gaps)
