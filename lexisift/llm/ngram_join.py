@@ -253,30 +253,31 @@ def _shared(buckets: int, frequent: int = FREQUENT, lot: int = _LOT):
                 if kind == _OWN:
                     yield _rows(_OWN, [bucket], [blob])
                     continue
-                got.append(read(bucket, blob))
-                size += len(got[-1][0])
+                got.append((bucket, _unpack(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8)))
+                size += len(got[-1][1][4]) // 4
                 if size >= most:
-                    token, count = np.unique(np.concatenate([g[0] for g in got]), return_counts=True)
+                    token, count = np.unique(np.concatenate([tokens(*g) for g in got]), return_counts=True)
                     over = np.union1d(over, token[count >= frequent])
                     got = yield from shed(got, over)
-                    size = len(got[0][0])
+                    size = len(got[0][1][0])
                     most = max(lot, 2 * size)
         if got:
-            yield from ranked(*(yield from shed(got, over))[0])
+            yield from ranked(*(yield from shed(got, over))[0][1])
 
-    def read(bucket, blob):
-        d1, n, lost, delta, back = _unpack(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8)
-        back = _planes(back)
-        return np.cumsum(_planes(delta), dtype=np.uint32).astype(np.int64) | np.int64(bucket) << np.int64(32), d1[back], n[back], lost[back]
+    def tokens(bucket, rows):
+        return rows[0] if bucket is None else np.cumsum(_planes(rows[3]), dtype=np.uint32).astype(np.int64) | np.int64(bucket) << np.int64(32)
 
     def shed(got, over):
-        token, d1, n, lost = (np.concatenate(x) for x in zip(*got, strict=True))
+        """What is left of the rows, laid out; rows that come are packed, and laid out here alone."""
+        at = [None if b is None else _planes(rows[4]) for b, rows in got]
+        token = np.concatenate([tokens(*g) for g in got])
+        d1, n, lost = (np.concatenate([rows[k + 1] if i is None else rows[k][i] for (_, rows), i in zip(got, at, strict=True)]) for k in range(3))
         got.clear()
         if len(over):
             goes = np.isin(token, over)
             yield _owned(token[goes], d1[goes], n[goes], lost[goes], np.full(int(goes.sum()), _FAR, np.uint8), buckets)
             token, d1, n, lost = token[~goes], d1[~goes], n[~goes], lost[~goes]
-        return [(token, d1, n, lost)]
+        return [(None, (token, d1, n, lost))]
 
     def ranked(token, d1, n, lost):
         if not len(token):
