@@ -29,7 +29,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-HOT = 1024
+#: Edges from which a node may be hot: fewer are a megabyte, which a task that meets them does not notice.
+HOT = 1 << 16
 
 
 def _least(edges: DataFrame, hot: int | None) -> DataFrame:
