@@ -75,3 +75,30 @@ def test_dense_groups_stay_linear(spark, monkeypatch, apart):
     assert got.where(F.col("is_core")).count() == 20_000 and max(made) <= 21_000
     one = dn.summary(z.where("vec_id >= 30000"), 0.1, 10).first()
     assert tuple(one) == (0, 0, 2, 0) and dn.density(z.where("vec_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("width,eps", [(16, 0.5), (3, 0.02)])
+def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch, width, eps):
+    """Thrice the vectors: thrice the rows that meet, whether pivots help or not, and no more rows between the steps than that."""
+    monkeypatch.setattr(dn, "BLOCK", 16)
+    monkeypatch.setattr(dn, "TILE", 32)
+    sent, made, keep, groups = [], [], dn.staged, dn._in_groups
+    monkeypatch.setattr(dn, "_in_groups", lambda df, *a: sent.append(df.count()) or groups(df, *a))
+
+    def watched(df):
+        out = keep(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(dn, "staged", watched)
+    r, most = np.random.default_rng(4), []
+    for n in (400, 1200):
+        sent.clear(), made.clear()
+        x = unit(r.normal(size=(n, width)))
+        z = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, z array<double>")
+        got = sorted(tuple(r) for r in dn.density(z, eps, 10).collect())
+        assert [(c, k) for _, c, k in got] == plain(x, eps, 10)
+        most.append(max(sent) / n)
+        assert max(made) <= 2 * dn.PARTS * n
+        assert sum(r["n"] for r in dn.counts(z, eps).collect()) == (np.round(1 - x @ x.T, 9) <= eps).sum() == dn.neighbours(z, eps).distinct().count() == dn.neighbours(z, eps).count()
+    assert max(most) <= 3 * dn.PARTS and most[1] <= 1.5 * most[0]
