@@ -85,3 +85,16 @@ def test_sources(spark, tmp_path):
     assert io.read_report(spark, str(tmp_path / "report")).count() == 1
     with pytest.raises(ValueError):
         io.required(df, "missing")
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """531 / 800 is a half by its digits, and less as a double times 10,000."""
+    import duckdb
+
+    from lexisift.plans import catalog
+
+    rows = [(n, k / n) for n in (128, 160, 640, 800, 3200, 16_000) for k in range(1, n)] + [(0, None), (0, -0.66375)]
+    df = spark.createDataFrame(rows, "n int, x double")
+    got = df.select(catalog.rounded("x", 4).alias("a"), catalog.r(F.col("x")).alias("b")).collect()
+    want = duckdb.sql("SELECT round(x, 4), round(x, 6) FROM (SELECT unnest(?) AS x)", params=[[x for _, x in rows]]).fetchall()
+    assert [tuple(r) for r in got] == want
