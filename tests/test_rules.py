@@ -98,3 +98,9 @@ def test_rounding_is_that_of_the_sql(spark):
     got = df.select(catalog.rounded("x", 4).alias("a"), catalog.r(F.col("x")).alias("b")).collect()
     want = duckdb.sql("SELECT round(x, 4), round(x, 6) FROM (SELECT unnest(?) AS x)", params=[[x for _, x in rows]]).fetchall()
     assert [tuple(r) for r in got] == want
+
+
+def test_lemmas_are_whole(spark):
+    """Entries that once left the table, and the SQL with it."""
+    words = F.array(*[F.lit(w) for w in ("entes", "inges", "mores", "ones", "uses", "other")])
+    assert spark.range(1).select(tx.lemmas(words).alias("x")).first()["x"] == ["ente", "inge", "more", "one", "use", "other"]
