@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 
 from lexisift.operators import matrix as mx
+from lexisift.operators import model as mo
+from lexisift.operators import terms as te
 
 
 def test_a_task_for_each_core_sends_sums(spark, monkeypatch):
@@ -23,3 +25,10 @@ def test_only_the_columns_of_a_few_rows_are_dense():
     batch = pa.record_batch({"at": pa.array([[3, 900_000], [3], []], pa.list_(pa.int32())), "v": pa.array([[1.0, 2.0], [4.0], []])})
     (some, x), = mx.dense(batch)
     assert some.tolist() == [3, 900_000] and x.tolist() == [[1.0, 2.0], [4.0, 0.0], [0.0, 0.0]]
+
+
+def test_batches_are_cut_by_words(monkeypatch):
+    monkeypatch.setattr(te, "lots", lambda lists, f=te.lots: f(lists, 10))
+    batch = pa.record_batch({"k": pa.array(range(6)), "words": pa.array([["a"] * 4, ["b"] * 4, ["c"] * 30, None, [], ["d"] * 9])})
+    parts = list(mo.in_lots([batch]))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and [k for p in parts for k in p.column("k").to_pylist()] == list(range(6))
