@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as tx
+from lexisift.operators.stages import staged
 
 #: Fixed values of the method: the share of stops of an abbreviation, and the ratio from which a word is one.
 SURE, LEAST = 0.99, 0.3
@@ -43,6 +44,7 @@ def abbreviations(rows: DataFrame) -> DataFrame:
     """(word, n, k, score): the words that stand n times, k of them with a full stop, and are abbreviations. rows: as ``tokens``."""
     stop = F.col("core").rlike(r"[^.!?…]\.$")
     each = rows.where("base <> ''").groupBy(F.col("base").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(stop).alias("k"))
+    each = staged(each)  # a row per word, read twice: texts are cut into tokens once for it
     total = each.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     n, k, p = F.col("n"), F.col("k"), F.col("all_k") / F.col("all_n")
     ratio = 2 * (k * F.ln(F.lit(SURE)) + (n - k) * F.ln(F.lit(1 - SURE)) - k * F.ln(p) - (n - k) * F.ln(1 - p))
@@ -56,7 +58,7 @@ def abbreviations(rows: DataFrame) -> DataFrame:
 def boundaries(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, i): the tokens that end a sentence. ``known`` has the abbreviations as ``word``; by default they are those of the texts."""
     rows = tokens(docs, key, text)
-    known = (abbreviations(rows) if known is None else known).select("word")
+    known = (staged(abbreviations(rows)) if known is None else known).select("word")
     known = F.broadcast(known) if known.limit(SENT + 1).count() <= SENT else known
     ends = rows.where(F.col("core").rlike(STOPS) | F.col("following").isNull())
     marked = ends.join(known, F.col("base") == F.col("word"), "left")

@@ -50,3 +50,17 @@ def test_many_abbreviations_are_joined(spark, known, monkeypatch):
     assert cut(spark, known, "Dr. Smith came. So did I.") == ["Dr. Smith came.", "So did I."]
     none = spark.createDataFrame([(1, None), (2, "no stop")], "doc_id long, text string")
     assert [tuple(r) for r in se.boundaries(none).collect()] == [(2, 1)]
+
+
+def test_texts_are_cut_twice_at_most(spark):
+    """Once to learn the abbreviations and once to mark the ends."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, "Dr. Smith came. We went out.") for i in range(100)], "doc_id long, text string")
+    assert se.boundaries(rows.mapInArrow(run, rows.schema)).count() >= 100
+    assert seen.value <= 200
