@@ -185,3 +185,12 @@ def test_comparison_fits_each_model(spark, monkeypatch):
     assert list(got) == ["density", "k-means", "combined"]
     assert got["density"]["f1_score"] == got["k-means"]["f1_score"] == 1.0
     assert got["combined"]["recall"] == 0.0 and got["combined"]["accuracy"] == 0.75
+
+
+def test_fits_of_all_numbers_read_one_table(spark, monkeypatch):
+    """The rows are written once, however many fits there are, and not at all for each silhouette."""
+    z = spark.createDataFrame([(i, [float(i % 3), 1.0 + i % 2]) for i in range(12)], "vec_id long, z array<double>")
+    written, staged = [], cl.staged
+    monkeypatch.setattr(cl, "staged", lambda df: written.append(df.columns) or staged(df))
+    assert [k for k, _ in cl.select_k(z, 4)] == [2, 3, 4]
+    assert written == [["vec_id", "z"]]
