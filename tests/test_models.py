@@ -194,3 +194,18 @@ def test_fits_of_all_numbers_read_one_table(spark, monkeypatch):
     monkeypatch.setattr(cl, "staged", lambda df: written.append(df.columns) or staged(df))
     assert [k for k, _ in cl.select_k(z, 4)] == [2, 3, 4]
     assert written == [["vec_id", "z"]]
+
+
+def test_comparison_finds_density_clusters_once(spark, monkeypatch):
+    z = spark.createDataFrame([(i, 9 if i >= 6 else 0, [1.0, 0.0] if i < 6 else [0.0, 1.0]) for i in range(8)], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(pc, "emb", lambda spark, d: z)
+    monkeypatch.setattr(cl, "clustered", lambda x, *a: x.select("vec_id", F.lit(0).alias("cluster")))
+    found = []
+
+    def once(x, *a):
+        found.append(a)
+        return x.select("vec_id", F.when(F.col("vec_id") < 6, 0).otherwise(-1).cast("int").alias("cluster"))
+
+    monkeypatch.setattr(cl, "density_labels", once)
+    got = {r["model"]: r["f1_score"] for r in ct.catalog()["model_comparison"][0](spark, DATA).collect()}
+    assert len(found) == 1 and got["density"] == 1.0 and len(got) == 3
