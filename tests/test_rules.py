@@ -104,3 +104,38 @@ def test_lemmas_are_whole(spark):
     """Entries that once left the table, and the SQL with it."""
     words = F.array(*[F.lit(w) for w in ("entes", "inges", "mores", "ones", "uses", "other")])
     assert spark.range(1).select(tx.lemmas(words).alias("x")).first()["x"] == ["ente", "inge", "more", "one", "use", "other"]
+
+
+def test_rules_cut_a_text_into_tokens_twice(spark):
+    """Once as it is for gibberish, once cleaned for the features; each use of the tokens cut it anew before."""
+    from lexisift.plans import catalog
+
+    plan = catalog.rule_verdicts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tx.WORD + "+") == 2
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("abcdé𝒜", min_size=1, max_size=14) | st.text("ab", min_size=1, max_size=12) | st.text("abcdefghij", min_size=8, max_size=14), min_size=1, max_size=30))
+def test_odd_words(spark, words):
+    def odd(w):
+        n, most, distinct = len(w), max(Counter(w).values()), len(set(w))
+        return any(w.count(w[:k]) >= 3 and n >= 2 * k for k in (2, 3)) or (n >= 4 and most / n > 0.7) or (n >= 4 and distinct / n < 0.4) or (n >= 6 and distinct <= 3)
+
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", pr._odd(F.col("w")).alias("x")).collect()
+    assert [(r["w"], r["x"]) for r in got] == [(w, odd(w)) for w in words]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), max_size=40), min_size=1, max_size=12))
+def test_entropies_under_a_limit(spark, rows):
+    df = spark.createDataFrame([(w,) for w in [*rows, ["a"] * 60 + ["b"], list("abcd")]], "w array<string>")
+    for limit, epsilon in ((1.5, 0.0), (2.0, 1e-10)):
+        for r in df.select(tx.entropy(F.col("w"), epsilon).alias("x"), tx.entropy_under(F.col("w"), limit, epsilon).alias("y")).collect():
+            assert r["x"] == r["y"] or (r["x"] >= limit and r["y"] >= limit)
+
+
+@pytest.mark.parametrize("text", ["write to a.b@c.de or", "@a b@ c@@ @@d @e@f", "x y@z\nq@ @ r@s@t,u", "none here", "@", ""])
+def test_emails_go_run_by_run(spark, text):
+    import re
+
+    assert one(spark, text, tx.without_emails) == re.sub(r"[^ \t\n\r\f\x0b]+@[^ \t\n\r\f\x0b]+", "", text)
