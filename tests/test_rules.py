@@ -139,3 +139,30 @@ def test_emails_go_run_by_run(spark, text):
     import re
 
     assert one(spark, text, tx.without_emails) == re.sub(r"[^ \t\n\r\f\x0b]+@[^ \t\n\r\f\x0b]+", "", text)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text("aeytré𝒜7", min_size=1, max_size=9), max_size=12), min_size=1, max_size=8))
+def test_syllables_of_all_words(spark, rows):
+    own = spark.createDataFrame([(w,) for w in [*rows, ["tree", "there", "brrr", "able", "the"], []]], "w array<string>")
+    each = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + tx.syllables(w))
+    assert [r for r in own.select(each.alias("x"), tx.all_syllables(F.col("w")).alias("y")).collect() if r["x"] != r["y"]] == []
+
+
+@pytest.mark.parametrize("text", ["see http://a.b/c or www.d.e, f@g.h <b>it's</b> don't", "a < b, it's @ home", "plain words", "", None])
+def test_what_is_not_there_is_not_replaced(spark, text):
+    import re
+
+    blank = r"[^ \t\n\r\f\x0b]"
+    want = None if text is None else re.sub("<[^>]+>", "", re.sub(f"http{blank}+|www{blank}+", "", text))
+    assert one(spark, text, lambda t: tx.without_tags(tx.without_urls(t))) == want
+    assert one(spark, text, tx.expanded) == (text and text.replace("don't", "do not"))
+
+
+def test_widths_need_no_quantiles(spark, monkeypatch):
+    from lexisift.operators import quantiles
+    from lexisift.plans import catalog
+
+    monkeypatch.setattr(quantiles, "_round", lambda *a: pytest.fail("a round of counting"))
+    monkeypatch.setattr(quantiles, "_few", lambda *a: pytest.fail("values fetched"))
+    assert catalog.catalog()["range_widths"][0](spark, "/root/testdata/sf0.001").count() == 11
