@@ -48,15 +48,17 @@ def _least(edges: DataFrame, hot: int | None) -> DataFrame:
     return rest.select("u", "v", "m").unionByName(marked.where(F.col("h").isNotNull()).select("u", "v", F.col("least").alias("m")))
 
 
-def _hot(edges: DataFrame, n: int) -> int | None:
-    """The number of edges that makes a node hot, None where no node has so many. Of the 2 n ends of n edges at most 2**19
-    nodes have an n / 2**18th or more, which bounds what is sent to all tasks. A node with fewer is met by a sort-merge join that
-    holds one row of it, and its edges are less than a partition's, so no task grows with it."""
-    hot = max(HOT, n >> 18)
-    if n < hot:
-        return None
-    most = edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count().agg(F.max("count")).first()[0]
-    return hot if most >= hot else None
+def _state(edges: DataFrame) -> tuple[bool, int | None]:
+    """Whether the edges, each once and from the greater node to the less, are stars: no node that has a lesser one has
+    another edge. And the number of edges that makes a node hot, None where no node has so many. Of the 2 n ends of n edges at
+    most 2**19 nodes have an n / 2**18th or more, which bounds what is sent to all tasks. A node with fewer is met by a
+    sort-merge join that holds one row of it, and its edges are less than a partition's, so no task grows with it."""
+    end = lambda c, up: F.struct(F.col(c).alias("w"), F.lit(up).alias("up"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    per = ends.groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.sum("up").alias("ups"))
+    found = per.agg(F.sum("ups").alias("n"), F.max("k").alias("most"), F.max(F.when(F.col("ups") > 0, F.col("k"))).alias("leaf")).first()
+    hot = max(HOT, (found["n"] or 0) >> 18)
+    return (found["leaf"] or 0) <= 1, hot if (found["most"] or 0) >= hot else None
 
 
 def _rows(df: DataFrame, *pairs) -> DataFrame:
@@ -67,15 +69,12 @@ def _rows(df: DataFrame, *pairs) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node. Edges need no direction; nodes may be
     of any type that has an order."""
-    now, before = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"), None
-    n = now.count()
+    now = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        hot = _hot(now, n)
+        stars, hot = _state(now)
+        if stars:
+            break
         large = _rows(_least(_rows(now, ("u", "v"), ("v", "u")), hot).where("v > u"), ("v", "m"))
         small = _rows(_least(large, hot), ("v", "m"), ("u", "m"))
         now = staged(small.distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before, n = state, state["n"]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -109,14 +109,15 @@ def _digests(size: int, flush: int):
             yield from report(held)
 
     def report(held):
-        token = np.sort(np.concatenate(held))
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(edge, len(token)))
-        often = count >= 32
-        if often.any():
-            lots = list(_by_bucket(_bucket(token[edge[often]], 64), 64))
+        token = np.concatenate(held)
+        held.clear()
+        token.sort()
+        often = np.unique(token[31:][token[31:] == token[:-31]])
+        if len(often):
+            count = np.searchsorted(token, often, "right") - np.searchsorted(token, often)
+            lots = list(_by_bucket(_bucket(often, 64), 64))
             z = pa.nulls(len(lots), pa.int64())
-            yield out(_REPORT, z, z, pa.array([b for b, _ in lots], pa.int64()), z, z, pa.array([_pack(token[edge[often]][i], count[often][i]) for _, i in lots], pa.binary()))
+            yield out(_REPORT, z, z, pa.array([b for b, _ in lots], pa.int64()), z, z, pa.array([_pack(often[i], count[i]) for _, i in lots], pa.binary()))
 
     def out(kind, *columns):
         return pa.RecordBatch.from_arrays([*columns, pa.array([kind] * len(columns[0]), pa.int32())], ["doc_id", "text_key", "n", "d1", "d2", "blob", "kind"])
@@ -144,7 +145,7 @@ def frequent_shingles(digests: DataFrame, least: int) -> np.ndarray:
 
     reports = digests.where(F.col("kind") == _REPORT).select(F.col("n").alias("bucket"), "blob")
     found = reports.repartition("bucket").select("blob").mapInArrow(run, "blob binary")
-    rows = [np.frombuffer(bytes(r["blob"]), np.uint64) for r in found.toLocalIterator()]
+    rows = [np.frombuffer(bytes(r["blob"]), np.uint64) for r in found.collect()]  # 8 MB at most, by one job
     return np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
 
 
@@ -180,40 +181,40 @@ def _shingle_rows(buckets: int, size: int, frequent, flush_at: int = _FLUSH, bit
             yield from flush(held, names)
 
     def flush(held, names):
+        """Rows of one flush; each column is held once, and ``held`` no longer than needed."""
         d1, n = np.fromiter(names, np.int64, len(names)), np.fromiter(names.values(), np.int64, len(names))
-        token = np.concatenate(held)
         doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
-        known = _bucket(token, buckets) << np.int64(32) | (token & low).astype(np.int64)
-        often, hot = frequent.value, np.zeros(0, np.int64)
-        lots = np.arange(len(token))
+        token = np.concatenate(held)
+        held.clear()
+        known = _bucket(token, buckets)
+        known <<= np.int64(32)
+        token &= low
+        known |= token.view(np.int64)
+        del token
+        order = np.argsort(known, kind="stable")  # by bucket and number, of one number in the order of the classes
+        known, doc = known[order], doc[order]
+        del order
+        # by number, a class once for each; counts what falls together
+        same = (known[1:] == known[:-1]) & (doc[1:] == doc[:-1])
+        lost = np.bincount(doc[1:][same], minlength=len(d1))
+        if same.any():
+            once = np.concatenate([[True], ~same])
+            known, doc = known[once], doc[once]
+        often = frequent.value
         if len(often):  # by number: another shingle of that number counts as frequent too, for all classes alike
             often = np.unique(_bucket(often, buckets) << np.int64(32) | (often & low).astype(np.int64))
-            at = np.minimum(np.searchsorted(often, known), len(often) - 1)
-            is_hot = often[at] == known
-            hot, lots = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
-        del token
-        lost = np.zeros(len(held), np.int64)
-
-        def once(i):
-            """By number, a class once for each; counts what falls together."""
-            i = i[np.argsort(known[i], kind="stable")]  # of one number in the order of the classes
-            same = (known[i][1:] == known[i][:-1]) & (doc[i][1:] == doc[i][:-1])
-            if same.any():
-                lost[:] += np.bincount(doc[i][1:][same], minlength=len(held))
-                i = i[np.concatenate([[True], ~same])]
-            return i
-
-        hot = once(hot)
-        cold = [(b, once(lots[i])) for b, i in _by_bucket(known[lots] >> np.int64(32), buckets)]
-        if len(hot):
-            yield _owned(known[hot], d1[doc[hot]], n[doc[hot]], lost[doc[hot]], np.full(len(hot), _FAR, np.uint8), buckets)
-        out, blobs = [], []
-        for b, i in cold:
-            short = (known[i] & np.int64(0xFFFFFFFF)).astype(np.uint32)
-            used, back = np.unique(doc[i], return_inverse=True)
+            hot = often[np.minimum(np.searchsorted(often, known), len(often) - 1)] == known
+            if hot.any():
+                its = doc[hot]
+                yield _owned(known[hot], d1[its], n[its], lost[its], np.full(len(its), _FAR, np.uint8), buckets)
+                known, doc = known[~hot], doc[~hot]
+        edge = np.searchsorted(known, np.arange(buckets + 1, dtype=np.int64) << np.int64(32))
+        out, blobs = np.flatnonzero(np.diff(edge)).tolist(), []
+        for b in out:
+            short = (known[edge[b] : edge[b + 1]] & np.int64(0xFFFFFFFF)).astype(np.uint32)
+            used, back = np.unique(doc[edge[b] : edge[b + 1]], return_inverse=True)
             delta = np.diff(short, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
             back = back.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-            out.append(b)
             blobs.append(_pack(d1[used], n[used], lost[used], np.ascontiguousarray(delta), np.ascontiguousarray(back)))
         yield _rows(_SHINGLE, out, blobs)
 
@@ -221,13 +222,24 @@ def _shingle_rows(buckets: int, size: int, frequent, flush_at: int = _FLUSH, bit
 
 
 def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
-    return ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    out = token >> np.uint64(32)
+    out %= np.uint64(buckets)
+    return out.view(np.int64)
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _repeated(token: np.ndarray) -> np.ndarray:
+    """Whether another row has the same number."""
+    order = np.argsort(token)
+    same = token[order[1:]] == token[order[:-1]]
+    out = np.zeros(len(token), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def _owned(token, d1, n, lost, rare, buckets: int) -> pa.RecordBatch:
     """Shared shingles, dealt out by class."""
     names, blobs = [], []
@@ -262,22 +274,37 @@ def _shared(buckets: int, frequent: int = FREQUENT, lot: int = _LOT):
                     size = len(got[0][1][0])
                     most = max(lot, 2 * size)
         if got:
-            yield from ranked(*(yield from shed(got, over))[0][1])
+            yield from ranked(*(yield from shed(got, over, last=True))[0][1])
 
     def tokens(bucket, rows):
         return rows[0] if bucket is None else np.cumsum(_planes(rows[3]), dtype=np.uint32).astype(np.int64) | np.int64(bucket) << np.int64(32)
 
-    def shed(got, over):
-        """What is left of the rows, laid out; rows that come are packed, and laid out here alone."""
-        at = [None if b is None else _planes(rows[4]) for b, rows in got]
+    def shed(got, over, last=False):
+        """What is left of the rows, laid out; rows that come are packed, and laid out here alone. The last time only rows
+        whose shingle another row has are: most have none."""
         token = np.concatenate([tokens(*g) for g in got])
-        d1, n, lost = (np.concatenate([rows[k + 1] if i is None else rows[k][i] for (_, rows), i in zip(got, at, strict=True)]) for k in range(3))
-        got.clear()
+        stays = np.ones(len(token), bool)
         if len(over):
             goes = np.isin(token, over)
-            yield _owned(token[goes], d1[goes], n[goes], lost[goes], np.full(int(goes.sum()), _FAR, np.uint8), buckets)
-            token, d1, n, lost = token[~goes], d1[~goes], n[~goes], lost[~goes]
-        return [(None, (token, d1, n, lost))]
+            if goes.any():
+                yield _owned(token[goes], *columns(got, goes), np.full(int(goes.sum()), _FAR, np.uint8), buckets)
+            stays = ~goes
+        if last:
+            stays &= _repeated(token)
+        left = (token[stays], *columns(got, stays))
+        got.clear()
+        return [(None, left)]
+
+    def columns(got, which):
+        """d1, n and lost of these rows."""
+        out, a = ([], [], []), 0
+        for bucket, rows in got:
+            mask = which[a : a + (len(rows[0]) if bucket is None else len(rows[4]) // 4)]
+            a += len(mask)
+            at = None if bucket is None else _planes(rows[4])[mask]
+            for k in range(3):
+                out[k].append(rows[k + 1][mask] if at is None else rows[k][at])
+        return [np.concatenate(x) for x in out]
 
     def ranked(token, d1, n, lost):
         if not len(token):
@@ -502,14 +529,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _walks(percent: int):
-    """Rows (component, part, d1, d2, blob), groups one after the other -> verified links (a, b) of (d1, d2)."""
+    """Rows (component, part, d1, d2, blob), groups one after the other -> what verified links join, as stars (a, b) of (d1, d2)."""
 
     def run(batches):
         key, names, own = None, [], []
 
         def done():
             pairs = SignatureTree(own).links(percent) if len(own) > 1 else []
-            return [(names[x], names[y]) for x, y in pairs]
+            stars = forest(*np.array(pairs, np.int64).reshape(-1, 2).T)  # names come in their order
+            return [(names[x], names[y]) for x, y in zip(*(x.tolist() for x in stars), strict=True)]
 
         out = []
         for batch in batches:
@@ -576,8 +604,7 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     part = F.pmod(F.xxhash64("d1"), blocks).cast("int")
     spread_ = F.when(F.struct("d1", "d2") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(part))
-    links = staged(_walked(own.withColumn("part", F.explode(spread_)), percent), "links")
-    labels = components(links, "a", "b")
+    labels = components(_walked(own.withColumn("part", F.explode(spread_)), percent), "a", "b")
     big = member.where(F.col("members") > BLOCK)
     if big.limit(1).count():  # groups in several blocks: what their blocks and pivot did not join is held against all
         named = labels.select("node", F.col("component").alias("joined"))
@@ -593,8 +620,8 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bits: int
             others = held.join(rest.select("other"), F.struct("d1", "d2") == F.col("other"), "left_semi")
             others = others.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("part", F.col("block") * F.col("lots") + lot)
             cols = ["component", "part", "d1", "d2", "blob"]
-            links = links.unionByName(staged(_walked(every.select(*cols).unionByName(others.select(*cols)), percent), "links"))
-            labels = components(links, "a", "b")
+            stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(stars.unionByName(_walked(every.select(*cols).unionByName(others.select(*cols)), percent)), "a", "b")
     # classes are the nodes; the smallest doc_id of each component comes last. A component may hold a third of all
     # classes, so it is met in salted parts.
     labels = labels.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "component")
