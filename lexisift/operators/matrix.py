@@ -4,7 +4,8 @@ The rows lie in Spark, sparse. A pass multiplies a narrow block with the matrix
 parts meet by column, evenly over all reducers, and the driver takes one block of columns x ``BLOCK`` numbers.
 
 The sketch starts from random directions. Each pass is a power round whose block is made orthogonal to all before it, so that the blocks
-span a Krylov space; in it the best vectors are found by the eigenvectors of a small matrix. Rounds go on until the
+span a Krylov space; in it the best vectors are found by the eigenvectors of a small matrix. What a pass leaves beyond the space
+is all that the vectors in it lack, so the driver holds the space, not its images. Rounds go on until the
 residual of every wanted vector is below ``CLOSE`` of its value, which puts the singular values far nearer than that. A space that
 has grown to ``SPACE`` times the wanted vectors is drawn together to the best of them. Where the matrix has no more directions the space
 is the whole of its row space, and the vectors are as many as the rank.
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.operators.stages import in_batches
+from lexisift.operators.stages import in_batches, staged
 
-BLOCK, SPACE, CLOSE, PASSES = 64, 5, 1e-6, 80
-ROWS = 16  # that lie dense in a task at once, few enough to have few of all columns
+BLOCK, SPACE, CLOSE, PASSES = 64, 8, 1e-6, 80
+ROWS = 32  # that lie dense in a task at once, few enough to have few of all columns
+FOLD = 32  # columns whose sums a task sends in one row
 
 
 def added(parts: DataFrame, height: int, width: int) -> np.ndarray:
@@ -48,14 +50,16 @@ def added(parts: DataFrame, height: int, width: int) -> np.ndarray:
 def rows_of(i: np.ndarray, x: np.ndarray):
     """Batches (i, x) of the rows of x."""
     kind = pa.binary(x.shape[1] * 8)
-    for a in range(0, len(i), 4096):
-        own = np.ascontiguousarray(x[a : a + 4096], float)
+    step = max(1, (1 << 18) // x.shape[1])
+    for a in range(0, len(i), step):
+        own = np.ascontiguousarray(x[a : a + step], float)
         blob = pa.FixedSizeBinaryArray.from_buffers(kind, len(own), [None, pa.py_buffer(own)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(i[a : a + 4096].astype(np.int32)), blob], ["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(i[a : a + step].astype(np.int32)), blob], ["i", "x"])
 
 
-def dense(batch):
-    """The rows of a batch (at, v), ``ROWS`` at a time, as the columns that any of them has and a matrix of those columns alone."""
+def cut(batch):
+    """The rows of a batch (at, v), ``ROWS`` at a time: their number, the columns that any of them has, and the cells and values of a matrix of
+    those columns alone."""
     at, v = batch.column("at"), batch.column("v")
     count = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     place, value = at.flatten().to_numpy(), v.flatten().to_numpy()
@@ -64,27 +68,55 @@ def dense(batch):
         b = min(a + ROWS, len(count))
         s = slice(edge[a], edge[b])
         some, own = np.unique(place[s], return_inverse=True)
-        cell = np.repeat(np.arange(b - a), count[a:b]) * len(some) + own
-        yield some, np.bincount(cell, value[s], (b - a) * len(some)).reshape(b - a, len(some))
+        yield b - a, some, np.repeat(np.arange(b - a), count[a:b]) * len(some) + own, value[s]
+
+
+def tiles(vectors: DataFrame) -> DataFrame:
+    """(n, some, cell, x): what ``cut`` tells of the rows (at, v), as bytes, so that a pass neither sorts columns nor takes lists apart."""
+
+    def run(batches):
+        for batch in batches:
+            found = list(cut(batch))
+            blobs = [pa.array([np.ascontiguousarray(t[i], kind).tobytes() for t in found], pa.binary()) for i, kind in ((1, np.int32), (2, np.int32), (3, float))]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in found], pa.int32()), *blobs], ["n", "some", "cell", "x"])
+
+    return in_batches(vectors.select("at", "v"), run, "n int, some binary, cell binary, x binary")
+
+
+def uncut(batch):
+    """What ``cut`` told, of a batch of tiles."""
+    read = lambda c, kind: (np.frombuffer(x, kind) for x in batch.column(c).to_pylist())
+    return zip(batch.column("n").to_pylist(), read("some", np.int32), read("cell", np.int32), read("x", float), strict=True)
+
+
+def dense(batch):
+    """The rows of a batch (at, v), or of one of tiles, ``ROWS`` at a time, as the columns that any of them has and a matrix of those columns alone."""
+    for n, some, cell, value in uncut(batch) if "cell" in batch.schema.names else cut(batch):
+        yield some, np.bincount(cell, value, n * len(some)).reshape(n, len(some))
 
 
 def gram(vectors: DataFrame, size: int, block: np.ndarray) -> np.ndarray:
-    """A'A times the block, A the matrix of the rows (at, v)."""
+    """A'A times the block, A the matrix of the rows (at, v) or of their tiles."""
     sent = vectors.sparkSession.sparkContext.broadcast(block)
+    height, width = -(-size // FOLD), block.shape[1]
 
     def run(batches):
         own = sent.value
-        total = np.zeros(own.shape)
+        total = np.zeros((height * FOLD, width))
+        taken = np.zeros_like(own)  # room that is kept, as fresh memory costs more than the sums
         for batch in batches:
             for some, x in dense(batch):
-                total[some] += x.T @ (x @ own[some])
+                here = taken[: len(some)]
+                y = x @ np.take(own, some, 0, out=here, mode="clip")
+                total[some] += np.matmul(x.T, y, out=here)
+        total = total.reshape(height, FOLD * width)
         some = np.flatnonzero(total.any(1))
         yield from rows_of(some, total[some])
 
     # a task for each core, whatever the rows: every one of them sends a block
-    parts = in_batches(vectors.select("at", "v").coalesce(vectors.sparkSession.sparkContext.defaultParallelism), run, "i int, x binary")
+    parts = in_batches(vectors.coalesce(vectors.sparkSession.sparkContext.defaultParallelism), run, "i int, x binary")
     try:
-        return added(parts, size, block.shape[1])
+        return added(parts, height, FOLD * width).reshape(-1, width)[:size]
     finally:
         sent.unpersist()
 
@@ -101,30 +133,35 @@ def orthogonal(block: np.ndarray, basis: np.ndarray, least: float) -> np.ndarray
 
 def singular(vectors: DataFrame, size: int, k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The right singular vectors and the values of the rows (at, v), without centring; k falls to the rank."""
-    wide = min(BLOCK, size)
-    first = gram(vectors, size, np.random.default_rng(seed).normal(size=(size, wide)))
-    largest = np.linalg.norm(first, 2) if first.any() else 0.0
+    wide, held = min(BLOCK, size), staged(tiles(vectors))
+    rest = gram(held, size, np.random.default_rng(seed).normal(size=(size, wide)))
+    largest = np.linalg.norm(rest, 2) if rest.any() else 0.0
     if not largest:
         return np.zeros((size, 0)), np.zeros(0)
-    basis, image = np.zeros((size, 0)), np.zeros((size, 0))
-    block, value, turn = first, np.zeros(0), np.zeros((0, 0))
+    most = max(SPACE * k, 4 * wide)
+    space, n = np.zeros((size, min(size, most)), order="F"), 0  # its first n columns are the basis
+    small, value, turn = np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
     for _ in range(PASSES):
-        fresh = orthogonal(block, basis, 1e-13 * largest)
+        fresh = orthogonal(rest, space[:, :n], 1e-13 * largest)
         if not fresh.shape[1]:
             break
-        block = gram(vectors, size, fresh)
-        basis, image = np.concatenate([basis, fresh], 1), np.concatenate([image, block], 1)
-        small = basis.T @ image
-        value, turn = np.linalg.eigh((small + small.T) / 2)
+        if n + fresh.shape[1] > space.shape[1]:  # what the best vectors lack lies in the fresh block as well
+            n = k + wide
+            space[:, :n] = space[:, : len(turn)] @ turn[:, :n]
+            small = np.diag(value[:n])
+        a, n = n, n + fresh.shape[1]
+        space[:, a:n] = fresh
+        basis, block = space[:, :n], gram(held, size, fresh)
+        side = basis.T @ block
+        small = np.block([[small, side[:a]], [side[:a].T, (side[a:] + side[a:].T) / 2]])
+        rest = block - basis @ side
+        rest -= basis @ (basis.T @ rest)
+        value, turn = np.linalg.eigh(small)
         value, turn = value[::-1], turn[:, ::-1]
         largest = value[0]
-        if basis.shape[1] >= k:
-            rest = image @ turn[:, :k] - (basis @ turn[:, :k]) * value[:k]
-            if (np.linalg.norm(rest, axis=0) <= np.maximum(CLOSE * value[:k], 1e-13 * largest)).all():
+        if n >= k:
+            lack = np.linalg.norm(np.linalg.qr(rest, "r") @ turn[a:, :k], axis=0)
+            if (lack <= np.maximum(CLOSE * value[:k], 1e-13 * largest)).all():
                 break
-        if basis.shape[1] + wide > max(SPACE * k, 4 * wide):
-            best = turn[:, : k + wide]
-            basis, image = basis @ best, image @ best
-            value, turn = value[: k + wide], np.eye(basis.shape[1])
     k = int((value[:k] > 1e-12 * value[0]).sum())  # squares below are rounding
-    return basis @ turn[:, :k], np.sqrt(value[:k])
+    return space[:, :n] @ turn[:, :k], np.sqrt(value[:k])

@@ -32,3 +32,27 @@ def test_batches_are_cut_by_words(monkeypatch):
     batch = pa.record_batch({"k": pa.array(range(6)), "words": pa.array([["a"] * 4, ["b"] * 4, ["c"] * 30, None, [], ["d"] * 9])})
     parts = list(mo.in_lots([batch]))
     assert [p.num_rows for p in parts] == [2, 1, 3] and [k for p in parts for k in p.column("k").to_pylist()] == list(range(6))
+
+
+def test_a_flat_spectrum_takes_few_passes(spark, monkeypatch):
+    """A space that is drawn together goes on from what its best vectors lack."""
+    r, passes = np.random.default_rng(3), []
+    x = r.normal(size=(900, 800)) * np.linspace(1, 1.5, 800)
+    rows = spark.createDataFrame([([0], [1.0])], "at array<int>, v array<double>")
+    monkeypatch.setattr(mx, "gram", lambda rows, size, block: passes.append(block.shape) or x.T @ (x @ block))
+    v, s = mx.singular(rows, 800, 20)
+    assert np.allclose(s, np.linalg.svd(x)[1][:20], rtol=1e-10) and np.allclose(v.T @ v, np.eye(20))
+    assert np.allclose(x.T @ (x @ v), v * s**2, atol=1e-5 * s[0] ** 2)
+    assert len(passes) <= 20
+
+
+def test_tiles_hold_the_rows(spark):
+    r = np.random.default_rng(2)
+    rows = [(sorted(r.choice(90, 7, False).tolist()), r.normal(size=7).tolist()) for _ in range(75)] + [([], [])]
+    x = np.zeros((len(rows), 90))
+    for i, (at, v) in enumerate(rows):
+        x[i, at] = v
+    held = mx.tiles(spark.createDataFrame(rows, "at array<int>, v array<double>").repartition(3))
+    assert sum(t["n"] for t in held.collect()) == len(rows)
+    block = r.normal(size=(90, 3))
+    assert np.allclose(mx.gram(held, 90, block), x.T @ x @ block)
