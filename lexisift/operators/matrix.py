@@ -23,12 +23,13 @@ from lexisift.operators.stages import in_batches, staged
 BLOCK, SPACE, CLOSE, PASSES = 64, 8, 1e-6, 80
 ROWS = 32  # that lie dense in a task at once, few enough to have few of all columns
 FOLD = 32  # columns whose sums a task sends in one row
+FEW, SMALL = 32, 1 << 21  # parts and numbers, at most, that the driver adds up itself
 
 
 def added(parts: DataFrame, height: int, width: int) -> np.ndarray:
     """(height, width) sums of rows (i, x), x the bytes of ``width`` doubles."""
 
-    def run(batches):
+    def summed(batches):
         total, some = np.zeros((height, width)), np.zeros(height, bool)
         for batch in batches:
             i = batch.column("i").to_numpy()
@@ -38,13 +39,16 @@ def added(parts: DataFrame, height: int, width: int) -> np.ndarray:
             if len(edge):
                 total[i[order][edge]] += np.add.reduceat(x[order], edge)
                 some[i] = True
+        return total, some
+
+    def run(batches):
+        total, some = summed(batches)
         yield from rows_of(np.flatnonzero(some), total[some])
 
-    out = np.zeros((height, width))
-    found = in_batches(parts.repartition("i"), run, "i int, x binary").toArrow()
-    if found.num_rows:
-        out[found.column("i").to_numpy()] = np.frombuffer(b"".join(found.column("x").to_pylist()), float).reshape(-1, width)
-    return out
+    count = parts.rdd.getNumPartitions()
+    if count <= FEW and count * height * width <= SMALL:
+        return summed(parts.toArrow().to_batches())[0]
+    return summed(in_batches(parts.repartition("i"), run, "i int, x binary").toArrow().to_batches())[0]
 
 
 def rows_of(i: np.ndarray, x: np.ndarray):

@@ -209,3 +209,35 @@ def test_comparison_finds_density_clusters_once(spark, monkeypatch):
     monkeypatch.setattr(cl, "density_labels", once)
     got = {r["model"]: r["f1_score"] for r in ct.catalog()["model_comparison"][0](spark, DATA).collect()}
     assert len(found) == 1 and got["density"] == 1.0 and len(got) == 3
+
+
+def test_a_pass_is_a_round_of_all_starts(spark, monkeypatch):
+    """Ten starts read the rows as often as the longest of them, each as if it were alone."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.3, (60, 3)) for c in ([1, 0, 0], [0, 1, 0], [0, 0, 1], [-1, 0, 0])])
+    z = cl.staged(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, z array<double>").repartition(3))
+    starts, passes, sums = [cl.KMeans(k=4, seed=i, maxIter=300) for i in range(10)], [], cl._sums
+    monkeypatch.setattr(cl, "_sums", lambda z, sets: passes.append(len(sets)) or sums(z, sets))
+    got = cl.fitted(z, starts)
+    assert passes[0] == 10 and sorted(passes, reverse=True) == passes and len(passes) < 60
+    for c, cost in got:
+        apart = ((x[:, None] - c[None]) ** 2).sum(2)
+        own = apart.argmin(1)
+        assert len(c) == 4 and np.isclose(cost, apart.min(1).sum()) and np.allclose(c, [x[own == i].mean(0) for i in range(4)])
+    alone = cl.fitted(z, starts[3:4])[0]
+    assert np.allclose(alone[0], got[3][0]) and np.isclose(alone[1], got[3][1])
+
+
+def test_silhouettes_are_those_of_spark(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(6).normal(size=(80, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = cl.staged(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, z array<double>"))
+    for k in (2, 5):
+        c = cl.fitted(z, [cl._searched(k)])[0][0]
+        rows = z.join(cl.assigned(z, c), "vec_id").select(array_to_vector("z").alias("features"), F.col("cluster").alias("prediction"))
+        assert np.isclose(cl.silhouette(z, k), ClusteringEvaluator(distanceMeasure="cosine").evaluate(rows))
+        assert np.isclose(cl.silhouette(cl.Fits(z, {k: c}), k), cl.silhouette(z, k))
+    assert cl.silhouette(z.where("vec_id < 1"), 2) == -1.0
